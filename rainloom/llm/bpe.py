@@ -127,11 +127,14 @@ def _marks(pattern: str, chunk: int, overlap: int):
     return marks
 
 
-@F.pandas_udf("array<bigint>")
-def _stitched(marks: pd.Series) -> pd.Series:
-    return pd.Series(
-        [stitch([(m["k"], np.asarray(m["head"], np.int64), np.asarray(m["tail"], np.int64)) for m in one]) for one in marks]
-    )
+def _stitched():
+    @F.pandas_udf("array<bigint>")
+    def stitched(marks: pd.Series) -> pd.Series:
+        return pd.Series(
+            [stitch([(m["k"], np.asarray(m["head"], np.int64), np.asarray(m["tail"], np.int64)) for m in one]) for one in marks]
+        )
+
+    return stitched
 
 
 def _pieces(codec: Codec):
@@ -174,7 +177,7 @@ def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int
     cuts = (
         marked.groupBy("rid", "size")
         .agg(F.collect_list(F.struct("k", F.col("m.head").alias("head"), F.col("m.tail").alias("tail"))).alias("marks"))
-        .select("rid", "size", _stitched("marks").alias("cuts"))
+        .select("rid", "size", _stitched()("marks").alias("cuts"))
     )
     spans = cuts.select("rid", F.posexplode("cuts").alias("i", "start"), "cuts", "size").select(
         "rid", "start", F.coalesce(F.get("cuts", F.col("i") + 1), F.col("size")).alias("end")

@@ -54,7 +54,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(body) + CASE WHEN before = role THEN 6 ELSE 16 + length(name) END) AS BIGINT) AS formatted_chars
+  CAST(sum(length(body) + CASE WHEN before = role THEN 6 ELSE 15 + length(name) END) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id
 """
 
