@@ -39,7 +39,8 @@ def frequent_digests(keys: DataFrame, total: int, share: float = SHARE, counters
     partial = keys.groupBy((F.spark_partition_id() % BUCKETS).alias("bucket")).agg(
         F.expr(f"approx_top_k_accumulate(short, {counters})").alias("state")
     )
-    named = partial.agg(F.expr(f"approx_top_k_combine(state, {counters})").alias("state")).select(
+    # Grouped, not global: a partition without a bucket then has no empty state to merge.
+    named = partial.groupBy(F.col("bucket") * 0).agg(F.expr(f"approx_top_k_combine(state, {counters})").alias("state")).select(
         F.explode(F.expr(f"approx_top_k_estimate(state, {top_k})")).alias("found")
     )
     named = named.filter(F.col("found.count") >= max(2, share * total / 2)).select(F.col("found.item").alias("short"))
