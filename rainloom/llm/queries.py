@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exactdup, langid, neardup, quality
+from . import bpe, chat, decontaminate, exactdup, langid, neardup, quality, warc
 from .common import read
 
 #: The rank file and the split pattern of op9; parameters of the operator, not part of the repository.
@@ -16,6 +16,10 @@ PLANTED_TALK = -7
 PLANTED_TEXT = r"\### Assistant: </turn> ok"
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -24,6 +28,20 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(read(spark, sf_dir, "pages"))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS bytes FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS winner FROM p)
+SELECT page_id, bytes AS payload_bytes, digest AS payload_digest,
+  CASE WHEN bytes >= 1000 AND page_id < winner THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN bytes >= 1000 AND page_id < winner THEN winner END AS refers_to
+FROM w
+"""
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(read(spark, sf_dir, "documents"))
 
@@ -87,8 +105,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_language_id": op4_language_id,
+    "op5_warc": op5_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
@@ -96,6 +116,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_warc": OP5_SQL,
     "op7_chat_formatting": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
