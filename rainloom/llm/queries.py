@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exactdup, langid, neardup, quality, warc
+from . import bpe, chat, decontaminate, exactdup, htmltext, langid, neardup, quality, warc
 from .common import read
 
 #: The rank file and the split pattern of op9; parameters of the operator, not part of the repository.
@@ -104,6 +104,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(read(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
@@ -113,6 +117,7 @@ QUERIES = {
     "op7_chat_formatting": op7_chat_formatting,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {
