@@ -87,7 +87,7 @@ def gamma_p(a: Column, x: Column, lgamma_a1: Column | None = None) -> Column:
 
 def gamma_p_sql(a: str, x: str) -> str:
     """The same series for DuckDB, which has lgamma."""
-    terms = f"list_sum(list_transform(range(0, {TERMS + 1}), n -> exp(n * ln({x}) - (lgamma({a} + 1 + n) - lgamma({a} + 1)))))"
+    terms = f"list_sum(list_transform(range(0, {TERMS + 1}), lambda n: exp(n * ln({x}) - (lgamma({a} + 1 + n) - lgamma({a} + 1)))))"
     return f"CASE WHEN {x} IS NULL OR {a} IS NULL THEN NULL WHEN {x} <= 0 THEN 0 WHEN {x} > {a} + 10 * sqrt({a}) + 40 THEN 1 ELSE exp({a} * ln({x}) - {x} - lgamma({a} + 1)) * {terms} END"
 
 

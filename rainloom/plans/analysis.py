@@ -186,16 +186,16 @@ n AS (SELECT station_id, date, spi AS s, row_number() {W}) AS i, sum(CASE WHEN s
 k AS (SELECT *, CASE WHEN s <= -1 THEN 'dry' WHEN s >= 1 THEN 'wet' ELSE 'none' END AS kind FROM n),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY station_id, kind ORDER BY i) AS grp FROM k),
 ep AS (SELECT station_id, kind, min(i) AS a, max(i) AS b, min(date) AS start, max(date) AS fin, CASE WHEN kind = 'dry' THEN min(s) ELSE max(s) END AS ext,
- CASE WHEN kind = 'dry' THEN arg_min(i, s ORDER BY i) ELSE arg_max(i, s ORDER BY i) END AS at FROM g WHERE kind <> 'none' GROUP BY station_id, kind, grp),
+ CASE WHEN kind = 'dry' THEN arg_min(i, s ORDER BY i) ELSE arg_max(i, s ORDER BY i) END AS pk FROM g WHERE kind <> 'none' GROUP BY station_id, kind, grp),
 nx AS (SELECT e.*, (SELECT min(f.a) FROM ep f WHERE f.station_id = e.station_id AND f.kind <> e.kind AND f.a > e.b) AS a2 FROM ep e),
-cand AS (SELECT nx.station_id, CASE WHEN nx.kind = 'dry' THEN 'dry_to_wet' ELSE 'wet_to_dry' END AS direction, nx.a, nx.b, nx.start, nx.ext, nx.at, f.a AS a2, f.b AS b2, f.start AS start2, f.fin AS fin2, f.ext AS ext2, f.at AS at2
+cand AS (SELECT nx.station_id, CASE WHEN nx.kind = 'dry' THEN 'dry_to_wet' ELSE 'wet_to_dry' END AS direction, nx.a, nx.b, nx.start, nx.ext, nx.pk, f.a AS a2, f.b AS b2, f.start AS start2, f.fin AS fin2, f.ext AS ext2, f.pk AS pk2
  FROM nx JOIN ep f ON f.station_id = nx.station_id AND f.a = nx.a2 AND nx.a2 - nx.b <= 30
  JOIN n g1 ON g1.station_id = nx.station_id AND g1.i = nx.b JOIN n g2 ON g2.station_id = nx.station_id AND g2.i = nx.a2 - 1
  WHERE nx.a2 - nx.b = 1 OR (g2.gone - g1.gone) / (nx.a2 - nx.b - 1.0) <= 0.5),
 o AS (SELECT *, row_number() OVER (PARTITION BY station_id, direction ORDER BY a) AS r FROM cand),
 gr AS (SELECT o.*, true AS ok, b2 AS last FROM o WHERE r = 1 UNION ALL
  SELECT o.*, o.a2 - gr.last >= 30 AS ok, CASE WHEN o.a2 - gr.last >= 30 THEN o.b2 ELSE gr.last END AS last FROM gr JOIN o ON o.station_id = gr.station_id AND o.direction = gr.direction AND o.r = gr.r + 1),
-ev AS (SELECT station_id, direction, start, start2 AS transition_date, fin2 AS "end", CAST(b2 - a + 1 AS BIGINT) AS duration_days, CAST(a2 - b AS BIGINT) AS transition_days, abs(ext2 - ext) AS intensity_spi_swing, ext AS first_extreme, ext2 AS second_extreme, abs(ext2 - ext) / greatest(at2 - at, 1) AS speed_spi_per_day FROM gr WHERE ok),
+ev AS (SELECT station_id, direction, start, start2 AS transition_date, fin2 AS "end", CAST(b2 - a + 1 AS BIGINT) AS duration_days, CAST(a2 - b AS BIGINT) AS transition_days, abs(ext2 - ext) AS intensity_spi_swing, ext AS first_extreme, ext2 AS second_extreme, abs(ext2 - ext) / greatest(pk2 - pk, 1) AS speed_spi_per_day FROM gr WHERE ok),
 rep AS (SELECT date, count(DISTINCT station_id) AS reporting FROM spi WHERE spi IS NOT NULL GROUP BY 1),
 ex AS (SELECT e.station_id, e.direction, e.transition_date, count(DISTINCT f.station_id) AS near FROM ev e JOIN ev f ON f.direction = e.direction AND abs(date_diff('day', e.transition_date, f.transition_date)) <= 15 GROUP BY 1, 2, 3),
 full_ev AS (SELECT ev.*, near * 1.0 / reporting AS spatial_extent FROM ev JOIN ex USING (station_id, direction, transition_date) LEFT JOIN rep ON rep.date = ev.transition_date)"""
@@ -481,10 +481,10 @@ def _(spark, d):
 
 
 def _bin(edges: str) -> str:
-    return f"e AS (SELECT {edges} AS e FROM f), x AS (SELECT y, p, len(list_filter(e[2:len(e) - 1], v -> v <= p)) AS bin FROM f CROSS JOIN e)"
+    return f"e AS (SELECT {edges} AS e FROM f), x AS (SELECT y, p, len(list_filter(e[2:len(e) - 1], lambda v: v <= p)) AS bin FROM f CROSS JOIN e)"
 
 
-@query("v3_ece", f"WITH {_F}, {_bin('quantile_cont(p, list_transform(range(0, 16), k -> k / 15.0)::DOUBLE[])')}, g AS (SELECT bin, count(*) AS n, avg(p) AS p, avg(y) AS y FROM x GROUP BY 1) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM g".replace("list_transform(range(0, 16), k -> k / 15.0)::DOUBLE[]", "[" + ", ".join(repr(k / 15) for k in range(16)) + "]"))
+@query("v3_ece", f"WITH {_F}, {_bin('quantile_cont(p, list_transform(range(0, 16), lambda k: k / 15.0)::DOUBLE[])')}, g AS (SELECT bin, count(*) AS n, avg(p) AS p, avg(y) AS y FROM x GROUP BY 1) SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM g".replace("list_transform(range(0, 16), lambda k: k / 15.0)::DOUBLE[]", "[" + ", ".join(repr(k / 15) for k in range(16)) + "]"))
 def _(spark, d):
     return metrics.expected_calibration_error(_forecasts(spark, d))
 
