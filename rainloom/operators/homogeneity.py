@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import haversine_km
 from . import stats
+from .materialize import once
 
 #: Smallest shifts that matter, by variable.
 RELEVANT = {"tmax": 0.3, "tmin": 0.3, "precip": 0.08}
@@ -57,19 +58,19 @@ def vote(series: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 def classify(daily: DataFrame, stations: DataFrame, variable: str, alpha: float = 0.05, least_years: int = 15, excluded: DataFrame | None = None, max_km: float = 250.0, overlap: int = 10) -> DataFrame:
     """One row per station: raw and relative breaks, shift across the relative break, and a class."""
-    annual = annual_series(daily, variable).filter(F.col(variable).isNotNull())
+    annual = once(annual_series(daily, variable).filter(F.col(variable).isNotNull()))
     years = annual.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_years"))
     enough = annual.join(years.filter(F.col("n_years") >= least_years), "station_id", "left_semi")
     raw = stats.indexed(enough, "station_id", "year", variable)
     year_of = enough.select(F.col("station_id").alias("key"), "year", F.col(variable).alias("x"), (F.row_number().over(Window.partitionBy("station_id").orderBy("year")) - 1).alias("t"))
     ref = reference_series(annual, stations, variable, excluded=excluded, max_km=max_km, overlap=overlap)
     gap = F.try_divide(F.col(variable), F.col("reference")) if variable == "precip" else F.col(variable) - F.col("reference")
-    relative = enough.join(ref, ["station_id", "year"]).withColumn("gap", gap)
+    relative = once(enough.join(ref, ["station_id", "year"]).withColumn("gap", gap))
     long = relative.groupBy("station_id").agg(F.count("gap").alias("m"), F.max("n_references").alias("reference_stations")).filter(F.col("m") >= overlap)
     rel = stats.indexed(relative.join(long, "station_id", "left_semi"), "station_id", "year", "gap")
     rel_year = relative.filter(F.col("gap").isNotNull()).select(F.col("station_id").alias("key"), "year", "gap", (F.row_number().over(Window.partitionBy("station_id").orderBy("year")) - 1).alias("t"))
-    raw_vote = vote(raw, alpha).select("key", F.col("is_break").alias("raw_break"), F.col("change_index").alias("ri"))
-    rel_vote = vote(rel, alpha).select("key", F.col("is_break").alias("rel_break"), F.col("change_index").alias("li"))
+    raw_vote = once(vote(raw, alpha)).select("key", F.col("is_break").alias("raw_break"), F.col("change_index").alias("ri"))
+    rel_vote = once(vote(rel, alpha)).select("key", F.col("is_break").alias("rel_break"), F.col("change_index").alias("li"))
     raw_at = raw_vote.join(year_of.select("key", F.col("t").alias("ri"), F.col("year").alias("raw_break_year")), ["key", "ri"], "left")
     sides = rel_year.join(rel_vote, "key").groupBy("key", "rel_break", "li").agg(
         F.avg(F.when(F.col("t") < F.col("li"), F.col("gap"))).alias("before"), F.avg(F.when(F.col("t") >= F.col("li"), F.col("gap"))).alias("after"), F.max(F.when(F.col("t") == F.col("li"), F.col("year"))).alias("rel_break_year")
@@ -107,7 +108,8 @@ def report(daily: DataFrame, stations: DataFrame, variables: list[str], passes:
         out_of: set[str] = set()
         for k in range(passes):
             names = daily.sparkSession.createDataFrame([(s,) for s in sorted(out_of)], "station_id string") if out_of else None
-            found = classify(daily, stations, variable, excluded=names, **options).cache()
+            found = classify(daily, stations, variable, excluded=names, **options)
+            found = once(found)
             flagged = {r["station_id"] for r in found.filter(F.col("classification").isin("documented_artifact", "probable_artifact")).select("station_id").collect()}
             done = found.withColumn("iterations", F.lit(k + 1)).withColumn("excluded_from_references", F.col("station_id").isin(sorted(out_of)) if out_of else F.lit(False))
             if flagged <= out_of:
@@ -121,7 +123,7 @@ def trends(daily: DataFrame, variables: list[str], least_years: int = 15, q: flo
     """(station_id, variable, n_years, sens_slope_per_year, mk_z, p_value, tau, significant_fdr)."""
     out = None
     for variable in variables:
-        annual = annual_series(daily, variable).filter(F.col(variable).isNotNull())
+        annual = once(annual_series(daily, variable).filter(F.col(variable).isNotNull()))
         years = annual.groupBy("station_id").agg(F.count(F.lit(1)).alias("n_years")).filter(F.col("n_years") >= least_years)
         used = annual.join(years, "station_id")
         mk = stats.mann_kendall(stats.indexed(used, "station_id", "year", variable)).drop("sens_slope")

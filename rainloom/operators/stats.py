@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specfun import chi2_tail, norm_cdf
+from .materialize import once
 
 
 def indexed(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     rows = df.filter(F.col(value).isNotNull())
-    return rows.select(F.col(key).alias("key"), (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("t"), F.col(value).alias("x"))
+    # Short, and read many times by the tests.
+    return once(rows.select(F.col(key).alias("key"), (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).alias("t"), F.col(value).alias("x")))
 
 
 def _pairs(series: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def prewhitened(series: DataFrame) -> DataFrame:
 
 def mann_kendall(series: DataFrame, prewhiten: bool = True) -> DataFrame:
     """(key, s, z, p_value, tau, sens_slope)."""
-    x = prewhitened(series) if prewhiten else series
+    x = once(prewhitened(series)) if prewhiten else series
     s = _pairs(x).groupBy("key").agg(F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"))
     ties = x.groupBy("key", "x").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) * (2 * F.col("c") + 5)).alias("tie"))
     both = s.join(ties, "key").join(sen_slope(x).select("key", F.col("slope").alias("sens_slope")), "key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, specfun
 from ..operators import events, frames, geo, homogeneity, indices, metrics, models, qc, stats
+from ..operators.materialize import once
 from .basics import CALENDAR
 from .surrogate import RD, REFERENCE, RR, SD, ST, query, region_day, station_day, stations, table
 
@@ -177,7 +178,7 @@ def _(spark, d):
 
 
 def _swings(spark, d):
-    daily = indices.spi(_daily(spark, d), REFERENCE, 30)
+    daily = once(indices.spi(_daily(spark, d), REFERENCE, 30).select("station_id", "date", "spi30"))
     return daily, events.spatial_extent(events.transitions(daily), daily)
 
 
