@@ -48,7 +48,7 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, key: str = "station_id
     boundaries; each point meets those whose latitudes span it."""
     x, y = F.col("lon"), F.col("lat")
     spans = (F.col("y1") > y) != (F.col("y2") > y)
-    crosses = x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    crosses = x < F.try_divide((F.col("x2") - F.col("x1")) * (y - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
     hit = points.join(F.broadcast(edges), spans).filter(crosses).groupBy(key, "attr", "ord", "ring").agg(F.count(F.lit(1)).alias("n"))
     inside = hit.filter("n % 2 = 1").groupBy(key).agg(F.min_by("attr", "ord").alias("attr"))
     return points.select(key).join(inside, key, "left")

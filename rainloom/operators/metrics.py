@@ -21,22 +21,22 @@ def _curve(df: DataFrame, by: list[str]) -> DataFrame:
     down = Window.partitionBy(*by).orderBy(F.desc("p"))
     all_ = Window.partitionBy(*by)
     c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
-    return c.withColumn("P", F.sum("pos").over(all_)).withColumn("N", F.sum("n").over(all_))
+    return c.withColumn("events", F.sum("pos").over(all_)).withColumn("rows", F.sum("n").over(all_))
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., ap, base_rate, lift): sum over distinct scores, from the top, of recall gained times precision."""
     by = by or []
-    c = _curve(df, by).groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("P")) * F.col("tp") / F.col("seen")).alias("ap"), F.first(F.col("P") / F.col("N")).alias("base_rate"))
+    c = _curve(df, by).groupBy(*by).agg(F.sum(F.try_divide(F.col("pos"), F.col("events")) * F.col("tp") / F.col("seen")).alias("ap"), F.first(F.col("events") / F.col("rows")).alias("base_rate"))
     return c.withColumn("lift", F.try_divide(F.col("ap"), F.col("base_rate")))
 
 
 def auroc(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., auroc): chance that an event scores above a non-event, ties half."""
     by = by or []
-    c = _curve(df, by).withColumn("below", F.col("N") - F.col("P") - (F.col("seen") - F.col("tp")))
+    c = _curve(df, by).withColumn("below", F.col("rows") - F.col("events") - (F.col("seen") - F.col("tp")))
     won = F.sum(F.col("pos") * (F.col("below") + 0.5 * (F.col("n") - F.col("pos"))))
-    return c.groupBy(*by).agg(F.try_divide(won, F.first(F.col("P") * (F.col("N") - F.col("P")))).alias("auroc"))
+    return c.groupBy(*by).agg(F.try_divide(won, F.first(F.col("events") * (F.col("rows") - F.col("events")))).alias("auroc"))
 
 
 def brier(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -54,10 +54,10 @@ def brier(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 def best_f1(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., threshold, f1): the score that gives the best F1 for p >= threshold, the lowest on ties; 0.5 without events."""
     by = by or []
-    f1 = F.try_divide(2 * F.col("tp"), F.col("seen") + F.col("P"))
+    f1 = F.try_divide(2 * F.col("tp"), F.col("seen") + F.col("events"))
     c = _curve(df, by).withColumn("f1", F.coalesce(f1, F.lit(0.0)))
-    best = c.groupBy(*by).agg(F.max("P").alias("P"), F.min(F.struct((-F.col("f1")).alias("f"), "p")).alias("m"))
-    return best.select(*by, F.when(F.col("P") > 0, F.col("m.p")).otherwise(0.5).alias("threshold"), F.when(F.col("P") > 0, -F.col("m.f")).otherwise(0.0).alias("f1"))
+    best = c.groupBy(*by).agg(F.max("events").alias("events"), F.min(F.struct((-F.col("f1")).alias("f"), "p")).alias("m"))
+    return best.select(*by, F.when(F.col("events") > 0, F.col("m.p")).otherwise(0.5).alias("threshold"), F.when(F.col("events") > 0, -F.col("m.f")).otherwise(0.0).alias("f1"))
 
 
 def confusion(df: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:

@@ -81,7 +81,8 @@ def test_whiplash_of_one_swing(spark):
 
 def test_whiplash_separation_and_gap(spark):
     swing = [-1.5] * 5 + [0.0] * 3 + [1.5] * 5 + [0.0] * 3
-    near = events.transitions(series(spark, swing * 3, "spi30")).filter("direction = 'dry_to_wet'")
+    # Onsets at rows 9, 25, 41 and 57; the first ends at 13, so only the last is 30 rows or more after it.
+    near = events.transitions(series(spark, swing * 4, "spi30")).filter("direction = 'dry_to_wet'")
     assert near.count() == 2
     gap = [-1.5] * 5 + [None] * 6 + [0.0] * 2 + [1.5] * 5
     assert events.transitions(series(spark, gap, "spi30")).count() == 0
