@@ -28,7 +28,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, settled
+from .common import Scratch, settled, small_batches, trimmed
 
 #: Code points in a chunk, and those that it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
@@ -108,6 +108,7 @@ def _short(codec: Codec, digests: bool):
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], kinds[0]), pa.array(out[3], kinds[1])],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
+        trimmed()
 
     return encode
 
@@ -141,8 +142,12 @@ def _pieces(codec: Codec):
     @F.pandas_udf("struct<ids: array<int>, bytes: binary>")
     def pieces(text: pd.Series) -> pd.DataFrame:
         encoding = codec.encoding()
-        ids = [encoding.encode_ordinary(t) for t in text]
-        return pd.DataFrame({"ids": ids, "bytes": [encoding.decode_bytes(i) for i in ids]})
+        ids, raw = [], []
+        for t in text:
+            one = encoding.encode_ordinary(t)
+            ids.append(np.array(one, np.int32))
+            raw.append(encoding.decode_bytes(one))
+        return pd.DataFrame({"ids": ids, "bytes": raw})
 
     return pieces
 
@@ -209,6 +214,7 @@ def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids and decoded bytes of every whole text; with digests their SHA-256 in hex (ids as decimals
     joined by one space) in place of the values."""
+    small_batches(docs.sparkSession)
     codec = Codec(docs.sparkSession, path, pattern)
     size = F.coalesce(F.length("text"), F.lit(0))
     kind = ("string", "string") if digests else ("array<int>", "binary")

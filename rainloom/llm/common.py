@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Arrow batches of at most ``rows`` rows: with long texts the default of 10,000 makes them hundreds of MB in the JVM and
+    in each Python worker at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
+def trimmed() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; Spark's cleaner drops it with its last use."""
     shared_dir(df.sparkSession)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .html_blocks import Block, leaf_blocks
 
 #: Labelled pages that are learned from.
@@ -298,6 +299,7 @@ def main_text(page: str | None, chain: Chain) -> str:
 
 def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
+    small_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(chain or trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import blocks, letters
-from .common import fold
+from .common import fold, small_batches
 from .shingles import mixed
 
 SIZES = (3, 4)
@@ -123,6 +123,7 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     """Learns from the rows of docs that have a language; the caller decides which rows those are."""
+    small_batches(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
@@ -143,6 +144,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
 
 def predicted(docs: DataFrame, model: Filter, text: Column | str = "text") -> Column:
     """A struct column lang_pred, score."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double>")
