@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import specfun
+from ..session import ship
 from . import frames
 
 
@@ -97,6 +98,7 @@ def fisk_fit(x: np.ndarray, rounds: int = 400) -> tuple[float, float, float]:
 def spei(obs: DataFrame, pet: Column, reference: tuple[str, str], window: int = 30, least: int = 30) -> DataFrame:
     """(station_id, date, spei): the balance precip - pet summed over the window, standardised by a log-logistic law per
     station and month. A group is one station's days of one month of the year, so it is bounded by the record's length."""
+    ship(obs.sparkSession)
     frame = frames.trailing(window)
     balance = F.col("precip") - pet
     acc = F.when(F.count(balance).over(frame) >= int(0.9 * window), F.sum(balance).over(frame))

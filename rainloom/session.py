@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +22,19 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for a context: executors need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_rainloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):  # else it came here as an archive itself
+        path = os.path.join(tempfile.mkdtemp(), "rainloom_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+            for folder, _, names in sorted(os.walk(root)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    archive.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(root)))
+        context.addPyFile(path)
+    context._rainloom_shipped = True
