@@ -340,7 +340,7 @@ GRID = (80.0, 0.5, 30.5, 0.5)
 _CELLS = "cells AS (SELECT CAST(i // 17 AS INTEGER) AS row, CAST(i % 17 AS INTEGER) AS col, CAST((i * i * 7919 + i * 104729) % 3001 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 153)) AS i))"
 BOX = [("west", [[(80.0, 26.0), (84.03, 26.0), (83.03, 31.0), (80.0, 31.0)]]), ("east", [[(84.03, 26.0), (88.5, 26.0), (88.5, 31.0), (83.03, 31.0)], [(79.0, 20.0), (79.5, 20.0), (79.5, 21.0)]])]
 RIVER = [(80.0, 27.0, 83.0, 28.5), (83.0, 28.5, 86.0, 27.5), (86.0, 27.5, 88.0, 29.0)]
-_INSIDE = {"west": "lat > 26 AND lat <= 31 AND lon > 80 AND lon < 84.03 - (lat - 26) / 5", "east": "lat > 26 AND lat <= 31 AND lon >= 84.03 - (lat - 26) / 5 AND lon < 88.5"}
+_INSIDE = {"west": "lat > 26 AND lat <= 31 AND lon >= 80 AND lon < 84.03 - (lat - 26) / 5", "east": "lat > 26 AND lat <= 31 AND lon >= 84.03 - (lat - 26) / 5 AND lon < 88.5"}
 
 
 def _cells(spark):
