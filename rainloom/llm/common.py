@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -35,7 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Arrow batches of at most ``rows`` rows: with long texts the default of 10,000 makes them hundreds of MB in the JVM and
-    in each Python worker at once."""
+    in each Python worker at once. Sends the package to the workers too."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:

@@ -107,6 +107,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
             elif name in ("br", "wbr", "img"):
                 text_of(" " if name != "wbr" else "")
             continue
+        if name in RAW:  # stands inside a block without parting it
+            if not closing:
+                end = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(page, at)
+                at = end.end() if end else len(page)
+            continue
         flush()
         in_link = in_bold = 0
         if closing:
@@ -122,9 +127,5 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 pop()
         stack.append((name, _words(attributes) if attributes else frozenset()))
         hidden += name in HIDDEN
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*+>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
-            pop()
     flush()
     return out

@@ -36,7 +36,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, settled
+from .common import BROADCAST_ROWS, Scratch, settled, small_batches
 
 MIN_REVISIT = 1_000
 BLOCK_LINES = 512
@@ -266,12 +266,12 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, warc_root: st
     spark = keys.sparkSession
     ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    out, held = None, []
+    out, held, begin = None, [], None
 
     def searched(slice_: list, after: str | None) -> DataFrame:
         chosen = ordered
-        if out is not None:
-            chosen = chosen.filter(F.col("key") >= slice_[0][0])
+        if begin is not None:
+            chosen = chosen.filter(F.col("key") >= begin)
         if after is not None:
             chosen = chosen.filter(F.col("key") < after)
         shared = spark.sparkContext.broadcast(([r[0] for r in slice_], [tuple(r[1:]) for r in slice_]))
@@ -280,10 +280,10 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, warc_root: st
     for row in directory.orderBy("first_key", "file", "offset").toLocalIterator():
         # Blocks that begin with one key stay in one slice.
         if len(held) >= slice_rows and row["first_key"] != held[-1][0]:
-            # The last block goes along: its successor's key may begin in it.
             found = searched(held, row["first_key"])
             out = found if out is None else out.unionByName(found)
-            held = [held[-1]]
+            # The next slice has the last block too: captures of its first key may begin there.
+            held, begin = [held[-1]], row["first_key"]
         held.append(tuple(row))
     found = searched(held, None)
     return found if out is None else out.unionByName(found)
@@ -292,6 +292,7 @@ def lookup(keys: DataFrame, directory: DataFrame, index_root: str, warc_root: st
 def archived(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """Writes pages to an archive, reads all of them back through its index: page_id, payload_bytes, payload_digest,
     record_type, refers_to."""
+    small_batches(pages.sparkSession)
     with Scratch(pages.sparkSession) as scratch:
         warc_root, index_root = scratch.path("warc"), scratch.path("index")
         captures = scratch.table("captures", write_archive(pages, warc_root, min_bytes))
