@@ -138,34 +138,63 @@ def _stitched():
     return stitched
 
 
+#: Bytes of values after which a worker hands on what it has.
+_HAND_ON = 4_000_000
+
+
 def _pieces(codec: Codec):
-    @F.pandas_udf("struct<ids: array<int>, bytes: binary>")
-    def pieces(text: pd.Series) -> pd.DataFrame:
+    """Rows rid, doc_id, start, piece to rid, doc_id, start, ids (32-bit numbers as bytes), bytes: one piece in memory at a time."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = codec.encoding()
-        ids, raw = [], []
-        for t in text:
-            one = encoding.encode_ordinary(t)
-            ids.append(np.array(one, np.int32))
-            raw.append(encoding.decode_bytes(one))
-        return pd.DataFrame({"ids": ids, "bytes": raw})
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ["rid", "doc_id", "start", "ids", "bytes"]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            size = 0
+            for row in zip(*batch.columns, strict=True):
+                ids = encoding.encode_ordinary(row[3].as_py() or "")
+                raw = encoding.decode_bytes(ids)
+                for column, value in zip(out, (*(v.as_py() for v in row[:3]), np.array(ids, "<i4").tobytes(), raw), strict=True):
+                    column.append(value)
+                size += 5 * len(raw)
+                if size > _HAND_ON:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                    out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        trimmed()
 
     return pieces
 
 
 def _joined(digests: bool):
-    kind = "string" if digests else "array<int>"
-
-    @F.pandas_udf(f"struct<n_tokens: bigint, ids: {kind}, decoded: {'string' if digests else 'binary'}>")
-    def joined(parts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for one in parts:
-            one = sorted(one, key=lambda p: p["start"])
-            ids, raw = np.concatenate([np.asarray(p["ids"], np.int32) for p in one]), b"".join(bytes(p["bytes"]) for p in one)
-            if digests:
-                rows.append((len(ids), hashlib.sha256(_ids_text(ids.tolist())).hexdigest(), hashlib.sha256(raw).hexdigest()))
-            else:
-                rows.append((len(ids), ids, raw))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
+    """Rows doc_id, parts to doc_id, n_tokens, ids, decoded: one document in memory at a time."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), *((pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())))
+        names = ["doc_id", "n_tokens", "ids", "decoded"]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            size = 0
+            for doc_id, parts in zip(*batch.columns, strict=True):
+                parts = sorted(parts.as_py(), key=lambda p: p["start"])
+                ids = np.concatenate([np.frombuffer(p["ids"], "<i4") for p in parts])
+                if digests:
+                    told, text = hashlib.sha256(), hashlib.sha256()
+                    for k, p in enumerate(parts):
+                        told.update((b" " if k else b"") + _ids_text(np.frombuffer(p["ids"], "<i4").tolist()))
+                        text.update(p["bytes"])
+                    row = (doc_id.as_py(), len(ids), told.hexdigest(), text.hexdigest())
+                else:
+                    row = (doc_id.as_py(), len(ids), ids, b"".join(p["bytes"] for p in parts))
+                    size += 5 * len(row[3])
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+                if size > _HAND_ON:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                    out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+        trimmed()
 
     return joined
 
@@ -200,15 +229,13 @@ def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int
             (F.least("end", (F.col("k") + 1) * chunk) - F.greatest("start", F.col("k") * chunk)).cast("int"),
         ).alias("part"),
     )
-    pieces = (
-        got.groupBy("rid", "doc_id", "start")
-        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), "").alias("piece"))
-        .select("rid", "doc_id", "start", _pieces(codec)("piece").alias("p"))
-    )
-    joined = pieces.groupBy("rid", "doc_id").agg(
-        F.collect_list(F.struct("start", F.col("p.ids").alias("ids"), F.col("p.bytes").alias("bytes"))).alias("parts")
+    kind = ("string", "string") if digests else ("array<int>", "binary")
+    whole = got.groupBy("rid", "doc_id", "start").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), "").alias("piece")
     )
-    return joined.select("doc_id", _joined(digests)("parts").alias("j")).select("doc_id", "j.n_tokens", "j.ids", "j.decoded")
+    pieces = whole.mapInArrow(_pieces(codec), "rid bigint, doc_id bigint, start bigint, ids binary, bytes binary")
+    joined = pieces.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("start", "ids", "bytes")).alias("parts"))
+    return joined.select("doc_id", "parts").mapInArrow(_joined(digests), f"doc_id bigint, n_tokens bigint, ids {kind[0]}, decoded {kind[1]}")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
