@@ -13,7 +13,7 @@ are joined to the documents that hold them, by the digest of their text.
 
 Defined cases: null text stays null with no entities, empty text stays empty; repeated rows are treated alike; an empty
 table gives an empty result; further columns are ignored. Every quantifier that may run long is possessive, so long texts
-without spaces take linear time. A secret longer than 512 characters is found piece by piece.
+take linear time. A secret longer than 512 characters is found piece by piece.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch
+from .common import Scratch, settled
 
 #: Given names by gender and script, for finding names and for making them.
 GIVEN = {
@@ -40,21 +40,26 @@ _GAP = r"[^\p{L}\p{N}\n()+]{0,6}"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}+"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _ALL_TITLES = "|".join(t for names in TITLES.values() for t in names)
-_NAMED = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
-#: Kind and pattern, in order of preference at one place.
+_NAMED = rf"(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
+#: What names a secret, up to its value.
+_LED = r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access_key)["']?\s{0,3}[=:]\s{0,3}["']?"""
+_HEX = r"(?:[0-9a-f]{32,512}+|[0-9A-F]{32,512}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,255})(?![\p{L}\p{N}])"
+#: Kind and pattern, in order of preference at one place. All begin where a word may begin: that is asked once, before them.
 KINDS = [
-    ("secret", r"""(?<=(?i:token|secret|password|passwd|pwd|apikey|api_key|api-key|access_key)["']{0,1}\s{0,3}[=:]\s{0,3}["']{0,1})[A-Za-z0-9+/_~.-]{8,512}"""),
-    ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
-    ("secret", r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,512}+|[0-9A-F]{32,512}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,255})(?![\p{L}\p{N}])"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
-    ("phone", rf"(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|(?<![\p{{L}}\p{{N}}.-])\(\d{{3}}\) ?\d{{3}}[-. ]\d{{4}}(?!\d)|(?<![\p{{L}}\p{{N}}])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![\p{{L}}\p{{N}}.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])"),
-    ("ssn", r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("ip", r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)|(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
-    ("card", r"(?<![\p{N}])\d(?:[ -]?\d){12,18}(?![\p{N}])"),
+    ("secret", rf"(?=[TtSsPpAa]){_LED}[A-Za-z0-9+/_~.-]{{8,512}}"),
+    ("email", r"[\p{L}\p{N}._%-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
+    ("secret", rf"(?=[0-9A-Fa-fgs]){_HEX}"),
+    ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
+    ("phone", rf"\+\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|(?<![.-])\(\d{{3}}\) ?\d{{3}}[-. ]\d{{4}}(?!\d)|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])"),
+    ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("ip", r"(?<!\.)(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)|(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
+    ("card", r"\d(?:[ -]?\d){12,18}(?![\p{N}])"),
     ("name", _NAMED),
 ]
-PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
+PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
 KEY = "rainloom"
+#: Texts with entities whose digests may be broadcast, some tens of MB.
+HELD_ROWS = 100_000
 #: Rounds of the collision check; each leaves only what still collides.
 ATTEMPTS = 20
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,7 +71,8 @@ def kind_of(entity: Column) -> Column:
     """The kind of a found entity, from its own form."""
     whole = lambda p: entity.rlike(f"^(?:{p})$")
     return (
-        F.when(entity.contains("@"), "email")
+        F.when(whole(rf"{_LED}[A-Za-z0-9+/_~.-]{{8,512}}"), "secret")
+        .when(entity.contains("@"), "email")
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}") | whole(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
         .when(whole(r"\d(?:[ -]?\d){12,18}"), "card")
@@ -85,7 +91,7 @@ def canonical(kind: Column, entity: Column) -> Column:
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind.isin("email", "ip"), F.lower(entity))
         .when(kind == "name", F.regexp_replace(entity, r"\.", ""))
-        .otherwise(entity)
+        .otherwise(F.regexp_replace(entity, f"^{_LED}", ""))
     )
 
 
@@ -203,15 +209,13 @@ def laid_out(kind: Column, entity: Column, other: Column) -> Column:
         F.when(kind.isin("card", "phone", "ssn", "iban"), spread)
         .when(kind.isin("email", "ip"), F.when(shouted, F.upper(other)).otherwise(other))
         .when((kind == "name") & entity.rlike(r"^\S+\. "), dotted)
+        .when(kind == "secret", F.concat(F.regexp_extract(entity, f"^(?:{_LED})?", 0), other))
         .otherwise(other)
     )
 
 
-def _entities(text: Column) -> Column:
-    return F.transform(
-        F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)),
-        lambda e: F.struct(e.alias("entity"), kind_of(e).alias("kind"), canonical(kind_of(e), e).alias("form")),
-    )
+def _classified(entity: Column) -> Column:
+    return F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), canonical(kind_of(entity), entity).alias("form"))
 
 
 def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
@@ -232,31 +236,24 @@ def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFra
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with surrogates, n_entities and kinds (sorted, distinct) for every row of docs."""
+    """doc_id, text with surrogates, n_entities and kinds (sorted, distinct) for every row of docs.
+
+    One pass of the pattern over all texts finds the mentions; only texts that have some are cut again.
+    """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
     with Scratch(spark) as scratch:
-        found = scratch.table(
-            "found",
-            rows.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), _entities(F.col("text")).alias("found"))
-            .filter(F.size("found") > 0)
-            .groupBy("digest")
-            .agg(F.first("found").alias("found")),
-        )
-        mentions = found.select("digest", F.explode("found").alias("m")).select("digest", "m.kind", "m.form").distinct()
+        said = rows.select(digest.alias("digest"), F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("entity"))
+        mentions = scratch.table("mentions", said.distinct().select("digest", _classified(F.col("entity")).alias("m")).select("digest", "m.kind", "m.form").distinct())
         moved = collisions(mentions.select("kind", "form").distinct(), scratch, key)
-        held = mentions.join(moved, ["kind", "form"]).groupBy("digest").agg(
-            F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u001f", "kind", "form"), "attempt"))).alias("attempts")
-        )
-        # Few texts hold an entity that moved; the table is written, for the scratch folder outlives the result's plan.
-        held = held.checkpoint()
-        n = held.limit(BROADCAST_ROWS + 1).count()
-    if n == 0:
-        joined = rows.withColumn("attempts", F.lit(None).cast("map<string,int>"))
-    else:
-        side = F.broadcast(held) if n <= BROADCAST_ROWS // 20 else held.hint("merge")
-        joined = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(side, "digest", "left")
-    cut = joined.withColumn("found", F.coalesce(_entities(F.col("text")), F.array().cast("array<struct<entity:string,kind:string,form:string>>")))
+        later = F.when(F.col("attempt").isNotNull(), F.struct(F.concat_ws("\u001f", "kind", "form"), "attempt"))
+        held = settled(mentions.join(moved, ["kind", "form"], "left").groupBy("digest").agg(F.map_from_entries(F.collect_list(later)).alias("attempts")))
+        few = held.limit(HELD_ROWS + 1).count() <= HELD_ROWS
+    joined = rows.withColumn("digest", digest).join(F.broadcast(held) if few else held.hint("merge"), "digest", "left")
+    nothing = F.array().cast("array<struct<entity:string,kind:string,form:string>>")
+    found = F.when(F.col("attempts").isNotNull(), F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), _classified)).otherwise(nothing)
+    cut = joined.withColumn("found", found)
 
     def put(m: Column) -> Column:
         attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\u001f", m["kind"], m["form"])), F.lit(0))
@@ -267,7 +264,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     text = F.array_join(F.zip_with(gaps, others, lambda g, o: F.concat(g, o)), "")
     return cut.select(
         "doc_id",
-        F.when(F.size("found") > 0, text).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("attempts").isNotNull(), text).otherwise(F.col("text")).alias("text"),
         F.size("found").cast("long").alias("n_entities"),
         F.array_sort(F.array_distinct(F.transform("found", lambda m: m["kind"]))).alias("kinds"),
     )
