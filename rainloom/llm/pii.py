@@ -95,6 +95,11 @@ def canonical(kind: Column, entity: Column) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body names it; it keeps plans small too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hash(key: str, kind: Column, form: Column, attempt: Column, part: str = "") -> Column:
     return F.sha2(F.concat_ws("\u001f", F.lit(key), F.lit(part), kind, form, attempt.cast("string")).cast("binary"), 256)
 
@@ -106,8 +111,11 @@ def _pick(letters: str, r: Column) -> Column:
 def _like(text: Column, stream: Column, hexadecimal: Column) -> Column:
     """text with each letter and digit replaced by one of its sort, drawn from a stream of hex digits."""
 
-    def one(c: Column, i: Column) -> Column:
-        r = F.conv(F.substr(stream, (F.pmod(i * 3, F.lit(252)) + 1).cast("int"), F.lit(3)), 16, 10).cast("int")
+    def drawn(c: Column, i: Column) -> Column:
+        return F.struct(c.alias("c"), F.conv(F.substr(stream, (F.pmod(i * 3, F.lit(252)) + 1).cast("int"), F.lit(3)), 16, 10).cast("int").alias("r"))
+
+    def one(x: Column) -> Column:
+        c, r = x["c"], x["r"]
         return (
             F.when(hexadecimal & c.rlike("[0-9a-f]"), _pick("0123456789abcdef", r))
             .when(hexadecimal & c.rlike("[A-F]"), _pick("0123456789ABCDEF", r))
@@ -124,7 +132,7 @@ def _like(text: Column, stream: Column, hexadecimal: Column) -> Column:
             .otherwise(c)
         )
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    return F.array_join(F.transform(F.transform(F.split(text, ""), drawn), one), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -168,27 +176,42 @@ def _name(entity: Column, stream: Column) -> Column:
 def surrogate(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical form of the surrogate of a canonical form."""
     stream = F.concat(*(_hash(key, kind, form, attempt, f"s{k}") for k in range(4)))
-    decimal = F.translate(stream, "abcdef", "012345")
-    digits = F.regexp_replace(form, r"\D", "")
-    n = F.length(digits)
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(decimal, F.lit(1), n - 2))
-    valid = _luhn(digits) == 0
-    check = F.when(valid, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.substr(decimal, F.lit(60), F.lit(1)))
+    bound = F.struct(
+        kind.alias("kind"),
+        form.alias("form"),
+        stream.alias("stream"),
+        F.translate(stream, "abcdef", "012345").alias("decimal"),
+        F.regexp_replace(form, r"\D", "").alias("digits"),
+        form.rlike("^(?:[0-9a-f:]+|[0-9A-F]+)$").alias("hex"),
+        F.when(form.startswith("+"), F.length(F.regexp_extract(form, r"^\+(1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1))).otherwise(0).alias("country"),
+    )
+    return let(bound, lambda b: _surrogate(b, key))
+
+
+def _card(b: Column) -> Column:
+    digits, decimal = b["digits"], b["decimal"]
+    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(decimal, F.lit(1), F.length(digits) - 2))
+    check = lambda x: F.when(_luhn(digits) == 0, F.pmod(10 - _luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.substr(decimal, F.lit(60), F.lit(1)))
+    return let(body, lambda x: F.concat(x, check(x)))
+
+
+def _surrogate(b: Column, key: str) -> Column:
+    kind, form, stream, decimal, n = b["kind"], b["form"], b["stream"], b["decimal"], F.length(b["digits"])
     octet = lambda k, low, size: (F.conv(F.substr(stream, F.lit(4 * k + 1), F.lit(4)), 16, 10).cast("int") % size + low).cast("string")
-    local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
-    no = F.lit(False)
-    of_domain = _like(F.regexp_replace(domain, r"\.[^.]*$", ""), F.concat(*(_hash(key, F.lit("domain"), domain, F.lit(0), f"s{k}") for k in range(4))), no)
-    country = F.length(F.regexp_extract(form, r"^\+(1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})", 1))
+    domain = F.substring_index(form, "@", -1)
+    # The same domain is replaced alike in all addresses.
+    of_domain = let(F.concat(*(_hash(key, F.lit("domain"), domain, F.lit(0), f"s{k}") for k in range(4))), lambda s: _like(F.regexp_replace(domain, r"\.[^.]*$", ""), s, F.lit(False)))
+    # What is replaced character by character, and what stands before it.
+    before = F.when(kind == "iban", F.substr(form, F.lit(1), F.lit(2))).otherwise("")
+    spelled = F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "iban", F.substr(form, F.lit(3))).otherwise(form)
+    like = F.concat(before, _like(spelled, stream, b["hex"] & kind.isin("ip", "secret")))
     return (
-        F.when(kind == "card", F.concat(body, check))
-        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+"), country + 1).otherwise(0)), F.substr(decimal, F.lit(1), n - F.when(form.startswith("+"), country).otherwise(0))))
+        F.when(kind == "card", _card(b))
+        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+"), b["country"] + 1).otherwise(0)), F.substr(decimal, F.lit(1), n - b["country"])))
         .when(kind == "ssn", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), F.lit(8))))
         .when((kind == "ip") & form.contains("."), F.concat_ws(".", octet(0, 11, 200), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
-        .when(kind == "ip", _like(form, stream, F.lit(True)))
-        .when(kind == "email", F.concat(_like(local, stream, no), F.lit("@"), of_domain, F.lit(".example")))
-        .when(kind == "iban", F.concat(F.substr(form, F.lit(1), F.lit(2)), _like(F.substr(form, F.lit(3)), stream, no)))
         .when(kind == "name", _name(form, stream))
-        .otherwise(_like(form, stream, form.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        .otherwise(F.concat(like, F.when(kind == "email", F.concat(F.lit("@"), of_domain, F.lit(".example"))).otherwise("")))
     )
 
 
@@ -215,7 +238,8 @@ def laid_out(kind: Column, entity: Column, other: Column) -> Column:
 
 
 def _classified(entity: Column) -> Column:
-    return F.struct(entity.alias("entity"), kind_of(entity).alias("kind"), canonical(kind_of(entity), entity).alias("form"))
+    known = F.struct(entity.alias("entity"), kind_of(entity).alias("kind"))
+    return let(known, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), canonical(e["kind"], e["entity"]).alias("form")))
 
 
 def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
@@ -257,7 +281,7 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     def put(m: Column) -> Column:
         attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\u001f", m["kind"], m["form"])), F.lit(0))
-        return laid_out(m["kind"], m["entity"], surrogate(m["kind"], m["form"], attempt, key))
+        return let(surrogate(m["kind"], m["form"], attempt, key), lambda other: laid_out(m["kind"], m["entity"], other))
 
     gaps = F.split(F.col("text"), PATTERN, -1)
     others = F.concat(F.transform("found", put), F.array(F.lit("")))
