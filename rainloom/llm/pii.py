@@ -43,20 +43,24 @@ _ALL_TITLES = "|".join(t for names in TITLES.values() for t in names)
 _NAMED = rf"(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
 #: What names a secret, up to its value.
 _LED = r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access_key)["']?\s{0,3}[=:]\s{0,3}["']?"""
+_VALUE = r"[A-Za-z0-9+/_~.-]{8,512}"
 _HEX = r"(?:[0-9a-f]{32,512}+|[0-9A-F]{32,512}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,255})(?![\p{L}\p{N}])"
+_CARD = r"\d(?:[ -]?\d){12,18}(?![\p{N}])"
+#: A secret that is named may follow letters (accessToken=...).
+_NAMED_SECRET = rf"(?=[TtSsPpAa]){_LED}{_VALUE}"
 #: Kind and pattern, in order of preference at one place. All begin where a word may begin: that is asked once, before them.
 KINDS = [
-    ("secret", rf"(?=[TtSsPpAa]){_LED}[A-Za-z0-9+/_~.-]{{8,512}}"),
-    ("email", r"[\p{L}\p{N}._%-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
+    ("email", r"[\p{L}\p{N}._%+-]{1,256}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+)+"),
     ("secret", rf"(?=[0-9A-Fa-fgs]){_HEX}"),
     ("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"),
     ("phone", rf"\+\d{{1,3}}{_GAP}\(\d{{2,4}}\){_GAP}\d{{3,4}}{_GAP}\d{{3,4}}(?!\d)|(?<![.-])\(\d{{3}}\) ?\d{{3}}[-. ]\d{{4}}(?!\d)|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![.-])\d{{3}}[-.]\d{{3}}[-.]\d{{4}}(?![\d-])"),
     ("ssn", r"(?<!-)\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", r"(?<!\.)(?=\d)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)|(?<!:)(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])"),
-    ("card", r"\d(?:[ -]?\d){12,18}(?![\p{N}])"),
+    ("card", _CARD),
     ("name", _NAMED),
 ]
-PATTERN = r"(?<![\p{L}\p{N}])(?=[\p{L}\p{N}+(._%-])(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + ")"
+#: First and last what may follow letters: named secrets and cards.
+PATTERN = rf"{_NAMED_SECRET}|(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}+(._%-])(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + rf")|(?<=\p{{L}})(?=\d){_CARD}"
 KEY = "rainloom"
 #: Texts with entities whose digests may be broadcast, some tens of MB.
 HELD_ROWS = 100_000
@@ -71,7 +75,7 @@ def kind_of(entity: Column) -> Column:
     """The kind of a found entity, from its own form."""
     whole = lambda p: entity.rlike(f"^(?:{p})$")
     return (
-        F.when(whole(rf"{_LED}[A-Za-z0-9+/_~.-]{{8,512}}"), "secret")
+        F.when(whole(_LED + _VALUE), "secret")
         .when(entity.contains("@"), "email")
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}") | whole(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")

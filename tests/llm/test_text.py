@@ -186,3 +186,18 @@ def test_pii_collisions_are_moved(spark, monkeypatch):
         moved = {r.form: r.attempt for r in pii.collisions(entities, scratch).collect()}
     final = {f: f"s{(len(f) + moved.get(f, 0)) % 7}" for f in ("a", "b", "cc", "s4")}
     assert len(set(final.values())) == 4 and not set(final.values()) & {"a", "b", "cc", "s4"}
+
+
+def replaced_texts(spark, texts):
+    rows = pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [r.text for r in sorted(rows, key=lambda r: r.doc_id)], [r.kinds for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_pii_after_letters_and_plus(spark):
+    texts = ["accessToken=abcd1234efgh", "dbPassword: hunter2hunter2", "clientSecret='Zx81Zx81Zx81'", "to john+news@mail.org or john+news@mail.org.", "VISA4111111111111111 paid"]
+    got, kinds = replaced_texts(spark, texts)
+    assert kinds == [["secret"], ["secret"], ["secret"], ["email"], ["card"]]
+    for private in ("abcd1234", "hunter2", "Zx81", "john", "news", "4111"):
+        assert not any(private in g for g in got)
+    assert got[0].startswith("accessToken=") and got[1].startswith("dbPassword: ") and got[4].startswith("VISA") and got[4].endswith(" paid")
+    assert got[3].split()[1] == got[3].split()[3].rstrip(".")
