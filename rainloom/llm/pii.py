@@ -13,7 +13,8 @@ are joined to the documents that hold them, by the digest of their text.
 
 Defined cases: null text stays null with no entities, empty text stays empty; repeated rows are treated alike; an empty
 table gives an empty result; further columns are ignored. Every quantifier that may run long is possessive, so long texts
-take linear time. A secret longer than 512 characters is found piece by piece.
+take linear time. A secret of any length is one entity; one hexadecimal digit
+repeated over 512 times without a keyword is none.
 """
 
 from __future__ import annotations
@@ -43,8 +44,10 @@ _ALL_TITLES = "|".join(t for names in TITLES.values() for t in names)
 _NAMED = rf"(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
 #: What names a secret, up to its value.
 _LED = r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access_key)["']?\s{0,3}[=:]\s{0,3}["']?"""
-_VALUE = r"[A-Za-z0-9+/_~.-]{8,512}"
-_HEX = r"(?:[0-9a-f]{32,512}+|[0-9A-F]{32,512}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9]{20,255})(?![\p{L}\p{N}])"
+_VALUE = r"[A-Za-z0-9+/_~.-]{8,}+"
+#: One character over 512 times and nothing else is a filling, no secret.
+_FILLING = r"(?<one>[0-9A-Fa-f])\k<one>{512,}+(?![\p{L}\p{N}])"
+_HEX = rf"(?!{_FILLING})" r"(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{20,}+)(?![\p{L}\p{N}])"
 _CARD = r"\d(?:[ -]?\d){12,18}(?![\p{N}])"
 #: A secret that is named may follow letters (accessToken=...).
 _NAMED_SECRET = rf"(?=[TtSsPpAa]){_LED}{_VALUE}"
@@ -112,11 +115,17 @@ def _pick(letters: str, r: Column) -> Column:
     return F.substr(F.lit(letters), (r % len(letters) + 1).cast("int"), F.lit(1))
 
 
-def _like(text: Column, stream: Column, hexadecimal: Column) -> Column:
-    """text with each letter and digit replaced by one of its sort, drawn from a stream of hex digits."""
+def _like(text: Column, seed: Column, hexadecimal: Column) -> Column:
+    """text with each letter and digit replaced by one of its sort, drawn by the digests of seed and a count: one for every
+    21 characters, so that a text of any length has a stream that does not repeat."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 21).cast("int")), lambda k: F.sha2(F.concat_ws("\u001f", seed, k.cast("string")).cast("binary"), 256))
+    return let(F.struct(text.alias("text"), blocks.alias("blocks")), lambda b: _drawn(b["text"], b["blocks"], hexadecimal))
 
+
+def _drawn(text: Column, blocks: Column, hexadecimal: Column) -> Column:
     def drawn(c: Column, i: Column) -> Column:
-        return F.struct(c.alias("c"), F.conv(F.substr(stream, (F.pmod(i * 3, F.lit(252)) + 1).cast("int"), F.lit(3)), 16, 10).cast("int").alias("r"))
+        digits = F.substr(F.get(blocks, F.floor(i / 21).cast("int")), (i % 21 * 3 + 1).cast("int"), F.lit(3))
+        return F.struct(c.alias("c"), F.conv(digits, 16, 10).cast("int").alias("r"))
 
     def one(x: Column) -> Column:
         c, r = x["c"], x["r"]
@@ -204,11 +213,11 @@ def _surrogate(b: Column, key: str) -> Column:
     octet = lambda k, low, size: (F.conv(F.substr(stream, F.lit(4 * k + 1), F.lit(4)), 16, 10).cast("int") % size + low).cast("string")
     domain = F.substring_index(form, "@", -1)
     # The same domain is replaced alike in all addresses.
-    of_domain = let(F.concat(*(_hash(key, F.lit("domain"), domain, F.lit(0), f"s{k}") for k in range(4))), lambda s: _like(F.regexp_replace(domain, r"\.[^.]*$", ""), s, F.lit(False)))
+    of_domain = let(_hash(key, F.lit("domain"), domain, F.lit(0), "s0"), lambda s: _like(F.regexp_replace(domain, r"\.[^.]*$", ""), s, F.lit(False)))
     # What is replaced character by character, and what stands before it.
     before = F.when(kind == "iban", F.substr(form, F.lit(1), F.lit(2))).otherwise("")
     spelled = F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "iban", F.substr(form, F.lit(3))).otherwise(form)
-    like = F.concat(before, _like(spelled, stream, b["hex"] & kind.isin("ip", "secret")))
+    like = F.concat(before, _like(spelled, F.substr(stream, F.lit(1), F.lit(64)), b["hex"] & kind.isin("ip", "secret")))
     return (
         F.when(kind == "card", _card(b))
         .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+"), b["country"] + 1).otherwise(0)), F.substr(decimal, F.lit(1), n - b["country"])))

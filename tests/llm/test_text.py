@@ -201,3 +201,18 @@ def test_pii_after_letters_and_plus(spark):
         assert not any(private in g for g in got)
     assert got[0].startswith("accessToken=") and got[1].startswith("dbPassword: ") and got[4].startswith("VISA") and got[4].endswith(" paid")
     assert got[3].split()[1] == got[3].split()[3].rstrip(".")
+
+
+def test_pii_long_secrets(spark):
+    import random
+
+    rng = random.Random(4)
+    token, blob = ("".join(rng.choice(letters) for _ in range(n)) for letters, n in (("abcXYZ019", 690), ("0123456789abcdef", 700)))
+    key = "ghp_" + "".join(rng.choice("abcXYZ019") for _ in range(400))
+    got, kinds = replaced_texts(spark, [f"token={token} end", f"is {blob} end", f"is {key} end", "token=" + "a" * 2_000])
+    assert kinds == [["secret"]] * 4
+    for g, private in zip(got, (token, blob, key), strict=False):
+        assert len(g.split()[-2].removeprefix("token=")) == len(private) and g.endswith(" end")
+        assert not any(private[k : k + 20] in g for k in range(len(private) - 20))
+    value = got[3].removeprefix("token=")
+    assert len(value) == 2_000 and len({value[k : k + 20] for k in range(1_980)}) == 1_980
