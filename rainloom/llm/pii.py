@@ -19,6 +19,8 @@ repeated over 512 times without a keyword is none.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +69,8 @@ PATTERN = rf"{_NAMED_SECRET}|(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}+(._%-])(?:"
 KEY = "rainloom"
 #: Texts with entities whose digests may be broadcast, some tens of MB.
 HELD_ROWS = 100_000
-#: Rounds of the collision check; each leaves only what still collides.
-ATTEMPTS = 20
+#: Attempts in the length of a number before surrogates get longer.
+REDRAWS = 4
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CYRILLIC = "абвгдежзийклмнопрстуфхцчшщыэюя"
 _GREEK = "αβγδεζηθικλμνξοπρστυφχψω"
@@ -168,17 +170,19 @@ def _gender(entity: Column) -> Column:
     return F.when(female, "f").when(male, "m").otherwise(inner)
 
 
-def _name(entity: Column, stream: Column) -> Column:
-    """The title, if any, then a given name (where the entity has two names) and a family name of its gender and script."""
-    byte = lambda k: F.conv(F.substr(stream, F.lit(2 * k + 1), F.lit(2)), 16, 10).cast("int")
+def _name(entity: Column, stream: Column, attempt: Column) -> Column:
+    """The title, if any, then a given name (where the entity has two names) and a family name of its gender and script, a
+    syllable longer with each attempt."""
+    byte = lambda k: F.conv(F.substr(stream, (F.lit(2) * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
     gender, cyrillic = _gender(entity), entity.rlike(r"\p{IsCyrillic}")
     title = F.regexp_extract(entity, rf"^((?:{_ALL_TITLES})\.? )?", 1)
     two = F.regexp_replace(entity, rf"^(?:{_ALL_TITLES})\.? ", "").contains(" ")
 
     def of(g: str, script: str) -> Column:
-        given = F.element_at(F.array(*map(F.lit, GIVEN[g, script])), byte(0) % len(GIVEN[g, script]) + 1)
+        given = F.element_at(F.array(*map(F.lit, GIVEN[g, script])), byte(F.lit(0)) % len(GIVEN[g, script]) + 1)
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        family = F.concat(*(F.element_at(syllables, byte(k) % 16 + 1) for k in range(1, 5)), F.lit(ENDINGS.get((g, script), "")))
+        parts = F.transform(F.sequence(F.lit(1), F.least(attempt + 4, F.lit(127))), lambda k: F.element_at(syllables, byte(k) % 16 + 1))
+        family = F.concat(F.array_join(parts, ""), F.lit(ENDINGS.get((g, script), "")))
         return F.concat(title, F.when(two, F.concat(given, F.lit(" "))).otherwise(""), F.initcap(family))
 
     return (
@@ -187,11 +191,14 @@ def _name(entity: Column, stream: Column) -> Column:
 
 
 def surrogate(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Column:
-    """The canonical form of the surrogate of a canonical form."""
+    """The canonical form of the surrogate of a canonical form. Later attempts have longer ones: names, addresses and secrets from
+    the first on, numbers of a fixed length after REDRAWS of that length. So no set of entities uses all surrogates up."""
     stream = F.concat(*(_hash(key, kind, form, attempt, f"s{k}") for k in range(4)))
     bound = F.struct(
         kind.alias("kind"),
         form.alias("form"),
+        attempt.cast("int").alias("attempt"),
+        F.greatest(attempt.cast("int") - REDRAWS, F.lit(0)).alias("wider"),
         stream.alias("stream"),
         F.translate(stream, "abcdef", "012345").alias("decimal"),
         F.regexp_replace(form, r"\D", "").alias("digits"),
@@ -203,7 +210,7 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Co
 
 def _card(b: Column) -> Column:
     digits, decimal = b["digits"], b["decimal"]
-    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(decimal, F.lit(1), F.length(digits) - 2))
+    body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), F.substr(decimal, F.lit(1), F.length(digits) - 2 + b["wider"]))
     check = lambda x: F.when(_luhn(digits) == 0, F.pmod(10 - _luhn(F.concat(x, F.lit("0"))), F.lit(10)).cast("string")).otherwise(F.substr(decimal, F.lit(60), F.lit(1)))
     return let(body, lambda x: F.concat(x, check(x)))
 
@@ -217,13 +224,14 @@ def _surrogate(b: Column, key: str) -> Column:
     # What is replaced character by character, and what stands before it.
     before = F.when(kind == "iban", F.substr(form, F.lit(1), F.lit(2))).otherwise("")
     spelled = F.when(kind == "email", F.substring_index(form, "@", 1)).when(kind == "iban", F.substr(form, F.lit(3))).otherwise(form)
-    like = F.concat(before, _like(spelled, F.substr(stream, F.lit(1), F.lit(64)), b["hex"] & kind.isin("ip", "secret")))
+    longer = F.when(kind == "iban", F.repeat(F.lit("0"), b["wider"])).when(kind == "ip", F.repeat(F.lit("a"), b["wider"])).otherwise(F.repeat(F.when(form.rlike("^[0-9A-F]+$"), "A").otherwise("a"), b["attempt"]))
+    like = F.concat(before, _like(F.concat(spelled, longer), F.substr(stream, F.lit(1), F.lit(64)), b["hex"] & kind.isin("ip", "secret")))
     return (
         F.when(kind == "card", _card(b))
-        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+"), b["country"] + 1).otherwise(0)), F.substr(decimal, F.lit(1), n - b["country"])))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), F.lit(8))))
-        .when((kind == "ip") & form.contains("."), F.concat_ws(".", octet(0, 11, 200), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
-        .when(kind == "name", _name(form, stream))
+        .when(kind == "phone", F.concat(F.substr(form, F.lit(1), F.when(form.startswith("+"), b["country"] + 1).otherwise(0)), F.substr(decimal, F.lit(1), n - b["country"] + b["wider"])))
+        .when(kind == "ssn", F.concat(F.lit("9"), F.substr(decimal, F.lit(1), b["wider"] + 8)))
+        .when((kind == "ip") & form.contains("."), F.concat_ws(".", octet(0, 11, 200), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254), F.when(b["wider"] > 0, F.substr(decimal, F.lit(30), b["wider"]))))
+        .when(kind == "name", _name(form, stream, b["attempt"]))
         .otherwise(F.concat(like, F.when(kind == "email", F.concat(F.lit("@"), of_domain, F.lit(".example"))).otherwise("")))
     )
 
@@ -238,7 +246,7 @@ def laid_out(kind: Column, entity: Column, other: Column) -> Column:
             F.concat(done["text"], F.when(take, F.substr(F.regexp_replace(other, r"^\+", ""), done["k"], F.lit(1))).otherwise(c)).alias("text"),
         )
 
-    spread = F.aggregate(F.split(entity, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("text")), put, lambda done: done["text"])
+    spread = F.aggregate(F.split(entity, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("text")), put, lambda done: F.concat(done["text"], F.substr(F.regexp_replace(other, r"^\+", ""), done["k"])))
     shouted = (F.upper(entity) == entity) & (F.lower(entity) != entity)
     dotted = F.regexp_replace(other, rf"^({_ALL_TITLES}) ", "$1. ")
     return (
@@ -259,7 +267,7 @@ def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFra
     """(kind, form, attempt) of the distinct entities whose surrogate is not their first one."""
     now = scratch.table("try-0", entities.withColumn("attempt", F.lit(0)).withColumn("other", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)))
     real = entities.select("kind", F.col("form").alias("other"))
-    for k in range(1, ATTEMPTS + 1):
+    for k in count(1):
         shared = now.groupBy("kind", "other").agg(F.count(F.lit(1)).alias("n"), F.min("form").alias("first")).filter("n > 1").select("kind", "other", "first")
         taken = now.join(real, ["kind", "other"], "left_semi").select("kind", "form")
         late = now.join(shared, ["kind", "other"]).filter("form <> first").select("kind", "form")

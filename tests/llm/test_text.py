@@ -216,3 +216,22 @@ def test_pii_long_secrets(spark):
         assert not any(private[k : k + 20] in g for k in range(len(private) - 20))
     value = got[3].removeprefix("token=")
     assert len(value) == 2_000 and len({value[k : k + 20] for k in range(1_980)}) == 1_980
+
+
+def test_pii_collision_rounds_go_on(spark):
+    from rainloom.llm.common import Scratch
+
+    forms = [("email", f"{c}@mail.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "-" * 8), ("phone", "+1" + "0" * 4)]
+    forms += [("phone", f"+1{k:04d}") for k in range(1, 6_000)] + [("name", f"Dr X{k}") for k in range(70_000)]
+    entities = spark.createDataFrame(forms, "kind string, form string")
+    with Scratch(spark) as scratch:
+        moved = pii.collisions(entities, scratch)
+        final = entities.join(moved, ["kind", "form"], "left").select("kind", "form", pii.surrogate(F.col("kind"), F.col("form"), F.coalesce("attempt", F.lit(0))).alias("other"))
+        final = [tuple(r) for r in final.collect()]
+    assert len({(k, o) for k, _, o in final}) == len(forms)
+    assert not {(k, o) for k, _, o in final} & set(forms)
+
+
+def test_pii_longer_surrogates_are_laid_out_whole(spark):
+    row = spark.range(1).select(pii.laid_out(F.lit("phone"), F.lit("+1 22 33"), F.lit("+145678")).alias("x")).first()
+    assert row.x == "+1 45 678"
