@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_text, semi_join, settled, small_batches, trimmed
@@ -90,8 +90,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = 0
         flush()
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "n_shingles", "node", "sig"],
+            [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), batch.column(2)],
+            names=["doc_id", "n_shingles", "node", "sig", "text_key"],
         )
     trimmed()
 
@@ -243,14 +243,22 @@ def _links(percent: int):
     return links
 
 
+def _text_key() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    return _grouped(docs, percent).drop("text_key")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     small_batches(docs.sparkSession)
     with Scratch(docs.sparkSession) as scratch:
         described = scratch.table(
             "described",
-            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-                _described, "doc_id bigint, n_shingles bigint, node binary, sig binary"
+            docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key")).mapInArrow(
+                _described, "doc_id bigint, n_shingles bigint, node binary, sig binary, text_key string"
             ),
         )
         nodes = scratch.table(
@@ -286,18 +294,21 @@ def groups(docs: DataFrame, percent: int = 85) -> DataFrame:
         of_node = scratch.table("of_node", placed.join(lowest, "root").select("node", "component_id"))
         own = nodes.select("node", "low").join(of_node, "node", "left").select("node", F.coalesce("component_id", "low").alias("component_id"))
         return settled(
-            described.select("doc_id", "n_shingles", "node")
+            described.select("doc_id", "n_shingles", "node", "text_key")
             .join(own, "node", "left")
             .select(
                 "doc_id",
                 "n_shingles",
                 F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                "text_key",
             )
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
         )
 
 
 def keep_representatives(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; columns as in docs."""
-    lost = groups(docs, percent).filter(~F.col("kept")).select(id_text().alias("lost_key")).distinct()
-    return semi_join(docs.withColumn("lost_key", id_text()), lost, "lost_key", "left_anti").drop("lost_key")
+    """docs without the rows whose group has a smaller doc_id; columns as in docs. Rows are told apart by doc_id and text."""
+    key = F.concat_ws(":", id_text(), "text_key")
+    lost = _grouped(docs, percent).filter(~F.col("kept")).select(key.alias("lost_key")).distinct()
+    marked = docs.withColumn("lost_key", F.concat_ws(":", id_text(), _text_key()))
+    return semi_join(marked, lost, "lost_key", "left_anti").drop("lost_key")

@@ -120,3 +120,11 @@ def test_split_region_covers_all_rows():
     seen, sizes = set(), []
     neardup.split_region(keys, lambda rows: (seen.update(rows.tolist()), sizes.append(len(rows))), 0, 64, 16)
     assert seen == set(range(2_000)) and max(sizes) <= 64
+
+
+def test_near_drops_rows_and_not_ids(spark):
+    """Null and repeated ids: a row that loses takes no other row with it."""
+    copy = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, copy), (None, copy + " more"), (None, "a text of its own without an id at all"), (7, copy + " again"), (7, "another text of its own with the same id")]
+    left = neardup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.text for r in left)) == sorted((rows[0][1], rows[2][1], rows[4][1]))
