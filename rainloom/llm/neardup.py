@@ -3,15 +3,17 @@
 1. Each whole text gives its set of five-word shingles, a digest of the set and a signature of TREES x DEPTH
    MinHash values. Texts with equal sets become one node.
 2. Each tree orders the nodes by its DEPTH values (a range-partitioned sort). Nodes next to each other share
-   their longest prefix. A region is a run that shares MIN_DEPTH values; a region over REGION nodes is split at
+   their longest prefix. A region is all nodes that share MIN_DEPTH values. One over REGION nodes is first split at
    the next value, and so on, so the depth follows the density. What leaves the largest child of a split meets
    that child's representatives: those deepest on its path of largest children, most central first.
-3. Nodes of one region are compared on their full sets, all at once, in memory (REGION nodes at most). Only a
-   spanning set of the confirmed links leaves the task, so rows grow with the nodes and not with their pairs.
-4. Connected components of the links give the groups.
+3. Nodes of one group are compared on their full sets, all at once, in memory. Only a spanning set of the
+   confirmed links leaves the task, so rows grow with the nodes and not with their pairs.
+4. Where a large region is not one component by these links, it is dealt into blocks and each block meets each
+   other block, but for blocks of one and the same component. So all pairs of a region that matter are compared.
+5. Connected components of the links give the groups.
 
-No partner is capped within a region, and a node is in a region of each tree where it has any neighbour. A pair
-at the threshold shares MIN_DEPTH values in one of TREES trees with probability 1 - (1 - 0.85^4)^12 > 0.9999.
+No partner is capped within a region. A pair at the threshold shares MIN_DEPTH values in one of TREES trees with
+probability 1 - (1 - 0.85^4)^12 > 0.9998.
 
 Defined cases: null texts and texts without words have no shingles and no links; null ids form their own nodes
 by text and lose against any other id; repeated rows share a node; ties take the smallest id; an empty table
@@ -243,6 +245,28 @@ def _links(percent: int):
     return links
 
 
+def _block_pairs(dense: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """(group, node): a group for each two blocks of a region (prefix) that are not of one component."""
+    placed = scratch.table("placed", dense.join(roots, "node", "left").select("prefix", "node", F.coalesce("root", "node").alias("root")))
+    parts = scratch.table("parts", placed.groupBy("prefix", "root").agg(F.count(F.lit(1)).alias("n_root")))
+    still = parts.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_roots"), F.sum("n_root").alias("n")).filter("n_roots > 1").select("prefix", "n")
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.greatest(F.ceil(F.col(n) / REGION), F.lit(1))).cast("string")
+    one = F.col("n_root") >= REGION
+    held = placed.join(still, "prefix").join(parts, ["prefix", "root"]).select(
+        "prefix",
+        "node",
+        F.when(one, F.col("root")).alias("root"),
+        F.when(one, F.concat_ws(":", F.hex("root"), part("node", "n_root"))).otherwise(part("root", "n")).alias("block"),
+    )
+    held = scratch.table("blocks", held)
+    blocks = held.select("prefix", "block", "root").distinct()
+    a, b = (blocks.select("prefix", F.col("block").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    met = a.join(b, "prefix").filter("a <= b AND (root_a IS NULL OR root_b IS NULL OR root_a <> root_b)")
+    met = scratch.table("met", met.select("prefix", "a", "b", F.unhex(F.sha2(F.concat_ws("|", "prefix", "a", "b").cast("binary"), 256)).alias("group")))
+    sides = met.select("prefix", "group", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    return scratch.table("block-pairs", sides.join(held, ["prefix", "block"]).select("group", "node"))
+
+
 def _text_key() -> Column:
     return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
 
@@ -268,25 +292,42 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
         trees = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select(
             "node", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key")
         )
-        same = trees.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        central = scratch.table("central", trees.join(same, ["tree", "key"]).groupBy("node").agg(F.sum("n").alias("central")))
+        trees = trees.withColumn("prefix", F.concat(F.hex("tree"), F.lit(":"), F.hex(F.substring("key", 1, 2 * MIN_DEPTH))))
+        large = scratch.table("large", trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REGION).select("prefix"))
+        dense = scratch.table("dense", semi_join(trees, large, "prefix"))
+        small = (
+            semi_join(trees, large, "prefix", "left_anti")
+            .groupBy("prefix")
+            .agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+            .filter(F.size("nodes") > 1)
+            .select(F.unhex(F.sha2(F.array_join(F.transform("nodes", F.hex), "").cast("binary"), 256)).alias("group"), "nodes")
+        )
+        same = dense.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        central = scratch.table("central", dense.join(same, ["tree", "key"]).groupBy("node").agg(F.sum("n").alias("central")))
         ordered = (
-            trees.join(central, "node", "left")
+            dense.join(central, "node", "left")
             .select("tree", "key", F.coalesce("central", F.lit(0)).alias("central"), "node")
             .repartitionByRange("tree", "key", F.desc("central"), "node")
             .sortWithinPartitions("tree", "key", F.desc("central"), "node")
         )
-        found = scratch.table(
-            "regions",
-            ordered.select("tree", "key", "node").mapInArrow(_regions, "group binary, nodes array<binary>").dropDuplicates(["group"]),
-        )
-        members = found.select("group", F.explode("nodes").alias("node"))
-        wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(id_text("low").alias("key")).distinct()
-        wanted = scratch.table("wanted", wanted)
-        texts = semi_join(docs.select(id_text().alias("key"), F.col("text").cast("string").alias("text")), wanted, "key")
-        sets = texts.select("text").mapInArrow(_sets, "node binary, shingles binary")
-        compared = members.join(sets, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group")
-        links = compared.mapInArrow(_links(percent), "a binary, b binary")
+        split = ordered.select("tree", "key", "node").mapInArrow(_regions, "group binary, nodes array<binary>")
+        found = scratch.table("regions", small.unionByName(split).dropDuplicates(["group"]))
+
+        def linked(name: str, members: DataFrame) -> DataFrame:
+            """Links among the members (group, node) of each group, of their full sets."""
+            wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(id_text("low").alias("key")).distinct()
+            wanted = scratch.table(f"wanted-{name}", wanted)
+            texts = semi_join(docs.select(id_text().alias("key"), F.col("text").cast("string").alias("text")), wanted, "key")
+            sets = texts.select("text").mapInArrow(_sets, "node binary, shingles binary")
+            compared = members.join(sets, "node").select("group", "node", "shingles").repartition("group").sortWithinPartitions("group")
+            return scratch.table(f"links-{name}", compared.mapInArrow(_links(percent), "a binary, b binary"))
+
+        links = linked("near", found.select("group", F.explode("nodes").alias("node")))
+        if not large.isEmpty():
+            first = components(links, scratch, "first")
+            pairs = _block_pairs(dense.select("prefix", "node"), first, scratch)
+            if not pairs.isEmpty():
+                links = links.unionByName(linked("blocks", pairs))
         roots = components(links, scratch)
         # One row for each node that has a link, with the smallest id of its component.
         placed = roots.join(nodes.select("node", "low"), "node")

@@ -128,3 +128,33 @@ def test_near_drops_rows_and_not_ids(spark):
     rows = [(1, copy), (None, copy + " more"), (None, "a text of its own without an id at all"), (7, copy + " again"), (7, "another text of its own with the same id")]
     left = neardup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.text for r in left)) == sorted((rows[0][1], rows[2][1], rows[4][1]))
+
+
+def test_near_template_families_over_a_region(spark):
+    """Pairs just over the threshold among many documents of one template that are just under it."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(185)]
+    rows = []
+    for i in range(600):
+        words = base + [f"o{i}x{k}" for k in range(15)]
+        other = list(words)
+        for k in rng.sample(range(4), 3):
+            other[25 + 40 * k] = f"e{i}x{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_near_block_pairs_cover_a_region(spark):
+    """Each two nodes of a region over REGION that are not of one component meet."""
+    nodes = [f"n{k:03d}".encode() for k in range(600)]
+    dense = spark.createDataFrame([("p", n) for n in nodes] + [("q", n) for n in nodes[:300]], "prefix string, node binary")
+    roots = spark.createDataFrame([(n, nodes[0]) for n in nodes[:300]], "node binary, root binary")
+    with Scratch(spark) as scratch:
+        members = defaultdict(set)
+        for r in neardup._block_pairs(dense, roots, scratch).collect():
+            members[bytes(r.group)].add(bytes(r.node))
+    met = {(a, b) for m in members.values() for a in m for b in m if a < b}
+    assert all((a, b) in met for k, b in enumerate(nodes) if k >= 300 for a in nodes[:k])
