@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,14 @@ class Scratch:
                 raise ended
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, made longer until it is none of the taken column names (case does not tell names apart)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def id_text(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -1,124 +1,171 @@
 """Benchmark decontamination: which documents hold a passage within a small edit distance of a benchmark item.
 
-Texts are lower-cased and their white space is collapsed. Windows of the size of an item are taken where a word
-start of the document begins like a word start of the item (ANCHOR code points) and places the item there; an
-item with many word starts needs two that agree. Each window goes through the CGK random walk: at step j the
-walk copies the current code point and then stays or moves on by a random bit of (j, code point), the same for
-items and windows, so a small edit distance becomes a small Hamming distance. SAMPLED positions of the walk are
-the key of a bit-sampling LSH, repeated REPETITIONS times; a window that shares a key with its item is a
-candidate. The exact edit distance, over all substrings near the window, decides.
+Texts are lower-cased and their white space is collapsed. A passage of an item's size may lie anywhere in a document,
+so a CGK random walk starts at every place of an item and at every STRIDE-th place of a document: at step j the walk
+copies the current code point and then stays or moves on by a random bit of (j, code point), the same for items and
+documents. An edit costs the walks their step only until they meet again, so a small edit distance becomes a small
+Hamming distance; a walk takes STEPS steps, and as one starts at every place of a window, edits further on cost only
+the walks that pass them. SAMPLED steps are the key of a bit-sampling LSH, repeated REPETITIONS times with bits and
+steps of its own. A place that shares a key with place o of an item names a window of the item's size that begins o
+before it; where AGREE walks name windows that begin near each other, the window is a candidate. The exact edit
+distance, over all substrings near the window, decides.
+
+An item under SHORT code points has too few walks: it is cut into one piece more than it may have edits, so one of the
+pieces occurs unchanged in any passage (pigeonhole), and every occurrence of a piece is a candidate.
 
 Items are the query set. They are broadcast in blocks of at most BLOCK_CHARS code points, and each block meets
-all documents; nothing else is broadcast, no rows are shuffled.
+all documents; nothing else is broadcast, no rows are shuffled. A text is searched in blocks of PLACES places.
 
-Defined cases: null or blank items match nothing; null and empty documents match nothing; an item shorter than
-ANCHOR code points must occur exactly, between word ends; repeated rows give repeated results, equal items are
-reported each; an empty table on either side gives an empty result; further columns are ignored, or carried by
-``clean``. A text of any length is scanned whole.
+Defined cases: null or blank items match nothing; null and empty documents match nothing; an item under five code points
+must occur exactly; repeated rows give repeated results, equal items are reported each; an empty table on either side
+gives an empty result; further columns are ignored, or carried by ``clean``. A text of any length is scanned whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import code_points
-from .common import small_batches, trimmed
+from .common import fresh, small_batches, trimmed
 from .shingles import mixed
 
 #: Edits allowed, as a share of the item's length.
 MAX_EDITS = 0.2
-ANCHOR = 8
-#: An item with this many anchors or more needs two that agree.
-TWO_FROM = 8
-#: Distance of starts that agree.
-DRIFT = 6
-SAMPLED, REPETITIONS = 2, 24
-BLOCK_CHARS = 4_000_000
-#: From here on scripts write words without spaces: every character is a word start.
-_UNSPACED = 0x2E80
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+STEPS, SAMPLED, REPETITIONS, STRIDE = 28, 12, 2, 2
+#: Walks that must name nearly the same window.
+AGREE = 3
+#: Code points of the item that they must at least lie apart.
+APART = 8
+SHORT = 40
+BLOCK_CHARS = 2_000_000
+#: Passages that wait for comparison, and those that are compared together.
+WAITING, TOGETHER = 4_096, 1_024
+#: Item lengths that a passage is cut to.
+REACH = 4
+#: Characters of the documents that are searched together.
+GATHERED = 8_000_000
+#: Places of a text that are walked from at once, and hits that are held at once.
+PLACES, HITS = 1 << 16, 1 << 21
+_SEED = 12
+_FACTOR = np.int64(0x1E3779B97F4A7C15)
+#: Walks that are stepped together, so that they stay in a core's cache.
+CACHED = 1 << 13
 
 
 def normalised(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the word starts with ANCHOR code points to come."""
-    n = len(codes) - ANCHOR + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = codes[:n] >= _UNSPACED
-    start[0] = True
-    start[1:] |= codes[: n - 1] == 32
-    at = np.flatnonzero(start)
+class Pattern:
+    """An item for the bit-parallel edit distance: for each of its code points the places where it stands, 64 to a word."""
+
+    def __init__(self, codes: np.ndarray):
+        self.size, self.words = len(codes), (len(codes) + 63) // 64
+        self.codes, which = np.unique(codes, return_inverse=True)
+        # The last row stands for code points that the item does not hold.
+        self.masks = np.zeros((len(self.codes) + 1, self.words), np.uint64)
+        at = np.arange(len(codes))
+        np.bitwise_or.at(self.masks, (which, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+
+    def rows(self, codes: np.ndarray) -> np.ndarray:
+        """The row of masks of each code point."""
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, len(self.codes))
+
+
+def closest(pairs: list[tuple[Pattern, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each pattern and text (edit distance, end) of the text's first substring that is closest to the pattern.
+
+    Bit-parallel dynamic programming over all pairs at once, a text position after the other: the bits of a word are
+    the vertical differences of 64 rows, and horizontal differences are carried from word to word.
+    """
+    n, words = len(pairs), max((p.words for p, _ in pairs), default=0)
+    length = max((len(t) for _, t in pairs), default=0)
+    one, zero, top = np.uint64(1), np.uint64(0), np.uint64(63)
+    base = np.cumsum([0, *(len(p.masks) for p, _ in pairs)])
+    table = np.zeros((words, int(base[-1])), np.uint64)
+    # Past its end a text holds nothing of the pattern, which never makes it closer.
+    rows = np.empty((length, n), np.int64)
+    for k, (p, t) in enumerate(pairs):
+        table[: p.words, base[k] : base[k + 1]] = p.masks.T
+        rows[:, k] = base[k + 1] - 1
+        rows[: len(t), k] = base[k] + p.rows(t)
+    size = np.array([p.size for p, _ in pairs], np.int64)
+    last, last_bit = (size - 1) // 64, ((size - 1) % 64).astype(np.uint64)
+    up, down = np.full((words, n), ~zero), np.zeros((words, n), np.uint64)
+    score, best, end = size.copy(), size.copy(), np.zeros(n, np.int64)
     with np.errstate(over="ignore"):
-        h = codes[at].astype(np.uint64)
-        for j in range(1, ANCHOR):
-            h = h * _FACTOR + codes[at + j]
-    return at, mixed(h)
-
-
-def edit_masks(pattern: str) -> dict[str, int]:
-    masks: dict[str, int] = {}
-    for k, c in enumerate(pattern):
-        masks[c] = masks.get(c, 0) | 1 << k
-    return masks
-
-
-def closest(masks: dict[str, int], size: int, text: str) -> tuple[int, int]:
-    """(edit distance, end) of the substring of text that is closest to the pattern; bit-parallel dynamic programming."""
-    full, high = (1 << size) - 1, 1 << (size - 1)
-    up, down, score, best, end = full, 0, size, size, 0
-    for j, c in enumerate(text):
-        eq = masks.get(c, 0)
-        x = eq | down
-        across = (((eq & up) + up) ^ up) | eq
-        plus = (down | ~(across | up)) & full
-        minus = up & across
-        if plus & high:
-            score += 1
-        elif minus & high:
-            score -= 1
-        plus, minus = plus << 1 & full, minus << 1 & full
-        up, down = (minus | ~(x | plus)) & full, plus & x
-        if score < best:
-            best, end = score, j + 1
+        for j in range(length):
+            plus_in, minus_in = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            for w in range(words):
+                eq, u, d = table[w, rows[j]], up[w], down[w]
+                x = eq | d
+                eq |= minus_in
+                across = (((eq & u) + u) ^ u) | eq
+                plus = d | ~(across | u)
+                minus = u & across
+                ends = last == w
+                if ends.any():
+                    score += np.where(ends, (plus >> last_bit & one).astype(np.int64) - (minus >> last_bit & one).astype(np.int64), 0)
+                plus_out, minus_out = plus >> top, minus >> top
+                plus = plus << one | plus_in
+                minus = minus << one | minus_in
+                up[w] = minus | ~(x | plus)
+                down[w] = plus & x
+                plus_in, minus_in = plus_out, minus_out
+            better = score < best
+            best[better], end[better] = score[better], j + 1
     return best, end
 
 
-def walk(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int, places: np.ndarray) -> np.ndarray:
-    """For each string flat[start : start + size] the code points that the CGK walk of ``seed`` copies at the ascending
-    steps ``places[:, k]`` (0 past its end)."""
-    steps = int(places.max()) + 1 if places.size else 0
-    # One stream each: however many steps a call takes, a step's bits are the same.
-    multiply = np.random.default_rng([seed, 98]).integers(1, 2**32, steps, dtype=np.uint64) | np.uint64(1)
-    add = np.random.default_rng([seed, 99]).integers(0, 2**32, steps, dtype=np.uint64)
-    at, out = np.zeros(len(starts), np.int64), np.zeros(places.shape, np.uint32)
-    last = max(len(flat) - 1, 0)
-    wanted = np.unique(places)
-    wanted_steps = set(wanted.tolist())
-    with np.errstate(over="ignore"):
-        for j in range(steps):
-            c = np.where(at < sizes, flat[np.minimum(starts + at, last)], np.uint32(0))
-            if j in wanted_steps:
-                hit = places == j
-                out[hit] = np.broadcast_to(c[:, None], places.shape)[hit]
-            at += ((c.astype(np.uint64) * multiply[j] + add[j]) >> np.uint64(31) & np.uint64(1)).astype(np.int64)
-    return out
+@lru_cache(maxsize=1)
+def sampled_steps() -> list[frozenset[int]]:
+    """The steps that are the key, for each repetition."""
+    return [frozenset(np.random.default_rng([_SEED, r]).choice(STEPS, SAMPLED, replace=False).tolist()) for r in range(REPETITIONS)]
 
 
-def sampled_places(sizes: np.ndarray, seed: int) -> np.ndarray:
-    """SAMPLED steps of a walk of 2 * size steps, a function of the size, so that an item and its windows agree."""
-    rng = np.random.default_rng([seed, 7])
-    return (rng.random(SAMPLED)[None, :] * (2 * sizes[:, None])).astype(np.int64)
+def walk_keys(codes: np.ndarray, begin: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every STRIDE-th place from begin and the LSH key of the walk of ``repetition`` from it; a walk past the end copies zeros."""
+    wanted = sampled_steps()[repetition]
+    # Bit j of a code point's hash says whether step j moves on; the hash stands for the code point in the key.
+    moves = np.concatenate([mixed(codes.astype(np.uint64) + np.uint64((repetition + 1) << 32)).view(np.int64), np.zeros(STEPS + 1, np.int64)])
+    places = np.arange(begin, len(codes), STRIDE)
+    keys = np.zeros(len(places), np.int64)
+    with np.errstate(over="ignore"):
+        for a in range(0, len(places), CACHED):
+            at, key = places[a : a + CACHED].copy(), keys[a : a + CACHED]
+            here = np.empty_like(at)
+            for j in range(STEPS):
+                np.take(moves, at, out=here, mode="wrap")  # the quickest mode; no place is out of range
+                if j in wanted:
+                    key *= _FACTOR
+                    key += here
+                here >>= j
+                here &= 1
+                at += here
+    return places, (keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+
+
+def _all_walks(codes: np.ndarray, repetition: int) -> np.ndarray:
+    """The keys of the walks from all places of an item but the last, in order."""
+    keys = np.empty(len(codes), np.uint32)
+    for k in range(STRIDE):
+        keys[k::STRIDE] = walk_keys(codes, k, repetition)[1]
+    return keys[: len(codes) - STEPS // 2]
+
+
+def pieces(text: str) -> list[str]:
+    """text cut into one piece more than it may have edits."""
+    n = int(MAX_EDITS * len(text)) + 1
+    cuts = [len(text) * k // n for k in range(n + 1)]
+    return [text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 @dataclass
@@ -129,104 +176,120 @@ class Items:
     texts: list[str]
 
     def __post_init__(self) -> None:
-        self.codes = [code_points(t) for t in self.texts]
-        self.sizes = np.array([len(c) for c in self.codes], np.int64)
-        self.starts = np.cumsum([0, *self.sizes[:-1]]) if len(self.sizes) else np.zeros(0, np.int64)
-        self.flat = np.concatenate([*self.codes, np.zeros(1, np.uint32)])
-        self.masks: dict[int, dict[str, int]] = {}
-        hashes, owner, offset, needs = [], [], [], []
-        self.short = [k for k, c in enumerate(self.codes) if 0 < len(c) < ANCHOR]
-        for k, c in enumerate(self.codes):
-            at, h = anchors(c)
-            hashes.append(h)
-            owner.append(np.full(len(at), k))
-            offset.append(at)
-            needs.append(2 if len(at) >= TWO_FROM else 1)
-        hashes = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owner, self.offset = (np.concatenate([*x, np.zeros(0, np.int64)])[order].astype(np.int64) for x in (owner, offset))
-        self.needs = np.array(needs, np.int64)
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
-        self.keys = [walk(self.flat, self.starts, self.sizes, r, sampled_places(self.sizes, r)) for r in range(REPETITIONS)] if self.ids else []
-
-    def windows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(items, starts) of the windows of a document; starts may be negative or near its end."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, h = anchors(codes)
-        some = self.seen[(h >> np.uint64(44)).astype(np.int64)]
-        at, h = at[some], h[some]
-        lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-        n = hi - lo
-        if not n.sum():
-            return none
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start, anchor = self.owner[which], np.repeat(at, n) - self.offset[which], self.offset[which]
-        order = np.lexsort((start, item))
-        item, start, anchor = item[order], start[order], anchor[order]
-        # Starts of one item that lie within DRIFT of the next are one window: inserted and deleted characters between
-        # two anchors shift what they name.
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (start[1:] - start[:-1] > DRIFT)
-        lead = np.flatnonzero(new)
-        # Two anchors agree if they do not come from one short phrase.
-        span = np.maximum.reduceat(anchor, lead) - np.minimum.reduceat(anchor, lead)
-        good = np.flatnonzero((span >= 2 * ANCHOR) | (self.needs[item[lead]] == 1))
-        if not len(good):
-            return none
-        # Of a run its middle start, and for a long one a start every DRIFT places.
-        ends = np.append(lead[1:], len(item)) - 1
-        middle = (lead[good] + ends[good]) // 2
-        wide = np.flatnonzero(start[ends[good]] - start[lead[good]] > 4 * DRIFT)
-        extra = [i for k in wide for i in range(lead[good[k]], ends[good[k]] + 1) if (start[i] - start[i - 1] if i > lead[good[k]] else 1)]
-        rows = np.unique(np.concatenate([middle, np.array(extra, np.int64)]))
-        return item[rows], start[rows]
+        codes = [code_points(t) for t in self.texts]
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.patterns = [Pattern(c) if len(c) else None for c in codes]
+        self.short = [(k, pieces(t)) for k, t in enumerate(self.texts) if 0 < len(t) < SHORT]
+        long = [k for k, t in enumerate(self.texts) if len(t) >= SHORT]
+        self.longest = max((len(codes[k]) for k in long), default=0)
+        self.tables = []
+        for r in range(REPETITIONS) if long else ():
+            # A walk that would run past the item's end meets other text in a document.
+            walks = [_all_walks(codes[k], r) for k in long]
+            keys = np.concatenate(walks)
+            order = np.argsort(keys, kind="stable")
+            owner = np.repeat(np.array(long, np.int32), [len(x) for x in walks])[order]
+            offset = np.concatenate([np.arange(len(x)) for x in walks])[order].astype(np.int32)
+            bits = min(32, max(16, (16 * len(keys)).bit_length()))
+            seen = np.zeros(1 << bits, bool)
+            seen[keys >> np.uint32(32 - bits)] = True
+            self.tables.append((keys[order], owner, offset, seen, np.uint32(32 - bits)))
+
+    def hits(self, codes: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(items, starts of their windows, offsets of the walks) of the walks that begin from begin to end."""
+        found = []
+        part = codes[begin : min(end + STEPS, len(codes))]
+        for r, (keys, owner, offset, seen, shift) in enumerate(self.tables):
+            # Repetitions take places in turn: STRIDE walks begin at STRIDE places that follow each other.
+            at, key = walk_keys(part, (r - begin) % STRIDE, r)
+            some = np.flatnonzero(seen[key >> shift] & (at < end - begin))
+            at, key = at[some], key[some]
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            n = high - low
+            which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            found.append((owner[which].astype(np.int64), np.repeat(at, n) + begin - offset[which], offset[which].astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def windows(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first start, last start) of the candidate windows of a text; a start may be negative."""
+        out: list[tuple[int, int, int]] = []
+        overlap = 2 * self.longest
+        work = [(a, min(a + PLACES + overlap, len(codes))) for a in range(0, len(codes), PLACES)][::-1] if self.tables else []
+        while work:
+            begin, end = work.pop()
+            item, start, offset = self.hits(codes, begin, end)
+            if len(item) > HITS and end - begin > 4 * overlap:
+                middle = (begin + end) // 2
+                work += [(middle, end), (begin, middle + overlap)]
+                continue
+            order = np.lexsort((start, item))
+            item, start, offset = item[order], start[order], offset[order]
+            if len(item) < AGREE:
+                continue
+            # Windows of one item agree as long as each begins near the next: edits between two walks shift what they name.
+            new = np.ones(len(item), bool)
+            new[1:] = (item[1:] != item[:-1]) | ((start[1:] - start[:-1]) * 8 > self.sizes[item[1:]])
+            lead = np.flatnonzero(new)
+            ends = np.append(lead[1:], len(item)) - 1
+            apart = np.maximum.reduceat(offset, lead) - np.minimum.reduceat(offset, lead)
+            good = (ends - lead + 1 >= AGREE) & (apart >= APART)
+            out += zip(item[lead[good]].tolist(), start[lead[good]].tolist(), start[ends[good]].tolist(), strict=True)
+        return out
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the closest passage for each row and item that match."""
-        rows, which, at, docs, found = [], [], [], {}, {}
-        flat, base, size = [], [], 0
+        spans: list[tuple[int, int, int, np.ndarray]] = []
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+
+        def compare() -> None:
+            # Passages of about one length and one number of words together.
+            spans.sort(key=lambda s: (self.patterns[s[1]].words, len(s[3])))
+            for at in range(0, len(spans), TOGETHER):
+                some = spans[at : at + TOGETHER]
+                edits, ends = closest([(self.patterns[k], passage) for _, k, _, passage in some])
+                for (row, k, a, _), e, end in zip(some, edits.tolist(), ends.tolist(), strict=True):
+                    if e <= MAX_EDITS * self.sizes[k]:
+                        found[row, k] = min(found.get((row, k), (e, a + end)), (e, a + end))
+            spans.clear()
+
         for row, text in enumerate(texts):
             text = normalised(text)
             codes = code_points(text)
-            for k in self.short:
-                if f" {self.texts[k]} " in f" {text} ":
-                    found[row, k] = (0, f" {text} ".index(f" {self.texts[k]} "))
-            item, start = self.windows(codes)
-            if len(item):
-                docs[row] = text
-                rows.append(np.full(len(item), row))
-                which.append(item)
-                at.append(start)
-                base.append(size + np.clip(start, 0, None))
-                flat.append(codes)
-                size += len(codes)
-        if rows:
-            row, item, start, begin = (np.concatenate(x) for x in (rows, which, at, base))
-            flat.append(np.zeros(int(self.sizes.max()) + 1, np.uint32))
-            codes = np.concatenate(flat)
-            hit = np.zeros(len(row), bool)
-            for r in range(REPETITIONS):
-                left = np.flatnonzero(~hit)
-                if not len(left):
-                    break
-                sizes = self.sizes[item[left]]
-                key = walk(codes, begin[left], sizes, r, sampled_places(sizes, r))
-                hit[left] = (key == self.keys[r][item[left]]).all(axis=1)
-            done: dict[tuple[int, int], int] = {}
-            for k in np.flatnonzero(hit):
-                i, d, s = int(item[k]), int(row[k]), int(start[k])
-                slack = int(MAX_EDITS * self.sizes[i]) + 1
-                if done.get((d, i), -1) >= s:  # already covered by the last region that was searched
-                    continue
-                masks = self.masks.setdefault(i, edit_masks(self.texts[i]))
-                a, b = max(0, s - slack), s + int(self.sizes[i]) + 2 * slack
-                edits, end = closest(masks, int(self.sizes[i]), docs[d][a:b])
-                done[d, i] = s + slack // 2
-                if edits <= MAX_EDITS * self.sizes[i]:
-                    found[d, i] = min(found.get((d, i), (edits, a + end)), (edits, a + end))
-        return [(d, i, edits, max(0, end - int(self.sizes[i]))) for (d, i), (edits, end) in sorted(found.items())]
+            for k, regions in sorted(self.regions(text, codes).items()):
+                for a, b in regions:
+                    spans.append((row, k, a, codes[a:b].copy()))
+            if len(spans) >= WAITING:
+                compare()
+        compare()
+        return [(row, k, edits, max(0, end - int(self.sizes[k]))) for (row, k), (edits, end) in sorted(found.items())]
+
+    def regions(self, text: str, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """For each item the stretches of a text that hold its candidate windows, apart from each other and no longer than REACH
+        item lengths (longer ones are cut, with an overlap of all that a passage may take)."""
+        near: dict[int, list[tuple[int, int]]] = {}
+        for k, first, last in self.windows(codes):
+            slack = int(MAX_EDITS * self.sizes[k]) + 1
+            near.setdefault(k, []).append((first - slack, last + int(self.sizes[k]) + 2 * slack))
+        for k, cut in self.short:
+            size, edits, before = len(self.texts[k]), len(cut) - 1, 0
+            for piece in cut:
+                at = text.find(piece)
+                while at >= 0:
+                    near.setdefault(k, []).append((at - before - edits, at - before + size + edits))
+                    at = text.find(piece, at + 1)
+                before += len(piece)
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k, spans in near.items():
+            merged: list[list[int]] = []
+            for a, b in sorted(spans):
+                a, b = max(0, a), min(b, len(codes))
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], b)
+                else:
+                    merged.append([a, b])
+            step, overlap = REACH * int(self.sizes[k]), 2 * int(self.sizes[k])
+            out[k] = [(at, min(b, at + step + overlap)) for a, b in merged for at in range(a, max(a + 1, b - overlap), step)]
+        return out
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
@@ -247,10 +310,24 @@ def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     yield Items(ids, texts)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their last columns, the texts, hold GATHERED bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.num_columns - 1).nbytes
+        if size >= GATHERED:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _search(held):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = held.value
-        for batch in batches:
+        for batch in _gathered(batches):
             ids = batch.column(0)
             found = items.find(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -281,20 +358,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _passed(held, clean_name: str):
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            hit = {f[0] for f in held.value.find(batch.column(batch.num_columns - 1).to_pylist())}
+            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in hit], pa.int64())).drop_columns([clean_name])
+        trimmed()
+
+    return passed
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that hold a benchmark item; columns as in docs."""
     out = docs
     small_batches(docs.sparkSession)
     for items in item_blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(items)
-
-        def hit(held=held):
-            @F.pandas_udf("boolean")
-            def hit(text: pd.Series) -> pd.Series:
-                rows = {f[0] for f in held.value.find(text.tolist())}
-                return pd.Series([k in rows for k in range(len(text))])
-
-            return hit
-
-        out = out.filter(~hit()(F.col("text").cast("string")))
+        searched = fresh("searched", docs.columns)
+        rows = out.withColumn(searched, F.col("text").cast("string"))
+        out = rows.mapInArrow(_passed(docs.sparkSession.sparkContext.broadcast(items), searched), docs.schema)
     return out

@@ -110,7 +110,7 @@ def test_decontamination_finds_planted_and_leaves_clean(spark, documents, sf_dir
     found = decontaminate.contaminated(documents, benchmark).collect()
     assert want <= {(r.doc_id, r.item_id) for r in found}
     for r in found:
-        assert r.edit_distance == decontaminate.closest(decontaminate.edit_masks(items[r.item_id]), len(items[r.item_id]), texts[r.doc_id])[0]
+        assert r.edit_distance == edit_distance_within(items[r.item_id], texts[r.doc_id])
         assert r.edit_distance <= decontaminate.MAX_EDITS * len(items[r.item_id])
     assert decontaminate.contaminated(odd, benchmark).collect() == []
     assert decontaminate.contaminated(empty, benchmark).collect() == decontaminate.contaminated(documents, benchmark.filter("false")).collect() == []
@@ -119,35 +119,98 @@ def test_decontamination_finds_planted_and_leaves_clean(spark, documents, sf_dir
     assert {r.doc_id for r in left.collect()} == set(texts) - {r.doc_id for r in found}
 
 
-def test_decontamination_recall_under_edits(spark, sf_dir):
+def edit_distance_within(pattern, text):
+    """Edit distance to the closest substring, by the plain dynamic programme."""
+    import numpy as np
+
+    p = np.array([ord(c) for c in pattern])
+    rows = np.arange(len(p) + 1)
+    before, best = rows.copy(), len(p)
+    for c in text:
+        now = before.copy()
+        now[1:] = np.minimum(before[:-1] + (p != ord(c)), before[1:] + 1)
+        now[0] = 0
+        before = np.minimum.accumulate(now - rows) + rows
+        best = min(best, int(before[-1]))
+    return best
+
+
+def edited(text, kind, rate, rng):
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    chars, n = list(text), int(rate * len(text))
+    if kind == "first letters":
+        return " ".join(("q" if w[0] != "q" else "x") + w[1:] for w in text.split())
+    if kind == "blanks lost":
+        return text.replace(" ", "")
+    if kind == "every eighth":
+        return "".join("q" if k % 8 == 3 and c != "q" else c for k, c in enumerate(chars))
+    for at in sorted(rng.sample(range(len(chars)), n), reverse=True):
+        if kind == "substitutions":
+            chars[at] = rng.choice(letters)
+        elif kind == "insertions":
+            chars.insert(at, rng.choice(letters))
+        else:
+            del chars[at]
+    return decontaminate.normalised("".join(chars))
+
+
+EDITS = [(kind, rate) for kind in ("substitutions", "insertions", "deletions") for rate in (0.05, 0.1, 0.15, 0.19)]
+
+
+@pytest.mark.parametrize("kind,rate", [*EDITS, ("first letters", 0), ("every eighth", 0), ("blanks lost", 0)])
+def test_decontamination_recall_against_brute_force(spark, kind, rate):
+    """Of the passages within the bound by plain dynamic programming, the share that is found."""
     import random
 
     rng = random.Random(1)
-    texts = [decontaminate.normalised(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    items = decontaminate.Items(list(range(len(texts))), texts)
-    hit = 0
-    for k, t in enumerate(texts):
-        chars = list(t)
-        for _ in range(len(chars) // 10):
-            chars[rng.randrange(len(chars))] = rng.choice("abcdefghijklmnop ")
-        hit += any(f[1] == k for f in items.find(["some words before it " + "".join(chars) + " and after"]))
-    assert hit / len(texts) >= 0.95
+    items = [decontaminate.normalised(r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").orderBy("item_id").limit(100).collect()]
+    passages = ["some words before it " + edited(t, kind, rate, rng) + " and after" for t in items]
+    within = [k for k, (i, t) in enumerate(zip(items, passages, strict=True)) if edit_distance_within(i, t) <= decontaminate.MAX_EDITS * len(i)]
+    assert len(within) > 80
+    found = {f[:2] for f in decontaminate.Items(list(range(len(items))), items).find(passages)}
+    # Lost blanks are edits at regular places, near the bound: the hardest case for walks.
+    assert sum((k, k) in found for k in within) / len(within) >= (0.8 if kind == "blanks lost" else 0.93)
+
+
+def test_decontamination_of_short_items_is_exact():
+    import random
+
+    rng = random.Random(7)
+    items = ["".join(rng.choice("abc de") for _ in range(n)) for n in (1, 3, 4, 5, 9, 10, 14, 24, 39, 40)]
+    items = [decontaminate.normalised(t) or "z" for t in items] + ["abcdefgh ij"]
+    texts = ["".join(rng.choice("abc de") for _ in range(rng.randint(0, 80))) for _ in range(150)] + ["xx abcdefgh xij", None, ""]
+    held = decontaminate.Items(list(range(len(items))), items)
+    found = {(row, k): e for row, k, e, _ in held.find(texts)}
+    short = {k for k, i in enumerate(items) if len(i) < decontaminate.SHORT}
+    want = {}
+    for row, t in enumerate(texts):
+        t = decontaminate.normalised(t)
+        for k in short:
+            e = edit_distance_within(items[k], t)
+            if t and e <= decontaminate.MAX_EDITS * len(items[k]):
+                want[row, k] = e
+    assert {x: e for x, e in found.items() if x[1] in short} == want and (150, len(items) - 1) in want
+
+
+def test_decontamination_repeated_rows_and_long_texts(spark):
+    item = "when it rains over the valley the river carries away the small stones that lie near the bank"
+    long = "lorem ipsum dolor " * 20_000
+    rows = [(1, item), (1, item), (2, long + item + long), (3, long)]
+    docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, searched string")
+    benchmark = spark.createDataFrame([(5, item), (6, item), (7, None)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.edit_distance) for r in decontaminate.contaminated(docs, benchmark).collect())
+    assert found == [(1, 5, 0), (1, 5, 0), (1, 6, 0), (1, 6, 0), (2, 5, 0), (2, 6, 0)]
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [3]
 
 
 def test_closest_against_plain_dynamic_programming():
     import random
 
     rng = random.Random(2)
-    for _ in range(60):
-        p, t = ("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (12, 30))
-        row = list(range(len(p) + 1))
-        best = row[-1]
-        for c in t:
-            new = [0]
-            for k, x in enumerate(p):
-                new.append(min(new[-1] + 1, row[k + 1] + 1, row[k] + (x != c)))
-            row, best = new, min(best, new[-1])
-        assert decontaminate.closest(decontaminate.edit_masks(p), len(p), t)[0] == best
+    strings = [tuple("".join(rng.choice("abc") for _ in range(rng.randint(1, n))) for n in (150, 300)) for _ in range(60)]
+    edits, _ = decontaminate.closest([(decontaminate.Pattern(decontaminate.code_points(p)), decontaminate.code_points(t)) for p, t in strings])
+    assert edits.tolist() == [edit_distance_within(p, t) for p, t in strings]
 
 
 TEXTS = [
