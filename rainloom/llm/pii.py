@@ -1,11 +1,14 @@
 r"""Personal data and secrets replaced by keyed surrogates, in DataFrame functions only.
 
 One pattern finds the entities; ``split`` by it gives the text between them, so a document is its gaps and its
-entities in turn. An entity has a kind and a canonical form (digits of a card, lower case of an address), and its
-surrogate is a function of a secret key, kind and canonical form alone: the same entity gets the same surrogate in every document
-(coreference), written in the layout of each mention (spaces, brackets, case). Surrogates keep the kind: digits for
-digits, letters of the same script and case for letters, hexadecimal for hexadecimal, a Luhn-valid card for a
-valid one, an address for an address, a name of the same gender and script for a name.
+entities in turn. An entity has a kind and a canonical form (digits of a card, lower case of an address, gender and
+names of a person), and its surrogate is a function of a secret key, kind and canonical form alone: the same entity
+gets the same surrogate in every document (coreference), written in the layout of each mention (spaces, brackets,
+case, title). Within a document a person called by title and family name, or by the family name alone, is the first
+one named in full with it. Surrogates keep the kind: digits for digits, letters of the same script and case for
+letters, hexadecimal for hexadecimal, a Luhn-valid card for a valid one, an address for an address, a name of the same
+gender and script for a name. Thirteen digits and more in one row that fail the Luhn check are no card and stay.
+Names are found by a title or by a given name of the list, so others are missed.
 
 Collision check: the distinct entities of the corpus are written down with their surrogates. Where two share one,
 or a surrogate is a real entity, all but the first take the next attempt, until none collide. The few that moved
@@ -40,10 +43,12 @@ SYLLABLES = {"latin": "ba do fen gar hol jin kel lor mas nev pol rud sen tor vik
 ENDINGS = {("m", "cyrillic"): "ов", ("f", "cyrillic"): "ова"}
 
 _GAP = r"[^\p{L}\p{N}\n()+]{0,6}"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,30}+"
+#: Words after a given name that make it a place or an institution.
+PLACES = "Street St Avenue Road Lane Square Bridge Park Hall College University School Church Hospital Airport Island Museum Library Award Prize Day".split()
+_NAME = rf"(?!(?:{'|'.join(PLACES)})(?![\p{{L}}]))\p{{Lu}}[\p{{L}}'’-]{{1,30}}+"
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
 _ALL_TITLES = "|".join(t for names in TITLES.values() for t in names)
-_NAMED = rf"(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})"
+_NAMED = rf"(?=\p{{Lu}})(?:(?:{_ALL_TITLES})\.? {_NAME}(?: {_NAME})?|(?:{_ALL_GIVEN}) {_NAME})(?! (?:{'|'.join(PLACES)})(?![\p{{L}}]))"
 #: What names a secret, up to its value.
 _LED = r"""(?i:token|secret|password|passwd|pwd|api[_-]?key|access_key)["']?\s{0,3}[=:]\s{0,3}["']?"""
 _VALUE = r"[A-Za-z0-9+/_~.-]{8,}+"
@@ -66,7 +71,8 @@ KINDS = [
 ]
 #: First and last what may follow letters: named secrets and cards.
 PATTERN = rf"{_NAMED_SECRET}|(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}+(._%-])(?:" + "|".join(f"(?:{p})" for _, p in KINDS) + rf")|(?<=\p{{L}})(?=\d){_CARD}"
-KEY = "rainloom"
+#: The kind of what the pattern finds and a closer look lets go.
+NONE = "none"
 #: Texts with entities whose digests may be broadcast, some tens of MB.
 HELD_ROWS = 100_000
 #: Attempts in the length of a number before surrogates get longer.
@@ -84,6 +90,8 @@ def kind_of(entity: Column) -> Column:
         .when(entity.contains("@"), "email")
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}") | whole(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"), "ip")
         .when(whole(r"\d{3}-\d{2}-\d{4}"), "ssn")
+        # Digits in one row are a card only where they pass the card's own check.
+        .when(whole(r"\d{13,19}"), F.when(_luhn(entity) == 0, "card").otherwise(NONE))
         .when(whole(r"\d(?:[ -]?\d){12,18}"), "card")
         .when(entity.rlike(r"^[+(]\d") | whole(r"\d{3}[-.]\d{3}[-.]\d{4}"), "phone")
         .when(whole(_NAMED), "name")
@@ -99,11 +107,15 @@ def canonical(kind: Column, entity: Column) -> Column:
         .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .when(kind.isin("email", "ip"), F.lower(entity))
-        .when(kind == "name", F.regexp_replace(entity, r"\.", ""))
+        .when(kind == "name", F.concat(_gender(entity), F.lit(":"), _untitled(entity)))
         .otherwise(F.regexp_replace(entity, f"^{_LED}", ""))
     )
 
 
+def _untitled(name: Column) -> Column:
+    return F.regexp_replace(name, rf"^(?:{_ALL_TITLES})\.? ", "")
+
+
 def let(value: Column, body) -> Column:
     """body of a value that is computed once, however often the body names it; it keeps plans small too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -170,27 +182,25 @@ def _gender(entity: Column) -> Column:
     return F.when(female, "f").when(male, "m").otherwise(inner)
 
 
-def _name(entity: Column, stream: Column, attempt: Column) -> Column:
-    """The title, if any, then a given name (where the entity has two names) and a family name of its gender and script, a
-    syllable longer with each attempt."""
+def _name(form: Column, stream: Column, attempt: Column) -> Column:
+    """A given name (where the form has two names) and a family name of its gender and script, a syllable longer with each
+    attempt."""
     byte = lambda k: F.conv(F.substr(stream, (F.lit(2) * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-    gender, cyrillic = _gender(entity), entity.rlike(r"\p{IsCyrillic}")
-    title = F.regexp_extract(entity, rf"^((?:{_ALL_TITLES})\.? )?", 1)
-    two = F.regexp_replace(entity, rf"^(?:{_ALL_TITLES})\.? ", "").contains(" ")
+    gender, cyrillic, two = F.substr(form, F.lit(1), F.lit(1)), form.rlike(r"\p{IsCyrillic}"), form.contains(" ")
 
     def of(g: str, script: str) -> Column:
         given = F.element_at(F.array(*map(F.lit, GIVEN[g, script])), byte(F.lit(0)) % len(GIVEN[g, script]) + 1)
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
         parts = F.transform(F.sequence(F.lit(1), F.least(attempt + 4, F.lit(127))), lambda k: F.element_at(syllables, byte(k) % 16 + 1))
         family = F.concat(F.array_join(parts, ""), F.lit(ENDINGS.get((g, script), "")))
-        return F.concat(title, F.when(two, F.concat(given, F.lit(" "))).otherwise(""), F.initcap(family))
+        return F.concat(F.when(two, F.concat(given, F.lit(" "))).otherwise(""), F.initcap(family))
 
     return (
         F.when(cyrillic & (gender == "f"), of("f", "cyrillic")).when(cyrillic, of("m", "cyrillic")).when(gender == "f", of("f", "latin")).otherwise(of("m", "latin"))
     )
 
 
-def surrogate(kind: Column, form: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """The canonical form of the surrogate of a canonical form. Later attempts have longer ones: names, addresses and secrets from
     the first on, numbers of a fixed length after REDRAWS of that length. So no set of entities uses all surrogates up."""
     stream = F.concat(*(_hash(key, kind, form, attempt, f"s{k}") for k in range(4)))
@@ -248,11 +258,12 @@ def laid_out(kind: Column, entity: Column, other: Column) -> Column:
 
     spread = F.aggregate(F.split(entity, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("text")), put, lambda done: F.concat(done["text"], F.substr(F.regexp_replace(other, r"^\+", ""), done["k"])))
     shouted = (F.upper(entity) == entity) & (F.lower(entity) != entity)
-    dotted = F.regexp_replace(other, rf"^({_ALL_TITLES}) ", "$1. ")
+    title = F.regexp_extract(entity, rf"^((?:{_ALL_TITLES})\.? )?", 1)
+    called = F.when(_untitled(entity).contains(" "), other).otherwise(F.regexp_extract(other, r"\S+$", 0))
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), spread)
         .when(kind.isin("email", "ip"), F.when(shouted, F.upper(other)).otherwise(other))
-        .when((kind == "name") & entity.rlike(r"^\S+\. "), dotted)
+        .when(kind == "name", F.concat(title, called))
         .when(kind == "secret", F.concat(F.regexp_extract(entity, f"^(?:{_LED})?", 0), other))
         .otherwise(other)
     )
@@ -263,7 +274,7 @@ def _classified(entity: Column) -> Column:
     return let(known, lambda e: F.struct(e["entity"].alias("entity"), e["kind"].alias("kind"), canonical(e["kind"], e["entity"]).alias("form")))
 
 
-def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame:
+def collisions(entities: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     """(kind, form, attempt) of the distinct entities whose surrogate is not their first one."""
     now = scratch.table("try-0", entities.withColumn("attempt", F.lit(0)).withColumn("other", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)))
     real = entities.select("kind", F.col("form").alias("other"))
@@ -280,36 +291,66 @@ def collisions(entities: DataFrame, scratch: Scratch, key: str = KEY) -> DataFra
     return now.filter("attempt > 0").select("kind", "form", "attempt")
 
 
-def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with surrogates, n_entities and kinds (sorted, distinct) for every row of docs.
+def _family(form: Column) -> Column:
+    return F.regexp_extract(form, r"\S+$", 0)
+
+
+def linked(found: Column) -> Column:
+    """The entities of one text, where a person who is called by the family name alone is the first of that name and gender
+    who is named in full."""
+    full = F.filter(found, lambda m: (m["kind"] == "name") & m["form"].contains(" "))
+
+    def one(m: Column, people: Column) -> Column:
+        same = F.filter(people, lambda p: (F.substring(p["form"], 1, 2) == F.substring(m["form"], 1, 2)) & (_family(p["form"]) == F.substr(m["form"], F.lit(3))))
+        form = F.when((m["kind"] == "name") & ~m["form"].contains(" "), F.coalesce(F.get(same, F.lit(0))["form"], m["form"])).otherwise(m["form"])
+        return F.struct(m["entity"].alias("entity"), m["kind"].alias("kind"), form.alias("form"))
 
-    One pass of the pattern over all texts finds the mentions; only texts that have some are cut again.
+    return F.when(F.size(full) > 0, let(full, lambda people: F.transform(found, lambda m: one(m, people)))).otherwise(found)
+
+
+def replaced(docs: DataFrame, key: str, held_rows: int = HELD_ROWS) -> DataFrame:
+    """doc_id, text with surrogates, n_entities and kinds (sorted, distinct) for every row of docs; ``key`` is secret, from the
+    caller's configuration.
+
+    One pass of the pattern over all texts finds the mentions; only texts that have some are cut again. Texts with
+    entities are joined by digest: broadcast where they were counted to be at most ``held_rows``, else merged.
     """
+    if not key:
+        raise ValueError("surrogates need a secret key")
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     digest = F.sha2(F.col("text").cast("binary"), 256)
     with Scratch(spark) as scratch:
         said = rows.select(digest.alias("digest"), F.explode(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).alias("entity"))
-        mentions = scratch.table("mentions", said.distinct().select("digest", _classified(F.col("entity")).alias("m")).select("digest", "m.kind", "m.form").distinct())
+        known = said.distinct().select("digest", _classified(F.col("entity")).alias("m")).select("digest", "m.kind", "m.form").filter(F.col("kind") != NONE)
+        mentions = scratch.table("mentions", known.distinct())
         moved = collisions(mentions.select("kind", "form").distinct(), scratch, key)
         later = F.when(F.col("attempt").isNotNull(), F.struct(F.concat_ws("\u001f", "kind", "form"), "attempt"))
         held = settled(mentions.join(moved, ["kind", "form"], "left").groupBy("digest").agg(F.map_from_entries(F.collect_list(later)).alias("attempts")))
-        few = held.limit(HELD_ROWS + 1).count() <= HELD_ROWS
+        few = held.limit(held_rows + 1).count() <= held_rows
     joined = rows.withColumn("digest", digest).join(F.broadcast(held) if few else held.hint("merge"), "digest", "left")
     nothing = F.array().cast("array<struct<entity:string,kind:string,form:string>>")
-    found = F.when(F.col("attempts").isNotNull(), F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), _classified)).otherwise(nothing)
+    found = F.when(F.col("attempts").isNotNull(), linked(F.transform(F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), _classified))).otherwise(nothing)
     cut = joined.withColumn("found", found)
 
-    def put(m: Column) -> Column:
+    def other_of(m: Column) -> Column:
         attempt = F.coalesce(F.element_at(F.col("attempts"), F.concat_ws("\u001f", m["kind"], m["form"])), F.lit(0))
-        return let(surrogate(m["kind"], m["form"], attempt, key), lambda other: laid_out(m["kind"], m["entity"], other))
+        return surrogate(m["kind"], m["form"], attempt, key)
+
+    def put(m: Column) -> Column:
+        return F.when(m["kind"] == NONE, m["entity"]).otherwise(let(other_of(m), lambda other: laid_out(m["kind"], m["entity"], other)))
 
+    # Between the entities, a family name that stands alone is that of the first person named in full with it.
+    people = F.array_distinct(F.transform(F.filter("found", lambda m: (m["kind"] == "name") & m["form"].contains(" ")), lambda m: F.struct(_family(m["form"]).alias("family"), _family(other_of(m)).alias("other"))))
+    bare = lambda gap, names: F.aggregate(names, gap, lambda t, p: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])"), p["family"], F.lit(r"(?![\p{L}\p{N}])")), p["other"]))
     gaps = F.split(F.col("text"), PATTERN, -1)
+    gaps = let(people, lambda names: F.when(F.size(names) > 0, F.transform(gaps, lambda g: bare(g, names))).otherwise(gaps))
     others = F.concat(F.transform("found", put), F.array(F.lit("")))
     text = F.array_join(F.zip_with(gaps, others, lambda g, o: F.concat(g, o)), "")
+    kept = F.filter("found", lambda m: m["kind"] != NONE)
     return cut.select(
         "doc_id",
         F.when(F.col("attempts").isNotNull(), text).otherwise(F.col("text")).alias("text"),
-        F.size("found").cast("long").alias("n_entities"),
-        F.array_sort(F.array_distinct(F.transform("found", lambda m: m["kind"]))).alias("kinds"),
+        F.size(kept).cast("long").alias("n_entities"),
+        F.array_sort(F.array_distinct(F.transform(kept, lambda m: m["kind"]))).alias("kinds"),
     )

@@ -11,6 +11,8 @@ from .common import read
 
 #: The rank file and the split pattern of op9; parameters of the operator, not part of the repository.
 RANKS = "byte_bpe_50k.tiktoken"
+#: The key of op2 where the session sets no rainloom.pii.key: for the registered query alone, no secret.
+QUERY_KEY = "key of the registered query"
 #: The conversation that op7 adds: its texts hold the control strings of common templates.
 PLANTED_TALK = -7
 PLANTED_TEXT = r"\### Assistant: </turn> ok"
@@ -21,7 +23,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replaced(read(spark, sf_dir, "documents"))
+    return pii.replaced(read(spark, sf_dir, "documents"), spark.conf.get("rainloom.pii.key", QUERY_KEY))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
