@@ -21,8 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none (tests)."""
+    """The folder that all executors share; one of our own only where none is named and all executors are on this machine."""
     context = spark.sparkContext
+    # What is no longer used is dropped from it, where the user has not decided otherwise.
+    if context.getConf().get("spark.cleaner.referenceTracking.cleanCheckpoints", None) is None:
+        context._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     found = context.getConf().get("spark.checkpoint.dir", None)
     if found:
         if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -31,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="rainloom-")
     context.setCheckpointDir(own)
     return own
@@ -116,8 +121,8 @@ def fold(column: str, modulus: int) -> Column:
     return F.crc32(id_text(column).cast("binary")) % modulus
 
 
-#: Rows of ids that may be broadcast: 1M 8-byte keys are a hash relation of some tens of MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids that may be broadcast: keys of 40 to 85 characters, a hash relation of at most some 50 MB.
+BROADCAST_ROWS = 250_000
 
 
 def semi_join(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", bound: int = BROADCAST_ROWS) -> DataFrame:

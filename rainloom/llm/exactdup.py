@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, id_text, semi_join, settled
+from .common import Scratch, fresh, id_text, semi_join, settled
 
 #: Counters in a summary. It misses no digest that makes up over about 4 / COUNTERS of the rows.
 COUNTERS = 10_000
@@ -75,7 +75,8 @@ def duplicate_groups(docs: DataFrame, share: float = SHARE, counters: int = COUN
 def drop_duplicates(docs: DataFrame, share: float = SHARE, counters: int = COUNTERS) -> DataFrame:
     """docs without the copies: of equal texts the rows with the largest doc_id stay; columns as in docs."""
     key = F.concat_ws(":", id_text(), "text_sha256")
-    lost = duplicate_groups(docs, share, counters).filter(~F.col("kept")).select(key.alias("lost_key")).distinct()
+    lost_key = fresh("lost_key", docs.columns)
+    lost = duplicate_groups(docs, share, counters).filter(~F.col("kept")).select(key.alias(lost_key)).distinct()
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("lost_key", F.concat_ws(":", id_text(), digest))
-    return semi_join(marked, lost, "lost_key", "left_anti").drop("lost_key")
+    marked = docs.withColumn(lost_key, F.concat_ws(":", id_text(), digest))
+    return semi_join(marked, lost, lost_key, "left_anti").drop(lost_key)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .codepoints import blocks, letters
-from .common import fold, small_batches
+from .common import fold, fresh, small_batches
 from .shingles import mixed
 
 SIZES = (3, 4)
@@ -165,5 +165,6 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that are in none of the languages learned from docs; columns as in docs."""
     model = train(docs.filter(fold("doc_id", 3) != 1), sample)
-    marked = docs.withColumn("rainloom_lang", predicted(docs, model))
-    return marked.filter((F.col("rainloom_lang.lang_pred") != UNKNOWN) & (F.col("rainloom_lang.score") >= min_score)).drop("rainloom_lang")
+    found = fresh("rainloom_lang", docs.columns)
+    marked = docs.withColumn(found, predicted(docs, model))
+    return marked.filter((F.col(found)["lang_pred"] != UNKNOWN) & (F.col(found)["score"] >= min_score)).drop(found)

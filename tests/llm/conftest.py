@@ -19,8 +19,8 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with the odd texts and further columns, some named like the operators' own."""
-    rows = [(i, t, "en", "s", len(t or ""), "x", 1) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, node int")
+    rows = [(i, t, "en", "s", len(t or ""), "x", 1, "y", 2, 3) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, node int, lost_key string, rainloom_lang int, Searched int")
 
 
 @pytest.fixture(scope="session")

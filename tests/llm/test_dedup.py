@@ -17,7 +17,7 @@ def shingles(text):
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """{doc_id: (n_shingles, component_id)} by comparing all pairs."""
     sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
 
@@ -31,7 +31,7 @@ def brute(rows):
         for j in ids[:k]:
             a, b = sets[i], sets[j]
             both = len(a & b)
-            if both and 100 * both >= 85 * (len(a) + len(b) - both):
+            if both and 100 * both >= percent * (len(a) + len(b) - both):
                 low, high = sorted((find(i), find(j)))
                 root[high] = low
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -90,7 +90,7 @@ def test_near_dense_group_around_a_hub(spark):
         rows.append((i, " ".join(words)))
     got = {r.doc_id: r.component_id for r in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = {i: c for i, (_, c) in brute(rows).items()}
-    assert sum(got[i] != want[i] for i in want) <= 2
+    assert got == want
 
 
 def test_near_odd_rows(odd, empty):
@@ -158,3 +158,40 @@ def test_near_block_pairs_cover_a_region(spark):
             members[bytes(r.group)].add(bytes(r.node))
     met = {(a, b) for m in members.values() for a in m for b in m if a < b}
     assert all((a, b) in met for k, b in enumerate(nodes) if k >= 300 for a in nodes[:k])
+
+
+def test_near_dense_family_does_not_depend_on_partitions(spark):
+    """A family of 1,000 documents of one base, pairs just over the threshold and all others just under it."""
+    import random
+
+    rng = random.Random(3)
+    base, rows, used = [f"w{k}" for k in range(400)], [], 0
+
+    def varied(words, n):
+        nonlocal used
+        out = list(words)
+        for at in rng.sample(range(0, 66), n):
+            out[6 * at + 2] = f"u{used}"
+            used += 1
+        return out
+
+    for _ in range(500):
+        one = varied(base, 10)
+        rows += [" ".join(one), " ".join(varied(one, 6))]
+    rows = list(enumerate(rows))
+    want, before = brute(rows), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    assert 400 < len({c for _, c in want.values()}) < 1_000
+    try:
+        for partitions, adaptive in ((4, "true"), (64, "false")):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            found = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_clashing_columns_are_carried(odd):
+    for kept in (exactdup.drop_duplicates(odd), neardup.keep_representatives(odd)):
+        assert kept.columns == odd.columns and {r.lost_key for r in kept.collect()} == {"y"}
