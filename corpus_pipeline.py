@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (similarity of 0.85 or more on five-word shingles) the smallest doc_id stays."""
-    return neardup.keep_representatives(docs)
+    """Of each group of near-duplicates (similarity of 0.8 or more on five-word shingles) the smallest doc_id stays."""
+    return neardup.keep_representatives(docs, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
