@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,15 @@ from .shingles import mixed
 
 #: Edits allowed, as a share of the item's length.
 MAX_EDITS = 0.2
-STEPS, SAMPLED, REPETITIONS, STRIDE = 28, 12, 2, 2
+STEPS, SAMPLED, REPETITIONS, STRIDE = 28, 12, 3, 2
 #: Walks that must name nearly the same window.
 AGREE = 3
 #: Code points of the item that they must at least lie apart.
 APART = 8
 SHORT = 40
 BLOCK_CHARS = 2_000_000
-#: Passages that wait for comparison, and those that are compared together.
-WAITING, TOGETHER = 4_096, 1_024
+#: Passages that are compared together.
+WAITING = 4_096
 #: Item lengths that a passage is cut to.
 REACH = 4
 #: Characters of the documents that are searched together.
@@ -55,8 +56,10 @@ GATHERED = 8_000_000
 PLACES, HITS = 1 << 16, 1 << 21
 _SEED = 12
 _FACTOR = np.int64(0x1E3779B97F4A7C15)
+#: Bits under which walks over common letters keep moving; others find as much, with more windows to compare.
+_FACTORS = mixed(np.arange(300, 364, dtype=np.uint64)) | np.uint64(1)
 #: Walks that are stepped together, so that they stay in a core's cache.
-CACHED = 1 << 13
+CACHED = 1 << 14
 
 
 def normalised(text: str | None) -> str:
@@ -84,45 +87,62 @@ def closest(pairs: list[tuple[Pattern, np.ndarray]]) -> tuple[np.ndarray, np.nda
     """For each pattern and text (edit distance, end) of the text's first substring that is closest to the pattern.
 
     Bit-parallel dynamic programming over all pairs at once, a text position after the other: the bits of a word are
-    the vertical differences of 64 rows, and horizontal differences are carried from word to word.
+    the vertical differences of 64 rows, and horizontal differences are carried from word to word. Longer texts come
+    first, so that those which have ended drop out.
     """
-    n, words = len(pairs), max((p.words for p, _ in pairs), default=0)
-    length = max((len(t) for _, t in pairs), default=0)
-    one, zero, top = np.uint64(1), np.uint64(0), np.uint64(63)
-    base = np.cumsum([0, *(len(p.masks) for p, _ in pairs)])
+    given = len(pairs)
+    order = sorted(range(given), key=lambda k: -len(pairs[k][1]))
+    lengths = np.array([len(pairs[k][1]) for k in order], np.int64)
+    words, length = max((p.words for p, _ in pairs), default=0), int(lengths.max(initial=0))
+    one, top = np.uint64(1), np.uint64(63)
+    base = np.cumsum([0, *(len(pairs[k][0].masks) for k in order)])
     table = np.zeros((words, int(base[-1])), np.uint64)
-    # Past its end a text holds nothing of the pattern, which never makes it closer.
-    rows = np.empty((length, n), np.int64)
-    for k, (p, t) in enumerate(pairs):
-        table[: p.words, base[k] : base[k + 1]] = p.masks.T
-        rows[:, k] = base[k + 1] - 1
-        rows[: len(t), k] = base[k] + p.rows(t)
-    size = np.array([p.size for p, _ in pairs], np.int64)
+    rows = np.zeros((length, given), np.int64)
+    for c, k in enumerate(order):
+        p, t = pairs[k]
+        table[: p.words, base[c] : base[c + 1]] = p.masks.T
+        rows[: len(t), c] = base[c] + p.rows(t)
+    size = np.array([pairs[k][0].size for k in order], np.int64)
     last, last_bit = (size - 1) // 64, ((size - 1) % 64).astype(np.uint64)
-    up, down = np.full((words, n), ~zero), np.zeros((words, n), np.uint64)
-    score, best, end = size.copy(), size.copy(), np.zeros(n, np.int64)
+    closing = [last == w for w in range(words)]
+    up, down = np.full((words, given), ~np.uint64(0)), np.zeros((words, given), np.uint64)
+    score, best, end = size.copy(), size.copy(), np.zeros(given, np.int64)
+    running = np.searchsorted(-lengths, -np.arange(length), "left")  # texts with more than j positions
     with np.errstate(over="ignore"):
         for j in range(length):
-            plus_in, minus_in = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+            n = int(running[j])
+            row, plus_in, minus_in = rows[j, :n], np.uint64(0), np.uint64(0)
             for w in range(words):
-                eq, u, d = table[w, rows[j]], up[w], down[w]
+                eq, u, d = table[w].take(row), up[w, :n], down[w, :n]
                 x = eq | d
                 eq |= minus_in
-                across = (((eq & u) + u) ^ u) | eq
-                plus = d | ~(across | u)
+                across = eq & u
+                across += u
+                across ^= u
+                across |= eq
+                plus = across | u
+                np.invert(plus, out=plus)
+                plus |= d
                 minus = u & across
-                ends = last == w
-                if ends.any():
-                    score += np.where(ends, (plus >> last_bit & one).astype(np.int64) - (minus >> last_bit & one).astype(np.int64), 0)
+                if closing[w].any():
+                    change = (plus >> last_bit[:n] & one).astype(np.int64) - (minus >> last_bit[:n] & one).astype(np.int64)
+                    score[:n] += np.where(closing[w][:n], change, 0)
                 plus_out, minus_out = plus >> top, minus >> top
-                plus = plus << one | plus_in
-                minus = minus << one | minus_in
-                up[w] = minus | ~(x | plus)
-                down[w] = plus & x
+                plus <<= one
+                plus |= plus_in
+                minus <<= one
+                minus |= minus_in
                 plus_in, minus_in = plus_out, minus_out
-            better = score < best
-            best[better], end[better] = score[better], j + 1
-    return best, end
+                np.bitwise_and(plus, x, out=down[w, :n])
+                x |= plus
+                np.invert(x, out=x)
+                np.bitwise_or(minus, x, out=up[w, :n])
+            better = np.flatnonzero(score[:n] < best[:n])
+            if len(better):
+                best[better], end[better] = score[better], j + 1
+    back = np.empty(given, np.int64)
+    back[order] = np.arange(given)
+    return best[back], end[back]
 
 
 @lru_cache(maxsize=1)
@@ -131,33 +151,40 @@ def sampled_steps() -> list[frozenset[int]]:
     return [frozenset(np.random.default_rng([_SEED, r]).choice(STEPS, SAMPLED, replace=False).tolist()) for r in range(REPETITIONS)]
 
 
-def walk_keys(codes: np.ndarray, begin: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every STRIDE-th place from begin and the LSH key of the walk of ``repetition`` from it; a walk past the end copies zeros."""
+def hashed(codes: np.ndarray) -> np.ndarray:
+    return mixed(codes.astype(np.uint64))
+
+
+def walk_keys(hashes: np.ndarray, begin: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every STRIDE-th place from begin of a text, whose code points are given as hashes, and the LSH key of the walk of
+    ``repetition`` from it; a walk past the end copies zeros."""
     wanted = sampled_steps()[repetition]
-    # Bit j of a code point's hash says whether step j moves on; the hash stands for the code point in the key.
-    moves = np.concatenate([mixed(codes.astype(np.uint64) + np.uint64((repetition + 1) << 32)).view(np.int64), np.zeros(STEPS + 1, np.int64)])
-    places = np.arange(begin, len(codes), STRIDE)
+    places = np.arange(begin, len(hashes), STRIDE)
     keys = np.zeros(len(places), np.int64)
+    # Bit j of a code point's hash says whether step j moves on; the hash stands for the code point in the key.
+    moves = np.zeros(len(hashes) + STEPS + 1, np.int64)
     with np.errstate(over="ignore"):
+        np.right_shift(hashes * (_FACTORS[repetition]), np.uint64(32), out=moves[: len(hashes)].view(np.uint64))
         for a in range(0, len(places), CACHED):
             at, key = places[a : a + CACHED].copy(), keys[a : a + CACHED]
             here = np.empty_like(at)
             for j in range(STEPS):
-                np.take(moves, at, out=here, mode="wrap")  # the quickest mode; no place is out of range
+                moves.take(at, out=here, mode="wrap")  # the quickest mode; no place is out of range
                 if j in wanted:
                     key *= _FACTOR
                     key += here
-                here >>= j
-                here &= 1
-                at += here
+                if j + 1 < STEPS:
+                    here >>= j
+                    here &= 1
+                    at += here
     return places, (keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
 
 def _all_walks(codes: np.ndarray, repetition: int) -> np.ndarray:
     """The keys of the walks from all places of an item but the last, in order."""
-    keys = np.empty(len(codes), np.uint32)
+    keys, hashes = np.empty(len(codes), np.uint32), hashed(codes)
     for k in range(STRIDE):
-        keys[k::STRIDE] = walk_keys(codes, k, repetition)[1]
+        keys[k::STRIDE] = walk_keys(hashes, k, repetition)[1]
     return keys[: len(codes) - STEPS // 2]
 
 
@@ -195,46 +222,68 @@ class Items:
             seen[keys >> np.uint32(32 - bits)] = True
             self.tables.append((keys[order], owner, offset, seen, np.uint32(32 - bits)))
 
-    def hits(self, codes: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(items, starts of their windows, offsets of the walks) of the walks that begin from begin to end."""
-        found = []
-        part = codes[begin : min(end + STEPS, len(codes))]
+    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(items, places, offsets in the items) of walks that share a key."""
+        found, hashes = [], hashed(codes)
         for r, (keys, owner, offset, seen, shift) in enumerate(self.tables):
             # Repetitions take places in turn: STRIDE walks begin at STRIDE places that follow each other.
-            at, key = walk_keys(part, (r - begin) % STRIDE, r)
-            some = np.flatnonzero(seen[key >> shift] & (at < end - begin))
+            at, key = walk_keys(hashes, r % STRIDE, r)
+            some = np.flatnonzero(seen.take(key >> shift))
             at, key = at[some], key[some]
-            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-            n = high - low
+            low = np.searchsorted(keys, key, "left")
+            n = np.searchsorted(keys, key, "right") - low
+            some = np.flatnonzero(n)
+            at, low, n = at[some], low[some], n[some]
             which = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append((owner[which].astype(np.int64), np.repeat(at, n) + begin - offset[which], offset[which].astype(np.int64)))
+            found.append((owner[which].astype(np.int64), np.repeat(at, n), offset[which].astype(np.int64)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def windows(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first start, last start) of the candidate windows of a text; a start may be negative."""
-        out: list[tuple[int, int, int]] = []
+    def windows(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first start, last start) of the candidate windows of some texts; a start may be negative."""
         overlap = 2 * self.longest
-        work = [(a, min(a + PLACES + overlap, len(codes))) for a in range(0, len(codes), PLACES)][::-1] if self.tables else []
+        # Pieces of texts: text, where it begins, where it ends. A long text has several, which overlap.
+        work: list[list[tuple[int, int, int]]] = [[]]
+        filled = 0
+        for k, codes in enumerate(texts):
+            for a in range(0, len(codes) if self.tables else 0, PLACES):
+                piece = (k, a, min(a + PLACES + overlap, len(codes)))
+                if filled + piece[2] - a > PLACES:
+                    work.append([])
+                    filled = 0
+                work[-1].append(piece)
+                filled += piece[2] - a + STEPS
         while work:
-            begin, end = work.pop()
-            item, start, offset = self.hits(codes, begin, end)
-            if len(item) > HITS and end - begin > 4 * overlap:
-                middle = (begin + end) // 2
-                work += [(middle, end), (begin, middle + overlap)]
+            block = work.pop()
+            if not block:
+                continue
+            gap = np.zeros(STEPS, np.uint32)
+            begin = np.cumsum([0, *(b - a + STEPS for _, a, b in block)])
+            item, place, offset = self.hits(np.concatenate([x for k, a, b in block for x in (texts[k][a:b], gap)]))
+            if len(item) > HITS and (len(block) > 1 or block[0][2] - block[0][1] > 4 * overlap):
+                if len(block) > 1:
+                    work += [block[: len(block) // 2], block[len(block) // 2 :]]
+                else:
+                    k, a, b = block[0]
+                    work += [[(k, a, (a + b) // 2 + overlap)], [(k, (a + b) // 2, b)]]
                 continue
-            order = np.lexsort((start, item))
-            item, start, offset = item[order], start[order], offset[order]
             if len(item) < AGREE:
                 continue
+            piece = np.searchsorted(begin, place, "right") - 1
+            start = place - offset
+            both = piece * len(self.sizes) + item
+            order = np.lexsort((start, both))
+            both, start, offset = both[order], start[order], offset[order]
             # Windows of one item agree as long as each begins near the next: edits between two walks shift what they name.
-            new = np.ones(len(item), bool)
-            new[1:] = (item[1:] != item[:-1]) | ((start[1:] - start[:-1]) * 8 > self.sizes[item[1:]])
+            new = np.ones(len(both), bool)
+            new[1:] = (both[1:] != both[:-1]) | ((start[1:] - start[:-1]) * 8 > self.sizes[both[1:] % len(self.sizes)])
             lead = np.flatnonzero(new)
-            ends = np.append(lead[1:], len(item)) - 1
+            ends = np.append(lead[1:], len(both)) - 1
             apart = np.maximum.reduceat(offset, lead) - np.minimum.reduceat(offset, lead)
             good = (ends - lead + 1 >= AGREE) & (apart >= APART)
-            out += zip(item[lead[good]].tolist(), start[lead[good]].tolist(), start[ends[good]].tolist(), strict=True)
-        return out
+            for x, first, final in zip(both[lead[good]].tolist(), start[lead[good]].tolist(), start[ends[good]].tolist(), strict=True):
+                k, a, _ = block[x // len(self.sizes)]
+                shift = a - int(begin[x // len(self.sizes)])
+                yield k, x % len(self.sizes), first + shift, final + shift
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, edits, start) of the closest passage for each row and item that match."""
@@ -242,53 +291,52 @@ class Items:
         found: dict[tuple[int, int], tuple[int, int]] = {}
 
         def compare() -> None:
-            # Passages of about one length and one number of words together.
-            spans.sort(key=lambda s: (self.patterns[s[1]].words, len(s[3])))
-            for at in range(0, len(spans), TOGETHER):
-                some = spans[at : at + TOGETHER]
+            words = lambda span: self.patterns[span[1]].words
+            for _, same in groupby(sorted(spans, key=words), words):
+                some = list(same)
                 edits, ends = closest([(self.patterns[k], passage) for _, k, _, passage in some])
                 for (row, k, a, _), e, end in zip(some, edits.tolist(), ends.tolist(), strict=True):
                     if e <= MAX_EDITS * self.sizes[k]:
                         found[row, k] = min(found.get((row, k), (e, a + end)), (e, a + end))
             spans.clear()
 
-        for row, text in enumerate(texts):
-            text = normalised(text)
-            codes = code_points(text)
-            for k, regions in sorted(self.regions(text, codes).items()):
-                for a, b in regions:
-                    spans.append((row, k, a, codes[a:b].copy()))
+        plain = [normalised(t) for t in texts]
+        codes = [code_points(t) for t in plain]
+        for (row, k), regions in sorted(self.regions(plain, codes).items()):
+            for a, b in regions:
+                spans.append((row, k, a, codes[row][a:b]))
             if len(spans) >= WAITING:
                 compare()
         compare()
         return [(row, k, edits, max(0, end - int(self.sizes[k]))) for (row, k), (edits, end) in sorted(found.items())]
 
-    def regions(self, text: str, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """For each item the stretches of a text that hold its candidate windows, apart from each other and no longer than REACH
+    def regions(self, texts: list[str], codes: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+        """For each text and item the stretches that hold candidate windows, apart from each other and no longer than REACH
         item lengths (longer ones are cut, with an overlap of all that a passage may take)."""
-        near: dict[int, list[tuple[int, int]]] = {}
-        for k, first, last in self.windows(codes):
+        near: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for row, k, first, last in self.windows(codes):
             slack = int(MAX_EDITS * self.sizes[k]) + 1
-            near.setdefault(k, []).append((first - slack, last + int(self.sizes[k]) + 2 * slack))
+            near.setdefault((row, k), []).append((first - slack, last + int(self.sizes[k]) + 2 * slack))
         for k, cut in self.short:
             size, edits, before = len(self.texts[k]), len(cut) - 1, 0
             for piece in cut:
-                at = text.find(piece)
-                while at >= 0:
-                    near.setdefault(k, []).append((at - before - edits, at - before + size + edits))
-                    at = text.find(piece, at + 1)
+                for row, text in enumerate(texts):
+                    at = text.find(piece)
+                    while at >= 0:
+                        near.setdefault((row, k), []).append((at - before - edits, at - before + size + edits))
+                        at = text.find(piece, at + 1)
                 before += len(piece)
-        out: dict[int, list[tuple[int, int]]] = {}
-        for k, spans in near.items():
+        out: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for (row, k), spans in near.items():
             merged: list[list[int]] = []
             for a, b in sorted(spans):
-                a, b = max(0, a), min(b, len(codes))
+                a, b = max(0, a), min(b, len(codes[row]))
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
                     merged.append([a, b])
             step, overlap = REACH * int(self.sizes[k]), 2 * int(self.sizes[k])
-            out[k] = [(at, min(b, at + step + overlap)) for a, b in merged for at in range(a, max(a + 1, b - overlap), step)]
+            out[row, k] = [(at, min(b, at + step + overlap)) for a, b in merged for at in range(a, max(a + 1, b - overlap), step)]
         return out
 
 

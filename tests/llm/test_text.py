@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rainloom.llm import bpe, chat, decontaminate, langid, pii, quality
 from rainloom.llm.queries import RANKS
 
+KEY = "a key of the tests"
 PATH, PATTERN = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
@@ -169,7 +170,7 @@ def test_decontamination_recall_against_brute_force(spark, kind, rate):
     assert len(within) > 80
     found = {f[:2] for f in decontaminate.Items(list(range(len(items))), items).find(passages)}
     # Lost blanks are edits at regular places, near the bound: the hardest case for walks.
-    assert sum((k, k) in found for k in within) / len(within) >= (0.8 if kind == "blanks lost" else 0.93)
+    assert sum((k, k) in found for k in within) / len(within) >= (0.9 if kind == "blanks lost" else 0.95)
 
 
 def test_decontamination_of_short_items_is_exact():
@@ -227,7 +228,7 @@ TEXTS = [
 
 def test_pii_surrogates(spark):
     df = spark.createDataFrame([(*r, "x") for r in TEXTS], "doc_id long, text string, kinds string")
-    got = {r.doc_id: r for r in pii.replaced(df).collect()}
+    got = {r.doc_id: r for r in pii.replaced(df, KEY).collect()}
     for private in ("the.72@mail3", "THE.72", "555-0271", "4111", "b44e15e0", "240.56", "123-45-6789", "John", "Smith", "Mary", "Петрова"):
         assert not any(private in (r.text or "") for r in got.values())
     first = got[7].text.split()[0]
@@ -237,7 +238,7 @@ def test_pii_surrogates(spark):
     assert got[2].text.startswith('token = "') and got[3].text.startswith("Mr. ") and " Mrs " in got[3].text
     assert got[4].text is None and got[5].text == "" and got[6].text == TEXTS[5][1] and got[8].text == TEXTS[7][1]
     assert got[6].n_entities == 0 and got[6].kinds == [] and got[1].n_entities == 5
-    assert pii.replaced(df.filter("false")).collect() == []
+    assert pii.replaced(df.filter("false"), KEY).collect() == []
 
 
 def test_pii_collisions_are_moved(spark, monkeypatch):
@@ -246,13 +247,13 @@ def test_pii_collisions_are_moved(spark, monkeypatch):
     monkeypatch.setattr(pii, "surrogate", lambda kind, form, attempt, key="": F.concat(F.lit("s"), ((F.length(form) + attempt) % 7).cast("string")))
     entities = spark.createDataFrame([("email", "a"), ("email", "b"), ("email", "cc"), ("email", "s4")], "kind string, form string")
     with Scratch(spark) as scratch:
-        moved = {r.form: r.attempt for r in pii.collisions(entities, scratch).collect()}
+        moved = {r.form: r.attempt for r in pii.collisions(entities, scratch, KEY).collect()}
     final = {f: f"s{(len(f) + moved.get(f, 0)) % 7}" for f in ("a", "b", "cc", "s4")}
     assert len(set(final.values())) == 4 and not set(final.values()) & {"a", "b", "cc", "s4"}
 
 
 def replaced_texts(spark, texts):
-    rows = pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    rows = pii.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
     return [r.text for r in sorted(rows, key=lambda r: r.doc_id)], [r.kinds for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
@@ -285,11 +286,11 @@ def test_pii_collision_rounds_go_on(spark):
     from rainloom.llm.common import Scratch
 
     forms = [("email", f"{c}@mail.org") for c in "abcdefghijklmnopqrstuvwxyz"] + [("secret", "-" * 8), ("phone", "+1" + "0" * 4)]
-    forms += [("phone", f"+1{k:04d}") for k in range(1, 6_000)] + [("name", f"Dr X{k}") for k in range(70_000)]
+    forms += [("phone", f"+1{k:04d}") for k in range(1, 6_000)] + [("name", f"m:X{k}") for k in range(70_000)]
     entities = spark.createDataFrame(forms, "kind string, form string")
     with Scratch(spark) as scratch:
-        moved = pii.collisions(entities, scratch)
-        final = entities.join(moved, ["kind", "form"], "left").select("kind", "form", pii.surrogate(F.col("kind"), F.col("form"), F.coalesce("attempt", F.lit(0))).alias("other"))
+        moved = pii.collisions(entities, scratch, KEY)
+        final = entities.join(moved, ["kind", "form"], "left").select("kind", "form", pii.surrogate(F.col("kind"), F.col("form"), F.coalesce("attempt", F.lit(0)), KEY).alias("other"))
         final = [tuple(r) for r in final.collect()]
     assert len({(k, o) for k, _, o in final}) == len(forms)
     assert not {(k, o) for k, _, o in final} & set(forms)
@@ -298,3 +299,33 @@ def test_pii_collision_rounds_go_on(spark):
 def test_pii_longer_surrogates_are_laid_out_whole(spark):
     row = spark.range(1).select(pii.laid_out(F.lit("phone"), F.lit("+1 22 33"), F.lit("+145678")).alias("x")).first()
     assert row.x == "+1 45 678"
+
+
+def test_pii_people_are_one_person_in_a_document(spark):
+    texts = ["John Smith came. Later Mr. John Smith and Smith left; Mr Smith paid, Mrs Smith did not. Smithson stayed.", "Mrs Jones and Dr Smith.", "Paul Street, Charles Bridge and Sarah Lawrence College are places."]
+    got, kinds = replaced_texts(spark, texts)
+    given, family = got[0].split()[:2]
+    assert got[0].startswith(f"{given} {family} came. Later Mr. {given} {family} and {family} left; Mr {family} paid, Mrs ") and got[0].endswith(" did not. Smithson stayed.")
+    other = got[0].split("Mrs ")[1].split()[0]
+    assert other not in (family, "Smith") and "John" not in got[0] and " Smith " not in got[0]
+    assert kinds[:2] == [["name"], ["name"]] and "Jones" not in got[1] and got[2] == texts[2]
+
+
+def test_pii_numbers_that_are_no_card(spark):
+    texts = ["order 4111111111111112 and 9807915762804490 here", "pay 4111111111111111 now", "or 4111 1111 1111 1112"]
+    got, kinds = replaced_texts(spark, texts)
+    assert kinds == [[], ["card"], ["card"]] and got[0] == texts[0] and "4111" not in got[1] + got[2]
+
+
+def test_pii_needs_a_key_and_follows_it(spark):
+    df = spark.createDataFrame([(1, "to a.person@mail.org"), (1, "to a.person@mail.org")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.replaced(df, "")
+    one, two = (pii.replaced(df, k).collect() for k in ("k1", "k2"))
+    assert one[0] == one[1] and one[0].text != two[0].text
+
+
+def test_pii_merged_and_broadcast_ways_agree(spark, documents):
+    some = documents.unionByName(documents.limit(50))
+    ways = [sorted((tuple(r) for r in pii.replaced(some, KEY, n).collect()), key=str) for n in (0, 1_000_000)]
+    assert ways[0] == ways[1] and len(ways[0]) == some.count()
