@@ -25,12 +25,13 @@ def rolling(x: Column, rows: int, least: int, how: Callable[[Column], Column] =
 
 
 def regularise(obs: DataFrame) -> DataFrame:
-    """Every day from a station's first to its last; days without a row have nulls. Fails on duplicate keys."""
-    if not obs.groupBy(STATION, "date").count().filter("count > 1").isEmpty():
-        raise ValueError("duplicate (station_id, date)")
+    """Every day from a station's first to its last; days without a row have nulls. A job on it fails where a key repeats."""
+    counted = obs.withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(STATION, "date")))
     days = obs.groupBy(STATION).agg(F.min("date").alias("low"), F.max("date").alias("high"))
     days = days.select(STATION, F.explode(F.sequence("low", "high")).alias("date"))
-    return days.join(obs, [STATION, "date"], "left")
+    # The check rides on the partitioning that the join needs anyway.
+    once_a_day = F.when(F.col("_rows") > 1, F.raise_error(F.lit("duplicate (station_id, date)")).cast("boolean")).otherwise(True)
+    return days.join(counted, [STATION, "date"], "left").filter(once_a_day).drop("_rows")
 
 
 def densify(obs: DataFrame, stations: DataFrame) -> DataFrame:
@@ -92,6 +93,18 @@ def range_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: st
     return a.join(b, [*keys, "_bucket"]).filter(F.abs(F.col(x) - F.col(y)) <= width).drop("_bucket")
 
 
+def members_within(df: DataFrame, keys: list[str], date: str, member: str, days: int, name: str) -> DataFrame:
+    """(keys, date, name): for each day that has a row, how many members have a row of equal keys within ``days`` of it.
+
+    The answer is one for all rows of a day: each member and day is sent to the days that it reaches, and members are
+    counted there, so rows grow with the days and never with pairs of rows.
+    """
+    present = df.select(*keys, date, member).distinct()
+    reach = present.select(*keys, member, F.explode(F.sequence(F.date_sub(date, days), F.date_add(date, days))).alias(date))
+    counted = reach.groupBy(*keys, date).agg(F.countDistinct(member).alias(name))
+    return counted.join(present.select(*keys, date).distinct(), [*keys, date], "left_semi")
+
+
 def asof_forward(events: DataFrame, keys: list[str], at: str, is_left: Column, is_right: Column, value: Column, name: str) -> DataFrame:
     """Left rows with the value of the first right row that comes later in order of ``at``."""
     later = Window.partitionBy(*keys).orderBy(at).rowsBetween(1, Window.unboundedFollowing)

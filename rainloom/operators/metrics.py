@@ -198,16 +198,9 @@ def error_clustering(frame: DataFrame, factors: list[str]) -> DataFrame:
 
 def bootstrap_ci(df: DataFrame, group: str, metric, draws: int = 200, alpha: float = 0.05, seed: int = 0) -> DataFrame:
     """(low, high) of a metric over resampled groups. metric(df, by) scores each replicate; a replicate repeats a group's rows as
-    often as it was drawn."""
-    import numpy as np
-
-    names = [r[0] for r in df.select(group).distinct().orderBy(group).limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("too many groups to resample on the driver")
-    rng = np.random.default_rng(seed)
-    rows = [(k, names[i], int(c)) for k in range(draws) for i, c in zip(*np.unique(rng.integers(0, len(names), len(names)), return_counts=True), strict=True)]
-    times = df.sparkSession.createDataFrame(rows, f"replicate int, {group} {dict(df.dtypes)[group]}, times int")
-    drawn = df.join(times, group).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    scored = metric(drawn, ["replicate"])
+    often as it was drawn. Draws are made on the executors."""
+    from .studies import replicated
+
+    scored = metric(replicated(df, group, draws, seed), ["replicate"])
     value = next(c for c in scored.columns if c != "replicate")
     return scored.agg(F.percentile(value, F.lit(alpha / 2)).alias("low"), F.percentile(value, F.lit(1 - alpha / 2)).alias("high"))

@@ -78,13 +78,13 @@ def null_draws(n: int, which: str, draws: int = 4000, seed: int = 0) -> np.ndarr
 
 
 def with_p_value(tested: DataFrame, which: str) -> DataFrame:
-    """Adds p_value: the share of null draws at or above the statistic. Lengths of series are few."""
-    lengths = [r["n"] for r in tested.select("n").distinct().collect()]
-    p = F.lit(None).cast("double")
-    for n in lengths:
-        draws = null_draws(int(n), which)
-        p = F.when(F.col("n") == n, F.size(F.filter(F.array(*map(F.lit, draws.tolist())), lambda v: v >= F.col("statistic"))) / float(len(draws))).otherwise(p)
-    return tested.withColumn("p_value", p)
+    """Adds p_value: the share of null draws at or above the statistic. Lengths of series are few, so the draws of all of them
+    are a small table, one sorted array for each length."""
+    lengths = sorted(int(r["n"]) for r in tested.select("n").distinct().collect())
+    rows = [(n, null_draws(n, which).tolist()) for n in lengths]
+    table = tested.sparkSession.createDataFrame(rows, "n long, _draws array<double>")
+    share = F.size(F.filter("_draws", lambda v: v >= F.col("statistic"))) / F.size("_draws")
+    return tested.join(F.broadcast(table), "n", "left").withColumn("p_value", share).drop("_draws")
 
 
 def sen_slope(series: DataFrame) -> DataFrame:
@@ -154,15 +154,3 @@ def chi2_independence(df: DataFrame, a: str, b: str) -> DataFrame:
     gap = F.when(F.col("freedom") == 1, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
     out = full.groupBy("freedom").agg(F.sum(gap * gap / F.col("e")).alias("statistic"))
     return out.select("statistic", "freedom", chi2_tail(F.col("statistic"), F.col("freedom").cast("double")).alias("p_value"))
-
-
-def permutation_test(a: np.ndarray, b: np.ndarray, draws: int = 2000, seed: int = 0) -> float:
-    """Two-sided p of the difference of means under shuffled membership; both samples need more than five values."""
-    if min(len(a), len(b)) <= 5:
-        return float("nan")
-    rng, pool, seen = np.random.default_rng(seed), np.concatenate([a, b]), abs(np.mean(a) - np.mean(b))
-    hits = 0
-    for _ in range(draws):
-        mixed = rng.permutation(pool)
-        hits += abs(mixed[: len(a)].mean() - mixed[len(a) :].mean()) >= seen
-    return (hits + 1) / (draws + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalars
 from ..operators import frames
+from ..sources import sinks
 from .surrogate import RD, REFERENCE, RR, SD, SR, ST, query, region_day, station_day, stations, table
 
 
@@ -24,10 +25,11 @@ def _(spark, d):
 
 @query(
     "s5_events_json",
-    "SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS date, props FROM events WHERE props IS NOT NULL",
+    "SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS date, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events WHERE props IS NOT NULL",
 )
 def _(spark, d):
-    return table(spark, d, "events").filter("props IS NOT NULL").select("event_id", "event_type", F.col("user_id").cast("string").alias("station_id"), F.to_date("ts").alias("date"), "props")
+    nested = F.from_json("props", "k bigint")
+    return table(spark, d, "events").filter("props IS NOT NULL").select("event_id", "event_type", F.col("user_id").cast("string").alias("station_id"), F.to_date("ts").alias("date"), nested["k"].alias("props_k"))
 
 
 @query("p2_unit_convert", f"WITH {SD} SELECT station_id, date, round(precip * 86400, 6) AS precip, round(tmax - 273.15, 6) AS tmax, round((tmin - 32) * 5 / 9, 6) AS tmin FROM sd")
@@ -153,10 +155,8 @@ def _(spark, d):
 SELECT a.station_id, a.date, count(DISTINCT b.station_id) AS n_near FROM e a JOIN e b ON abs(date_diff('day', a.date, b.date)) <= 15 GROUP BY 1, 2""",
 )
 def _(spark, d):
-    e = station_day(spark, d).filter("precip >= 200").select("station_id", "date", F.datediff("date", F.lit("1990-01-01").cast("date")).alias("day"), F.lit("all").alias("direction"))
-    other = e.select("direction", F.col("day").alias("other_day"), F.col("station_id").alias("other"))
-    pairs = frames.range_join(e, other, ["direction"], "day", "other_day", 15)
-    return pairs.groupBy("station_id", "date").agg(F.countDistinct("other").alias("n_near"))
+    e = station_day(spark, d).filter("precip >= 200").select("station_id", "date")
+    return e.join(frames.members_within(e, [], "date", "station_id", 15, "n_near"), "date")
 
 
 @query(
@@ -169,7 +169,7 @@ def _(spark, d):
     return frames.asof_forward(rd, ["station_id"], "date", F.col("precip") < 60, F.col("precip") > 400, F.col("date"), "next_wet").select("station_id", "date", "next_wet")
 
 
-@query("j17_semi_in", f"WITH {SD} SELECT station_id, date, precip FROM sd WHERE station_id IN (SELECT station_id FROM sd WHERE precip > 200)")
+@query("j17_semi_in", f"WITH {SD.replace('sd AS (', 'sd AS MATERIALIZED (', 1)}, hit AS (SELECT DISTINCT station_id FROM sd WHERE precip > 200) SELECT sd.station_id, date, precip FROM sd JOIN hit ON hit.station_id = sd.station_id")
 def _(spark, d):
     sd = station_day(spark, d)
     return sd.join(sd.filter("precip > 200").select("station_id").distinct(), "station_id", "left_semi").select("station_id", "date", "precip")
@@ -545,8 +545,8 @@ def _(spark, d):
 def _(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     old = orders.filter("k % 3 = 0")
-    new = orders.filter("k % 2 = 0").join(old, "k", "left_anti")
-    return old.withColumn("source", F.lit("old")).unionByName(new.withColumn("source", F.lit("new")))
+    new = orders.filter("k % 2 = 0")
+    return sinks.insert_absent(old.withColumn("source", F.lit("old")), new.withColumn("source", F.lit("new")), ["k"])
 
 
 # ---- scalars ----

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rainloom.functions import scalars, specfun
-from rainloom.operators import events, frames, geo, homogeneity, indices, metrics, models, qc, stats
+from rainloom.operators import events, frames, geo, homogeneity, indices, metrics, models, qc, stats, studies
 
 DAY = date(2000, 1, 1)
 
@@ -39,8 +39,8 @@ def test_rolling_needs_enough_values(spark):
 def test_regularise_fills_and_refuses(spark):
     df = series(spark, [1.0, 2.0, 3.0]).filter("x <> 2")
     assert column(frames.regularise(df), "x") == [1.0, None, 3.0]
-    with pytest.raises(ValueError):
-        frames.regularise(df.unionByName(df))
+    with pytest.raises(Exception, match="duplicate"):
+        frames.regularise(df.unionByName(df)).collect()
 
 
 def test_conflicts_keep_the_first_unless_they_differ(spark):
@@ -134,10 +134,14 @@ def test_false_discovery(spark):
     assert [r.significant_fdr for r in got] == [True, True, False, False, False]
 
 
-def test_permutation_is_seeded():
-    a, b = np.arange(10.0), np.arange(10.0) + 6
-    assert stats.permutation_test(a, b) == stats.permutation_test(a, b) < 0.01
-    assert math.isnan(stats.permutation_test(a[:3], b))
+def test_permutation_test_tells_samples_apart(spark):
+    def p(a, b):
+        rows = [(k, float(v), k < len(a)) for k, v in enumerate([*a, *b])]
+        df = spark.createDataFrame(rows, "k long, v double, one boolean")
+        return studies.permutation_test(df, F.col("one"), "v", "k", draws=500).first().p_value
+
+    low, high = list(range(10)), list(range(20, 32))
+    assert p(low, high) == p(low, high) < 0.01 and p(low, [v + 0.5 for v in low]) > 0.3 and p(low[:5], high) is None
 
 
 def plane(spark, rise):

@@ -60,28 +60,50 @@ def test_raster_round_trip(spark, tmp_path):
     assert back.first().value == 1.5 and grid == (80.0, 1.0, 30.0, 1.0)
 
 
-def test_platform_records(tmp_path):
+def test_configuration_is_inherited(tmp_path):
     (tmp_path / "base.yaml").write_text("a: {x: 1, y: 2}\nb: 1\n")
     (tmp_path / "own.yaml").write_text("inherits: base.yaml\na: {y: 3}\n")
     assert platform.load_config(str(tmp_path / "own.yaml")) == {"a": {"x": 1, "y": 3}, "b": 1}
-    catalog = platform.DatasetCatalog(str(tmp_path / "c.json"))
-    key = catalog.register("d", "1", [])
+
+
+def test_data_sets_keep_status_and_history(spark, tmp_path):
+    sets = platform.Datasets(spark, str(tmp_path))
+    sets.register("d", "1", {"obs": "a"})
+    with pytest.raises(ValueError):
+        sets.move("d", "1", "approved")
     with pytest.raises(ValueError):
-        catalog.set_status(key, "approved")
-    catalog.set_status(key, "checked")
-    catalog.set_status(key, "approved")
-    assert platform.DatasetCatalog(catalog.path).latest("d", "approved")["version"] == "1"
-    log = platform.ProvenanceLog("qc")
-    log.record("dedup", "dropped", before="a", after="b", affected=2)
-    assert platform.ProvenanceLog.from_json(log.to_json()).steps == log.steps
-    reg = platform.Registry()
-    one, two = reg.register_model("m", "1"), reg.register_model("m", "2")
-    reg.deploy(one)
-    reg.deploy(two)
-    assert reg.rollback("m") == one and reg.models[1]["status"] == "archived"
-    eid = reg.create_experiment("e")
-    reg.log_run(eid, "r", "gbt", "temporal", {"auprc": 0.5})
-    assert reg.compare([eid], "auprc")[0]["value"] == 0.5
+        sets.move("d", "2", "checked")
+    sets.move("d", "1", "checked", "fine")
+    sets.register("d", "1", {"obs": "b"})
+    sets.move("d", "1", "approved")
+    sets.register("d", "2", {"obs": "c"})
+    again = platform.Datasets(spark, str(tmp_path))
+    assert [(r.event, r.status) for r in again.history("d", "1").collect()] == [("register", "registered"), ("checked", "checked"), ("register", "checked"), ("approved", "approved")]
+    one = again.latest("d", "approved").first()
+    assert (one.version, one.files) == ("1", {"obs": "b"}) and again.latest("d").first().version == "2"
+
+
+def test_provenance_and_experiments(spark, tmp_path):
+    log = platform.Provenance(spark, str(tmp_path))
+    log.record("d", "dedup", "dropped", before="a", after="b", affected=2, by="date")
+    log.record("d", "qc", "flagged", before="b", after="c")
+    assert [(r.step, r.before, r.after, r.affected) for r in log.chain("d").collect()] == [("dedup", "a", "b", 2), ("qc", "b", "c", None)]
+    book = platform.Experiments(spark, str(tmp_path))
+    assert book.rollback("m") is None
+    for v in ("1", "2", "3"):
+        book.register("m", v, {"auprc": 0.5})
+    book.deploy("m", "2")
+    book.deploy("m", "3")
+    assert {r.version: r.status for r in book.versions().collect()} == {"1": "evaluated", "2": "evaluated", "3": "deployed"}
+    book.archive("m", "2")
+    assert book.rollback("m") == "1" and {r.version: r.status for r in book.versions().collect()} == {"1": "deployed", "2": "archived", "3": "evaluated"}
+    book.states.append("e1", "first", "running", {})
+    book.states.append("e1", "first", "completed", {"auprc": 0.4})
+    book.runs.append("e1", "r1", "gbt", "temporal", {"auprc": 0.5})
+    book.runs.append("e1", "r2", "forest", "spatial", {"auprc": 0.4})
+    held = book.experiments().first()
+    assert held.status == "completed" and [r.run for r in held.runs] == ["r1", "r2"]
+    assert {(r.model, r.value) for r in platform.compared(book.runs.rows(), ["e1"], "auprc").collect()} == {("gbt", 0.5), ("forest", 0.4)}
 
 
 def test_stream_equals_batch(spark, sf_dir, tmp_path):
