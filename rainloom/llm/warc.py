@@ -4,7 +4,8 @@ Writing: every page becomes a gzip member of its own in a ``.warc.gz`` file of t
 that a task returns name file, offset and length. Those rows are stored before anything reads the files, so a
 task that runs again leaves at most an unreferenced file. Of pages with equal payloads of at least MIN_REVISIT
 bytes the one with the largest page_id is the response, the others are revisits of it; the winners of all
-payloads come from a pre-aggregated group-by, so a hot payload never meets in one task.
+payloads come from a pre-aggregated group-by and are broadcast while they are few (BROADCAST_ROWS); a file begins with a
+warcinfo record, and a revisit names the record id of its response.
 
 Index: captures are sorted by reversed-host URL key and page_id over all tasks, cut into blocks of BLOCK_LINES
 lines, and each block is compressed. The directory holds one row per block: first key, file, offset, length.
@@ -28,6 +29,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -43,7 +45,8 @@ BLOCK_LINES = 512
 FILE_BYTES = 1 << 30
 #: Directory rows that are broadcast at once.
 DIRECTORY_ROWS = 200_000
-_DATE = "2024-01-01T00:00:00Z"
+#: Bytes of records that a task reads back.
+READ_BYTES = 32 << 20
 _KIND = "page_id bigint, key string, file string, offset bigint, length bigint"
 
 
@@ -65,20 +68,35 @@ def capture_key(url: str | None, page_id: int | None) -> str:
     return f"{url_key(url)} {'-' if page_id is None else format(int(page_id) + 2**63, '020d')}"
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _identity(page_id: int | None, digest: str) -> str:
+    """The record id of a page with a payload: a function of both, so that a revisit can name the response that it revisits."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def _assembled(head: list[str], body: bytes) -> bytes:
+    return "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+def _info(name: str, date: str) -> bytes:
+    """The record that a file begins with."""
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _assembled(head, b"software: rainloom\r\nformat: WARC File Format 1.1\r\n")
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    body = http if refers_to is not None else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_DATE}"]
+    revisit = refers_to is not None
+    own = _identity(page_id, digest) if not revisit else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'revisit:{page_id}:{digest}')}>"
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {own}", f"WARC-Date: {date}"]
     if url:
         head.append(f"WARC-Target-URI: {quote(url, safe='/:?=&%,;+@()!*~#[]')}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
         head.append(f"Page-Id: {page_id}")
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    if revisit:
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_identity(refers_to, digest)}", f"Page-Refers-To: {refers_to}"]
+    return _assembled(head, http if revisit else http + payload)
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, bytes]:
@@ -120,6 +138,7 @@ class _Files:
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, file, name, at = _Files(root), None, "", 0
+        date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
@@ -128,7 +147,10 @@ def _writer(root: str):
                         file.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     file = files.create(name)
-                member = _zipped(_record(page_id, url, (html.as_py() or "").encode("utf-8", "replace"), refers_to))
+                    first = _zipped(_info(name, date))
+                    file.write(first)
+                    at = len(first)
+                member = _zipped(_record(page_id, url, (html.as_py() or "").encode("utf-8", "replace"), refers_to, date))
                 file.write(member)
                 for column, value in zip(out, (page_id, capture_key(url, page_id), name, at, len(member)), strict=True):
                     column.append(value)
@@ -235,7 +257,7 @@ def _reader(held, index_root: str, warc_root: str):
                             raise ValueError(f"damaged record in {line[1]} at {line[2]}")
                         size = int(http.decode().rsplit("Content-Length: ", 1)[1])
                         page = int(fields["Page-Id"]) if "Page-Id" in fields else None
-                        refers_to = int(fields["WARC-Refers-To"][len("<urn:page:") : -1]) if revisit else None
+                        refers_to = int(fields["Page-Refers-To"]) if revisit else None
                         row = (page, size, digest, fields["WARC-Type"], refers_to, None if revisit else payload)
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
@@ -261,10 +283,11 @@ def keys_of(pages: DataFrame) -> DataFrame:
     return pages.select(key(F.col("url").cast("string"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("key")).distinct()
 
 
-def lookup(keys: DataFrame, directory: DataFrame, index_root: str, warc_root: str, slice_rows: int = DIRECTORY_ROWS) -> DataFrame:
-    """The captures of the keys: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
+def lookup(keys: DataFrame, directory: DataFrame, index_root: str, warc_root: str, slice_rows: int = DIRECTORY_ROWS, partitions: int | None = None) -> DataFrame:
+    """The captures of the keys: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+    ``partitions``: tasks that read; keys are small, so their size says nothing of what is read for them."""
     spark = keys.sparkSession
-    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
+    ordered = keys.repartitionByRange(partitions or spark.sparkContext.defaultParallelism, "key").sortWithinPartitions("key")
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
     out, held, begin = None, [], None
 
@@ -297,4 +320,6 @@ def archived(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
         warc_root, index_root = scratch.path("warc"), scratch.path("index")
         captures = scratch.table("captures", write_archive(pages, warc_root, min_bytes))
         directory = scratch.table("directory", write_index(captures, index_root))
-        return settled(lookup(keys_of(pages), directory, index_root, warc_root).drop("payload"))
+        size = captures.agg(F.sum("length")).first()[0] or 0
+        tasks = max(pages.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES)
+        return settled(lookup(keys_of(pages), directory, index_root, warc_root, partitions=tasks).drop("payload"))

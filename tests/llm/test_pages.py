@@ -131,3 +131,31 @@ def test_extraction_of_repeated_rows(spark):
     rows = [(1, "u", CASES[0][0]), (1, "u", CASES[0][0]), (2, None, f"<article><p>{'word ' * 200_000}</p></article>")]
     got = sorted((r.page_id, r.n_chars) for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     assert got == [(1, 23), (1, 23), (2, 999_999)]
+
+
+def test_warc_records_resolve(spark):
+    """Every revisit names the record id of a response with its digest; every file begins with a warcinfo record."""
+    import gzip
+    import os
+
+    with Scratch(spark) as scratch:
+        captures = scratch.table("c", warc.write_archive(pages_of(spark), scratch.path("w"))).collect()
+        root, records = scratch.path("w").removeprefix("file://"), []
+        for r in captures:
+            with open(f"{root}/{r.file}", "rb") as file:
+                data = file.read()
+            assert warc.parse_record(gzip.decompress(data[: min(c.offset for c in captures if c.file == r.file)]))[0]["WARC-Type"] == "warcinfo"
+            records.append(warc.parse_record(gzip.decompress(data[r.offset : r.offset + r.length]))[0])
+        assert len(os.listdir(root)) >= len({r.file for r in captures})
+    responses = {f["WARC-Record-ID"]: f for f in records if f["WARC-Type"] == "response"}
+    revisits = [f for f in records if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3 and all(responses[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] for f in revisits)
+
+
+def test_warc_merged_and_broadcast_ways_agree(spark, monkeypatch):
+    df = pages_of(spark)
+    ways = []
+    for bound in (0, 1_000):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
+        ways.append(sorted((tuple(r) for r in warc.with_revisits(df).collect()), key=str))
+    assert ways[0] == ways[1] and len(ways[0]) == df.count()
