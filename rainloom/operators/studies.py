@@ -80,6 +80,40 @@ def stratified(rows: DataFrame, label: str, keys: list[str], share: float, seed:
     return rows.withColumn("validation", drawn < share)
 
 
+def selected(stations: DataFrame, station_id: str | None = None, **where: str) -> DataFrame:
+    """The station of an id, or those whose columns have the given values; none at all is an error."""
+    chosen = stations.filter(F.col("station_id") == station_id) if station_id is not None else stations
+    for column, value in where.items() if station_id is None else ():
+        chosen = chosen.filter(F.col(column) == value)
+    if chosen.isEmpty():
+        raise LookupError(f"no station: {station_id or where}")
+    return chosen
+
+
+def check_request(days: int, stations: int, max_days: int = 400, factor: int = 40) -> None:
+    """Refuses a request for more station-days than max_days times factor."""
+    if days * stations > max_days * factor:
+        raise ValueError(f"{days} days of {stations} stations are too many")
+
+
+def normaliser(daily: DataFrame, folds: DataFrame, period: tuple[str, str], variables: list[str], static: DataFrame | None = None) -> DataFrame:
+    """(variable, mean, sd) of the train stations' days of the train period (sd + 1e-6), and of their static columns (an sd of at
+    most 1e-5 is 1)."""
+    train = folds.filter(F.col("fold") == "train").select("station_id")
+    used = daily.filter(F.col("date").between(*period)).join(F.broadcast(train), "station_id", "left_semi")
+
+    def moments(df: DataFrame, names: list[str]) -> DataFrame:
+        both = df.agg(*(F.struct(F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd")).alias(v) for v in names))
+        return both.unpivot([], names, "variable", "m").select("variable", "m.mean", "m.sd")
+
+    out = moments(used, variables).withColumn("sd", F.col("sd") + 1e-6)
+    if static is not None:
+        names = [c for c, t in static.dtypes if c != "station_id" and t in ("double", "float", "int", "bigint")]
+        groups = moments(static.join(F.broadcast(train), "station_id", "left_semi").select(*(F.col(c).cast("double").alias(c) for c in names)), names)
+        out = out.unionByName(groups.withColumn("sd", F.when(F.col("sd") > 1e-5, F.col("sd")).otherwise(1.0)))
+    return out
+
+
 # ---- thinned and damaged inputs ----
 
 

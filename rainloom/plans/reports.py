@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specfun
 from ..operators import events, frames, geo, homogeneity, indices, metrics, stats, studies
-from ..sources import platform
+from ..sources import platform, sinks
 from .analysis import _CELLS, _F, _INSIDE, _KM, _LABELS, _MONTHS, _SEG, _SY, _WHIPLASH, BOX, GRID, RIVER, SETTINGS, _cells, _daily, _forecasts, _months, _swings
 from .surrogate import RD, REFERENCE, RR, SD, SR, ST, query, region_day, station_day, stations, table
 
@@ -160,12 +160,12 @@ def _(spark, d):
 
 # ---- stations ----
 
-_COMPLETE = f"""rc AS (SELECT st.station_id, coalesce(share, 0) AS completeness FROM st LEFT JOIN (SELECT station_id, avg(CASE WHEN precip IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM sr WHERE date BETWEEN DATE '{LOW}' AND DATE '{HIGH}' AND station_id <> 'CHINA' GROUP BY 1) x ON x.station_id = st.station_id)"""
+_COMPLETE = f"""rc AS (SELECT st.station_id, coalesce(share, 0) AS completeness FROM st LEFT JOIN (SELECT station_id, avg(CASE WHEN precip IS NULL THEN 0.0 ELSE 1.0 END) AS share FROM sr WHERE date BETWEEN DATE '{LOW}' AND DATE '{HIGH}' AND station_id <> 'NATION_3' GROUP BY 1) x ON x.station_id = st.station_id)"""
 
 
 def _observed(spark, d):
     """All stations but one, which is then without observations."""
-    return frames.regularise(station_day(spark, d)).filter("station_id <> 'CHINA'")
+    return frames.regularise(station_day(spark, d)).filter("station_id <> 'NATION_3'")
 
 
 @query("a29_reference_completeness", f"WITH {SD}, {SR}, {ST}, {_COMPLETE} SELECT station_id, round(completeness, 6) AS completeness FROM rc")
@@ -204,6 +204,35 @@ def _(spark, d):
     return by_station.join(F.broadcast(zones), "station_id").groupBy("zone").agg(F.count(F.lit(1)).alias("stations"), F.sum("n").alias("n_days"), (F.sum("s") / F.sum("n")).alias("mean_precip"))
 
 
+_TRAIN = "tn AS (SELECT station_id FROM (" + _folds_sql("basin").replace("WITH " + ST + ", nm AS", "WITH nm AS") + ") WHERE fold = 'train')"
+
+
+@query(
+    "a28_normaliser_train_stations",
+    f"""WITH {SD}, {ST}, {_TRAIN}, o AS (SELECT ln(1 + precip) AS precip, tmax FROM sd WHERE date BETWEEN DATE '{LOW}' AND DATE '{HIGH}' AND station_id IN (SELECT station_id FROM tn)), t AS (SELECT elevation_m, 3.0 AS level FROM st WHERE station_id IN (SELECT station_id FROM tn))
+SELECT 'precip' AS variable, round(avg(precip), 6) AS mean, round(stddev_pop(precip) + 1e-6, 6) AS sd FROM o UNION ALL SELECT 'tmax', round(avg(tmax), 6), round(stddev_pop(tmax) + 1e-6, 6) FROM o
+UNION ALL SELECT 'elevation_m', round(avg(elevation_m), 6), round(stddev_pop(elevation_m), 6) FROM t UNION ALL SELECT 'level', 3.0, 1.0""",
+)
+def _(spark, d):
+    st = stations(spark, d)
+    daily = station_day(spark, d).withColumn("precip", F.log1p("precip"))
+    return studies.normaliser(daily, studies.folds_by_group(st, "basin"), REFERENCE, ["precip", "tmax"], st.select("station_id", "elevation_m", F.lit(3.0).alias("level")))
+
+
+@query("p11_selected_station", f"WITH {SD} SELECT station_id, date, precip FROM sd WHERE station_id = 'NATION_3'")
+def _(spark, d):
+    chosen = studies.selected(stations(spark, d), "NATION_3").select("station_id")
+    return station_day(spark, d).join(F.broadcast(chosen), "station_id", "left_semi").select("station_id", "date", "precip")
+
+
+@query("s18_release_slice", f"WITH {SD} SELECT station_id, date, precip FROM sd WHERE date >= DATE '2000-06-01'")
+def _(spark, d):
+    from ..operators.materialize import shared_folder
+
+    rows = station_day(spark, d).select("station_id", "date", "precip")
+    return sinks.release_slice(rows, "2000-06-01", f"{shared_folder(spark)}/release")
+
+
 # ---- tables side by side ----
 
 

@@ -81,3 +81,24 @@ def constraint_violations(df: DataFrame, keys: list[str], parent: DataFrame | No
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch: int = 20_000) -> None:
     df.write.format("jdbc").option("url", url).option("dbtable", table).option("batchsize", batch).mode(mode).save()
+
+
+def release_slice(observations: DataFrame, since: str, path: str) -> DataFrame:
+    """Writes the observations since a date for a release, by year, and gives back what was written."""
+    chosen = observations.filter(F.col("date") >= F.lit(since).cast("date")).withColumn("year", F.year("date"))
+    chosen.repartition("year").sortWithinPartitions("station_id", "date").write.mode("overwrite").partitionBy("year").parquet(path)
+    return observations.sparkSession.read.parquet(path).select(*observations.columns)
+
+
+def ddl(df: DataFrame, table: str, keys: list[str], references: Mapping[str, str] | None = None, allowed: Mapping[str, list] | None = None) -> str:
+    """CREATE TABLE with primary and foreign keys and checks, for a database that holds the table."""
+    kinds = {"string": "TEXT", "double": "DOUBLE PRECISION", "float": "REAL", "long": "BIGINT", "integer": "INTEGER", "date": "DATE", "timestamp": "TIMESTAMP", "boolean": "BOOLEAN"}
+    lines = []
+    for f in df.schema.fields:
+        line = f"  {f.name} {kinds.get(f.dataType.typeName(), 'TEXT')}{' NOT NULL' if f.name in keys else ''}"
+        if f.name in (references or {}):
+            line += f" REFERENCES {references[f.name]}"
+        if f.name in (allowed or {}):
+            line += f" CHECK ({f.name} IN ({', '.join(repr(v) for v in allowed[f.name])}))"
+        lines.append(line)
+    return f"CREATE TABLE {table} (\n" + ",\n".join([*lines, f"  PRIMARY KEY ({', '.join(keys)})"]) + "\n)"

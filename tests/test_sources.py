@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from rainloom.sources import hashing, platform, readers, sinks
+from rainloom import __main__ as jobs
+from rainloom.operators import studies
+from rainloom.sources import hashing, platform, readers, sinks, store
 from rainloom.streaming import events as streams
 
 
@@ -118,3 +120,41 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     want = spark.sql(f"SELECT CAST(user_id AS STRING) AS station_id, event_id, CAST(sum(o) OVER (PARTITION BY user_id, g ORDER BY ts, event_id) AS BIGINT) AS run FROM (SELECT *, IF(value > 50, 1, 0) AS o, sum(IF(value > 50, 0, 1)) OVER ({by}) AS g FROM ev)")
     key = lambda r: (r.station_id, r.event_id, r.run)
     assert sorted(map(key, spark.table("runs").collect())) == sorted(map(key, want.collect()))
+
+
+def test_jobs_from_the_command_line(spark, sf_dir, tmp_path, capsys):
+    assert jobs.main(["list"]) == 0 and "g3_static_features" in capsys.readouterr().out
+    assert jobs.main(["run", "a27_value_counts", "--data", sf_dir, "--out", f"{tmp_path}/o"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/o").count() > 0
+    with pytest.raises(SystemExit):
+        jobs.main(["run", "no_such_query", "--data", sf_dir, "--out", "x"])
+
+
+def test_store_and_preview(spark, tmp_path):
+    rows = spark.sql("SELECT 'a' AS station_id, DATE'2001-01-01' AS date, 1.0D AS precip UNION ALL SELECT 'b', DATE'2001-01-02', 2.0D")
+    rows.write.parquet(f"{tmp_path}/obs.parquet")
+    held = store.Store(spark, f"file://{tmp_path}")
+    first = held.table("obs")
+    assert first.count() == 2 and held.table("obs") is first
+    rows.union(rows).write.mode("overwrite").parquet(f"{tmp_path}/obs.parquet")
+    held.reload()
+    assert held.table("obs").count() == 4
+    with pytest.raises(FileNotFoundError):
+        held.table("none")
+    wrong, shown = store.preview(spark, f"{tmp_path}/obs.parquet", 3)
+    assert wrong == [] and [r["station_id"] for r in shown] == ["a", "a", "b"]
+    spark.range(2).write.parquet(f"{tmp_path}/ids.parquet")
+    assert len(store.preview(spark, f"{tmp_path}/ids.parquet")[0]) == 3
+
+
+def test_slice_ddl_selection_and_guard(spark, tmp_path):
+    rows = spark.sql("SELECT 'a' AS station_id, DATE'2001-01-01' AS date, 1.0D AS precip UNION ALL SELECT 'b', DATE'2003-01-02', 2.0D")
+    assert [r.station_id for r in sinks.release_slice(rows, "2002-01-01", f"{tmp_path}/r").collect()] == ["b"]
+    text = sinks.ddl(rows, "obs", ["station_id", "date"], {"station_id": "stations"}, {"station_id": ["a", "b"]})
+    assert "station_id TEXT NOT NULL REFERENCES stations CHECK (station_id IN ('a', 'b'))" in text and "PRIMARY KEY (station_id, date)" in text
+    assert studies.selected(rows, "a").count() == studies.selected(rows, date="2003-01-02").count() == 1
+    with pytest.raises(LookupError):
+        studies.selected(rows, "c")
+    studies.check_request(400, 40)
+    with pytest.raises(ValueError):
+        studies.check_request(401, 40)
