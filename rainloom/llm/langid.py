@@ -2,10 +2,11 @@
 
 Letters are lower-cased, other characters become one word boundary, and n-grams of 3 and 4 characters that lie
 within a word (with its boundaries) are hashed. A language's n-grams are those that make up at least MIN_SHARE of
-its learned text and at least MIN_RATIO of their share in the language that uses them most. They go into one
-bit-sliced Bloom filter: a slot has a bit for each language, and the bitwise AND of an n-gram's PROBES slots names all
-languages that contain it. The set bits are counted per language over the whole text, corrected for the
-filter's false positives, and the largest count decides.
+its learned text, whatever other languages they are in. They go into one bit-sliced Bloom filter: a slot has a bit
+for each language, and the bitwise AND of an n-gram's PROBES slots names all languages that contain it. The set bits
+are counted per language over the whole text and corrected for the filter's false positives. Two counts are kept: of
+all hits, and of hits that count the less the more languages share the n-gram (an n-gram of all languages says
+nothing). The larger weighed count decides; the share of all hits is the score.
 
 Learning uses at most SAMPLE documents of each language, whole texts, chosen by hash; the filter has a fixed size
 (SLOTS slots for each 64 languages), so what is broadcast does not grow with the corpus.
@@ -32,7 +33,8 @@ from .shingles import mixed
 
 SIZES = (3, 4)
 SLOTS, PROBES = 1 << 19, 3
-MIN_SHARE, MIN_RATIO = 1e-4, 0.2
+#: N-grams of a language make up at least this share of its learned text.
+MIN_SHARE = 1e-5
 #: Documents of a language that are learned from, in expectation.
 SAMPLE = 3_000
 #: Below this share of known n-grams a document is in none of the learned languages.
@@ -73,42 +75,58 @@ def probes(h: np.ndarray) -> list[np.ndarray]:
 class Filter:
     """The bit-sliced filter: slots[word, slot] holds a bit for each of 64 languages."""
 
-    def __init__(self, languages: list[str], members: list[np.ndarray]):
-        self.languages = languages
-        self.slots = np.zeros(((len(languages) + 63) // 64, SLOTS), np.uint64)
-        for k, hashes in enumerate(members):
-            for at in probes(hashes):
-                self.slots[k // 64, np.unique(at)] |= np.uint64(1) << np.uint64(k % 64)
-        filled = [((self.slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))]
+    def __init__(self, languages: list[str], slots: np.ndarray):
+        self.languages, self.slots = languages, slots
+        filled = [((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(languages))]
         self.false_positive = np.array(filled) ** PROBES
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(n-grams of each text, hits of each text and language)."""
-        total, hits = np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+    @classmethod
+    def of(cls, languages: list[str], members: DataFrame) -> Filter:
+        """members: lang, gram. Slots are put together where the n-grams are; what comes back is the filter and no larger."""
+        index = F.element_at(F.create_map(*(F.lit(x) for k, lang in enumerate(languages) for x in (lang, k))), F.col("lang"))
+        at = F.explode(F.array(*(F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit(SLOTS - 1).cast("long")) for k in range(PROBES))))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("k") % 64).cast("int"))
+        found = members.select(index.alias("k"), at.alias("slot")).groupBy(F.floor(F.col("k") / 64).alias("word"), "slot").agg(F.bit_or(bit).alias("mask")).toArrow()
+        slots = np.zeros(((len(languages) + 63) // 64, SLOTS), np.uint64)
+        slots[found["word"].to_numpy(), found["slot"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+        return cls(languages, slots)
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n-grams of each text, hits and weighed hits of each text and language), corrected for false positives."""
+        n, langs = len(texts), len(self.languages)
+        # An n-gram that k languages share weighs log2((L + 1) / k).
+        weight = np.log2((langs + 1) / np.maximum(np.arange(langs + 2), 1))
+        total, fresh_weight = np.zeros(n), np.zeros(n)
+        hits, weighed, lost = np.zeros((3, n, langs))
         for h, owner in grams(texts):
-            total += np.bincount(owner, minlength=len(texts))
             at = probes(h)
+            masks = []
             for word in range(len(self.slots)):
                 mask = self.slots[word, at[0]]
                 for more in at[1:]:
                     mask = mask & self.slots[word, more]
-                some = np.flatnonzero(mask)
-                mask, who = mask[some], owner[some]
-                for k in range(64 * word, min(64 * word + 64, len(self.languages))):
-                    bit = ((mask >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
-                    hits[:, k] += np.bincount(who[bit], minlength=len(texts))
-        return total, hits
+                masks.append(mask)
+            shared = np.sum([np.bitwise_count(m) for m in masks], axis=0, dtype=np.int64) if masks else np.zeros(len(h), np.int64)
+            total += np.bincount(owner, minlength=n)
+            fresh_weight += np.bincount(owner, weight[shared + 1], minlength=n)
+            for k in range(langs):
+                on = ((masks[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(bool)
+                who, by = owner[on], shared[on]
+                hits[:, k] += np.bincount(who, minlength=n)
+                weighed[:, k] += np.bincount(who, weight[by], minlength=n)
+                lost[:, k] += np.bincount(who, weight[by + 1], minlength=n)
+        # Of the n-grams that a language lacks, the share fp is taken for its own; what is left of them shows how many.
+        odds = self.false_positive / (1 - np.minimum(self.false_positive, 0.999))
+        return total, hits - odds * (total[:, None] - hits), weighed - odds * (fresh_weight[:, None] - lost)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        total, hits = self.counts([t or "" for t in texts])
         score = np.zeros(len(texts))
         if not self.languages:
             return [UNKNOWN] * len(texts), score
-        fp = self.false_positive
-        fixed = np.clip((hits - total[:, None] * fp) / (1 - np.minimum(fp, 0.999)), 0, None)
-        best = fixed.argmax(axis=1)
+        total, hits, weighed = self.counts([t or "" for t in texts])
+        best = np.clip(weighed, 0, None).argmax(axis=1)
         some = total > 0
-        score[some] = np.clip(fixed[some, best[some]] / total[some], 0, 1)
+        score[some] = np.clip(hits[some, best[some]] / total[some], 0, 1)
         return [self.languages[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)], score
 
 
@@ -127,19 +145,14 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Filter:
     known = docs.filter(F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
-        return Filter([], [])
+        return Filter([], np.zeros((0, SLOTS), np.uint64))
     chances = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
     # Equal texts fall on the same side: copies of one document do not add to what a sample holds of it.
     chosen = known.filter(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 20)) < F.element_at(chances, F.col("lang")) * (1 << 20))
     counts = chosen.mapInPandas(_counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     shares = counts.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
-    # At most 1 / MIN_SHARE n-grams of a language pass.
-    found = shares.filter(F.col("share") >= MIN_SHARE).select("lang", "gram", "share").toPandas()
-    top = found.groupby("gram")["share"].transform("max")
-    found = found[found["share"] >= MIN_RATIO * top]
-    languages = sorted(sizes)
-    return Filter(languages, [found.loc[found["lang"] == x, "gram"].to_numpy(np.int64).view(np.uint64) for x in languages])
+    return Filter.of(sorted(sizes), shares.filter(F.col("share") >= MIN_SHARE))
 
 
 def predicted(docs: DataFrame, model: Filter, text: Column | str = "text") -> Column:

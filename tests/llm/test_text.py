@@ -83,13 +83,45 @@ def test_language_held_out_accuracy(documents, odd, empty):
     assert kept.columns == documents.columns and kept.count() >= 0.99 * documents.count()
 
 
-def test_language_filter_names_all_languages():
+def test_language_filter_names_all_languages(spark):
     import numpy as np
 
-    h = [np.array([x], np.uint64) for x in (123456789, 987654321987)]
-    model = langid.Filter(["a", "b"], [np.concatenate(h), h[0]])
-    masks = [int(np.bitwise_and.reduce([model.slots[0, p] for p in langid.probes(x)])[0]) for x in h]
-    assert masks[0] & 3 == 3 and masks[1] & 1 == 1
+    # 70 languages, so that masks have two words; grams of every sign.
+    names = [f"l{k:02}" for k in range(70)]
+    grams = {0x123456789ABCDEF0: {0, 1, 69}, -0x3456789ABCDEF123: {1}, 0x56789ABCDEF12345: set(range(70)), -0x789ABCDEF1234567: {63, 64}}
+    model = langid.Filter.of(names, spark.createDataFrame([(names[k], g) for g, ks in grams.items() for k in ks], "lang string, gram long"))
+    for g, ks in grams.items():
+        at = langid.probes(np.array([g], np.int64).view(np.uint64))
+        masks = [int(np.bitwise_and.reduce([model.slots[w, p] for p in at])[0]) for w in range(2)]
+        assert {k for k in range(70) if masks[k // 64] >> (k % 64) & 1} == ks
+
+
+def test_language_counts_against_brute_force(spark, documents):
+    """Masks name every language whose learned text has the n-gram often enough, and corrected counts are those of plain sets."""
+    import collections
+    import math
+
+    import numpy as np
+
+    rows = [(r.lang, r.text) for r in documents.filter("text IS NOT NULL AND lang IS NOT NULL").orderBy("doc_id").limit(300).collect()]
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string"), sample=10_000)
+
+    seen = collections.defaultdict(collections.Counter)
+    for lang, text in rows:
+        seen[lang].update(int(h) for part, _ in langid.grams([text]) for h in part)
+    sets = {x: {g for g, n in c.items() if n / c.total() >= langid.MIN_SHARE} for x, c in seen.items()}
+    assert model.languages == sorted(sets)
+    texts = [t for _, t in rows[:60]]
+    total, hits, weighed = model.counts(texts)
+    for i, text in enumerate(texts):
+        found = [int(h) for part, _ in langid.grams([text]) for h in part]
+        assert total[i] == len(found)
+        for k, lang in enumerate(model.languages):
+            own = [g for g in found if g in sets[lang]]
+            assert abs(hits[i, k] - len(own)) <= 1 + 0.002 * len(found)
+            want = sum(math.log2((len(sets) + 1) / sum(g in s for s in sets.values())) for g in own)
+            assert abs(weighed[i, k] - want) <= 3 + 0.01 * len(found)
+    assert np.all(model.false_positive < 0.01)
 
 
 def test_quality_held_out(spark, documents, sf_dir, odd, empty):
