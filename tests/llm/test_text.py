@@ -72,6 +72,21 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.filter("false")).collect() == []
 
 
+def test_chat_long_conversations(spark):
+    """Many turns, over several runs of places, and a very long text; equal to plain Python, and the spans agree with the bytes."""
+    n = 20 * chat.RUN + 3
+    said = [(k, ("user", "assistant", "assistant")[k % 3], f"turn {k} é🙂 <\\ " * (k % 4)) for k in range(n)] + [(n, "assistant", "x<" * 300_000)]
+    rows = [(1, *r) for r in reversed(said)] + [(2, 0, "user", "only")] + [(3, 0, "assistant", "same")] * 2
+    done = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    back = {r.conv_id: r for r in done.select("*", chat.parse_formatted(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [r[1:] for r in said]
+    assert back[1].loss == "".join(t for _, role, t in said if role == "assistant")
+    raw = back[1].formatted.encode()
+    for s in back[1].loss_spans:
+        assert raw[s.first_byte : s.first_byte + s.bytes].decode() == back[1].formatted[s.start : s.start + s.size]
+    assert back[2].loss == "" and back[3].loss == "samesame" and back[3].formatted == "<turn:assistant>same<part>same</turn>\n"
+
+
 def test_language_held_out_accuracy(documents, odd, empty):
     found = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.97
