@@ -4,8 +4,10 @@ Texts longer than a chunk are cut into chunks that overlap. Each chunk is pre-to
 its own; where the pre-token boundaries of two neighbours agree inside their overlap, both are right from there
 on, for a match depends only on the text after its start. The agreed places cut the text into pieces, which are
 encoded apart and joined again. Only places after a character that is not white space count, so that a piece's
-last pre-token does not change when the text ends there. From an overlap without an agreed place on, the text is
-encoded as one piece. Shorter texts are one piece and are encoded where they are, without a shuffle.
+last pre-token does not change when the text ends there. Where an overlap has no agreed place (a pre-token longer
+than it), what follows the last proven place is cut again, with an overlap WIDER times as long, in parallel with that
+of all other such texts, until the chunks agree or what is left is one chunk. So a piece is long only where
+pre-tokens are. Shorter texts are one piece and are encoded where they are, without a shuffle.
 
 Decoding concatenates the bytes of the ids.
 
@@ -32,6 +34,8 @@ from .common import Scratch, settled, small_batches, trimmed
 
 #: Code points in a chunk, and those that it shares with the next one.
 CHUNK, OVERLAP = 32_768, 1_024
+#: How much longer overlaps are when chunks did not agree; a chunk is CHUNK, or four overlaps where that is more.
+WIDER = 8
 
 
 @lru_cache(maxsize=4)
@@ -73,7 +77,7 @@ def boundaries(text: str, pattern: str) -> np.ndarray:
 
 def stitch(marks: list[tuple[int, np.ndarray, np.ndarray]]) -> list[int]:
     """Where the pieces start: for each chunk its number, boundaries in its head and in its tail overlap (all in the text's
-    code points). Agreement proves a chunk right only if its left neighbour is; where the chain ends, the rest is one piece."""
+    code points). Agreement proves a chunk right only if its left neighbour is; where the chain ends, there are fewer cuts than chunks."""
     marks = sorted(marks, key=lambda m: m[0])
     cuts = [0]
     for (_, _, tail), (_, head, _) in zip(marks, marks[1:], strict=False):
@@ -199,29 +203,36 @@ def _joined(digests: bool):
     return joined
 
 
-def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int) -> DataFrame:
-    """docs: rid, doc_id, text, size of texts that are longer than a chunk with its overlap."""
+def _chunks(docs: DataFrame, chunk: int, overlap: int) -> DataFrame:
     numbers = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / chunk))
-    chunks = (
-        docs.select("rid", "doc_id", "size", "text", F.explode(numbers).alias("k"))
-        .select("rid", "doc_id", "size", "k", F.substr("text", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("chunk"))
+    return (
+        docs.select("rid", "doc_id", "base", "size", "text", F.explode(numbers).alias("k"))
+        .select("rid", "doc_id", "base", "size", "k", F.substr("text", (F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("chunk"))
         .repartition("rid", "k")
     )
-    marked = chunks.select("rid", "size", "k", _marks(codec.pattern, chunk, overlap)("chunk", "k").alias("m"))
-    cuts = (
+
+
+def _cuts(docs: DataFrame, codec: Codec, chunk: int, overlap: int) -> DataFrame:
+    """rid, size, cuts, open: where pieces start, and whether the last one is what no overlap cut."""
+    marked = _chunks(docs, chunk, overlap).select("rid", "size", "k", _marks(codec.pattern, chunk, overlap)("chunk", "k").alias("m"))
+    return (
         marked.groupBy("rid", "size")
         .agg(F.collect_list(F.struct("k", F.col("m.head").alias("head"), F.col("m.tail").alias("tail"))).alias("marks"))
-        .select("rid", "size", _stitched()("marks").alias("cuts"))
-    )
-    spans = cuts.select("rid", F.posexplode("cuts").alias("i", "start"), "cuts", "size").select(
-        "rid", "start", F.coalesce(F.get("cuts", F.col("i") + 1), F.col("size")).alias("end")
+        .select("rid", "size", F.size("marks").alias("chunks"), _stitched()("marks").alias("cuts"))
+        .select("rid", "size", "cuts", (F.size("cuts") < F.col("chunks")).alias("open"))
     )
-    # A piece takes from each chunk that it meets what lies before the next chunk; its last chunk gives the overlap too.
+
+
+def _cut_pieces(docs: DataFrame, cuts: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """rid, doc_id, start, piece; what is open is no piece yet. Starts count from the begin of the whole text."""
+    ends = F.when(~F.col("open") | (F.col("i") + 1 < F.size("cuts")), F.coalesce(F.get("cuts", F.col("i") + 1), F.col("size")))
+    spans = cuts.select("rid", "size", "open", "cuts", F.posexplode("cuts").alias("i", "start")).select("rid", "start", ends.alias("end")).filter("end IS NOT NULL")
+    # A piece takes from each chunk that it meets what lies before the next chunk.
     parts = spans.select("rid", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / chunk), F.floor((F.col("end") - 1) / chunk))).alias("k"))
-    got = parts.join(chunks, ["rid", "k"]).select(
+    got = parts.join(_chunks(docs, chunk, overlap), ["rid", "k"]).select(
         "rid",
         "doc_id",
-        "start",
+        (F.col("base") + F.col("start")).alias("start"),
         "k",
         F.substr(
             "chunk",
@@ -229,12 +240,38 @@ def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int
             (F.least("end", (F.col("k") + 1) * chunk) - F.greatest("start", F.col("k") * chunk)).cast("int"),
         ).alias("part"),
     )
-    kind = ("string", "string") if digests else ("array<int>", "binary")
-    whole = got.groupBy("rid", "doc_id", "start").agg(
+    return got.groupBy("rid", "doc_id", "start").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "part"))), lambda p: p["part"]), "").alias("piece")
     )
-    pieces = whole.mapInArrow(_pieces(codec), "rid bigint, doc_id bigint, start bigint, ids binary, bytes binary")
-    joined = pieces.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("start", "ids", "bytes")).alias("parts"))
+
+
+def _long(docs: DataFrame, codec: Codec, digests: bool, chunk: int, overlap: int, scratch: Scratch) -> DataFrame:
+    """docs: rid, doc_id, text, size of texts that are longer than a chunk with its overlap."""
+    rest, pieces, turn = docs.withColumn("base", F.lit(0).cast("long")), None, 0
+    while True:
+        cuts = scratch.table(f"cuts{turn}", _cuts(rest, codec, chunk, overlap))
+        wider = (max(chunk, 4 * WIDER * overlap), WIDER * overlap)
+        # What fits into one chunk of the next turn needs no turn of its own.
+        left = F.col("open") & (F.col("size") - F.element_at("cuts", -1) > sum(wider))
+        cuts = cuts.withColumn("open", left)
+        cut = _cut_pieces(rest, cuts, chunk, overlap)
+        pieces = cut if pieces is None else pieces.unionByName(cut)
+        opened = cuts.filter("open").select("rid", F.element_at("cuts", -1).alias("at"))
+        if opened.isEmpty():
+            break
+        moved = rest.join(opened, "rid").select(
+            "rid",
+            "doc_id",
+            (F.col("base") + F.col("at")).alias("base"),
+            F.substr("text", (F.col("at") + 1).cast("int")).alias("text"),
+            (F.col("size") - F.col("at")).alias("size"),
+        )
+        turn += 1
+        rest = scratch.table(f"rest{turn}", moved)
+        chunk, overlap = wider
+    kind = ("string", "string") if digests else ("array<int>", "binary")
+    encoded = pieces.mapInArrow(_pieces(codec), "rid bigint, doc_id bigint, start bigint, ids binary, bytes binary")
+    joined = encoded.groupBy("rid", "doc_id").agg(F.collect_list(F.struct("start", "ids", "bytes")).alias("parts"))
     return joined.select("doc_id", "parts").mapInArrow(_joined(digests), f"doc_id bigint, n_tokens bigint, ids {kind[0]}, decoded {kind[1]}")
 
 
@@ -258,7 +295,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, chun
                 F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text", size.cast("long").alias("size")
             ),
         )
-        return short.unionByName(settled(_long(long, codec, digests, chunk, overlap)))
+        return short.unionByName(settled(_long(long, codec, digests, chunk, overlap, scratch)))
 
 
 def round_trips(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

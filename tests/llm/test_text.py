@@ -42,6 +42,35 @@ def test_bpe_empty_table_and_values(empty, spark, encoding):
     assert list(row.ids) == encoding.encode_ordinary("Hello  world") and bytes(row.decoded) == b"Hello  world"
 
 
+def test_bpe_goes_on_after_long_pre_tokens(spark, encoding, monkeypatch):
+    """Pre-tokens longer than the overlap, runs of digits out of phase and long white space: the library's ids, in pieces that stay small."""
+    words = "some plain words in a row, 12 of them. " * 60
+    texts = [
+        words + "x" * 700 + " " + words,
+        words + "9" * 4_001 + " " + words,
+        words + " " * 900 + words + "y" * 5_000 + " " + words,
+        "z" * 9_000,
+        " ".join("w" * 150 for _ in range(80)) + words,
+        words + "".join("é🙂ab" for _ in range(1_000)) + words,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    got = [tuple(r) for r in bpe.round_trips(df, PATH, PATTERN, 400, 60).collect()]
+    assert order(got) == order([digest(encoding, r.doc_id, r.text) for r in df.collect()])
+    sizes = []
+    whole = bpe._cut_pieces
+
+    def seen(*args):
+        cut = whole(*args)
+        sizes.extend(cut.select(F.length("piece")).toPandas().iloc[:, 0])
+        return cut
+
+    monkeypatch.setattr(bpe, "_cut_pieces", seen)
+    text = words + "x" * 300 + " " + words * 20
+    assert bpe.round_trips(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH, PATTERN, 400, 60).count() == 1
+    # One turn more, with an overlap of 480 and chunks of 1,920: no piece is longer than a chunk and its overlap.
+    assert sum(sizes) == len(text) and max(sizes) <= 1_920 + 480
+
+
 def test_stitch_stops_where_agreement_ends():
     import numpy as np
 
