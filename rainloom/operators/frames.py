@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .materialize import once
+
 STATION = "station_id"
 
 def by_date():
@@ -136,3 +138,18 @@ def melt(df: DataFrame, date_column: str, variable: str) -> DataFrame:
     stations = [c for c in df.columns if c != date_column]
     texts = df.select(F.col(date_column).alias("date"), *(F.col(c).cast("string").alias(c) for c in stations))
     return texts.unpivot(["date"], stations, STATION, variable).withColumn(variable, F.expr(f"try_cast({variable} AS DOUBLE)"))
+
+
+def ordered_totals(df: DataFrame, order: Column, totals: dict[str, str], by: list[str]) -> DataFrame:
+    """df with running sums (new name -> column) in the given order within few, large groups (by: columns without nulls). Rows are
+    parted by range and each part starts from the sums of the parts before it, so no task orders a whole group."""
+    ranged = once(df.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy("_part", *by).agg(*(F.sum(c).alias(f"_{new}") for new, c in totals.items()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each part and group.
+    starts = parts.select("_part", *by, *(F.coalesce(F.sum(f"_{new}").over(before), F.lit(0)).alias(f"_{new}") for new in totals))
+    inside = Window.partitionBy("_part", *by).orderBy(order)
+    out = ranged.join(F.broadcast(starts), ["_part", *by])
+    for new, c in totals.items():
+        out = out.withColumn(new, F.sum(c).over(inside) + F.col(f"_{new}"))
+    return out.drop("_part", *(f"_{new}" for new in totals))

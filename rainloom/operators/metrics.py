@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy_bits
+from .frames import ordered_totals
 
 
 def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
@@ -18,6 +19,9 @@ def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
 
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
     c = _by_score(df, by)
+    if not by:
+        whole = c.agg(F.sum("pos").alias("events"), F.sum("n").alias("rows"))
+        return ordered_totals(c, F.desc("p"), {"tp": "pos", "seen": "n"}, []).crossJoin(F.broadcast(whole))
     down = Window.partitionBy(*by).orderBy(F.desc("p"))
     all_ = Window.partitionBy(*by)
     c = c.withColumn("tp", F.sum("pos").over(down)).withColumn("seen", F.sum("n").over(down))
@@ -121,9 +125,9 @@ def conformal_fit(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     """(q0, q1): class-conditional quantiles of 1 - p(own class), the ceil((n + 1)(1 - alpha))-th smallest score."""
     s = df.select(F.col("y").cast("int").alias("y"), F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p")).alias("s"))
     # Cumulative counts over distinct scores find the order statistic without one task sorting a class.
-    counts = s.groupBy("y", "s").agg(F.count(F.lit(1)).alias("c"))
-    up, cls = Window.partitionBy("y").orderBy("s"), Window.partitionBy("y")
-    counts = counts.withColumn("upto", F.sum("c").over(up)).withColumn("n", F.sum("c").over(cls))
+    counts = s.filter("y IN (0, 1)").groupBy("y", "s").agg(F.count(F.lit(1)).alias("c"))
+    sizes = counts.groupBy("y").agg(F.sum("c").alias("n"))
+    counts = ordered_totals(counts, F.asc("s"), {"upto": "c"}, ["y"]).join(F.broadcast(sizes), "y")
     k = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
     q = counts.filter(F.col("upto") >= k).groupBy("y").agg(F.min("s").alias("q"))
     return q.agg(F.coalesce(F.max(F.when(F.col("y") == 0, F.col("q"))), F.lit(1.0)).alias("q0"), F.coalesce(F.max(F.when(F.col("y") == 1, F.col("q"))), F.lit(1.0)).alias("q1"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.specfun import chi2_tail, norm_cdf
+from .frames import ordered_totals
 from .materialize import once
 
 
@@ -131,8 +132,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     """(h, freedom, p_value) over all rows, average ranks, tie-corrected."""
     # Ranks from counts by value, so that no single task sorts the rows.
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    order = Window.orderBy(value)
-    ranks = counts.withColumn("rank", F.sum("c").over(order) - (F.col("c") - 1) / 2.0)
+    ranks = ordered_totals(counts, F.asc(value), {"upto": "c"}, []).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2.0)
     sums = df.join(ranks, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     total = sums.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("q"), F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("groups"))
     tie = counts.agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).cast("double").alias("tie"))

@@ -235,3 +235,16 @@ def test_order_and_partitions_do_not_matter(spark):
     one, many = df.coalesce(1), df.orderBy(F.rand(1)).repartition(8)
     a, b = (sorted(map(str, events.label_events(x, ("2000-01-01", "2000-12-31")).collect())) for x in (one, many))
     assert a == b
+
+
+def test_ordered_totals_over_many_parts(spark):
+    """Running sums by range parts are those of plain loops, in both directions, with groups, one value holding most rows."""
+    from rainloom.operators.frames import ordered_totals
+
+    rows = [(k % 2, (k * 37) % 101 / 7 if k % 3 else 2.0 + k / 1e6, k % 5 + 1) for k in range(600)]
+    distinct = {(g, x): sum(c for h, y, c in rows if (h, y) == (g, x)) for g, x, _ in rows}
+    df = spark.createDataFrame([(g, x, c) for (g, x), c in distinct.items()], "g int, x double, c long").repartition(5)
+    for order, down in ((F.asc("x"), False), (F.desc("x"), True)):
+        got = {(r.g, r.x): r.upto for r in ordered_totals(df, order, {"upto": "c"}, ["g"]).collect()}
+        assert got == {(g, x): sum(c for (h, y), c in distinct.items() if h == g and (y >= x if down else y <= x)) for g, x in distinct}
+    assert ordered_totals(df.filter("false"), F.asc("x"), {"upto": "c"}, []).collect() == []
