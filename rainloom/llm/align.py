@@ -1,15 +1,14 @@
 """Alignment of two tokenizers' tokens over the same bytes, relationally.
 
-Documents are dealt by row number; each side's tokens are exploded there with their places, and a window sums their
-byte lengths to their ends. An equality join on (document, end) finds the offsets where tokens of both sides end: the
-cuts. Running cut counts number the groups. Links are a range join done as a running fill over the joined rows: between
-two neighbouring ends lies exactly one token of each side, the nearest that ends there or later, so every link is one
-row and no group is ever paired with itself (joining on the group would emit all pairs of a group). All of it
-stays in the partition that holds the document; work is in proportion to tokens. A link's pair is counted once for each document
+Documents are dealt by row number; the tokens of both sides are exploded there with their places, and a window sums their
+byte lengths to their ends. The equality join on (document, end) is a merge of the sides' rows in one window by
+document and end: rows with one end are neighbours, and such an offset is a cut. Running cut counts number the groups.
+Links are a range join done as a running fill over the same rows: between two neighbouring ends lies exactly one token of
+each side, the nearest that ends there or later, so every link is one row and no group is ever paired with itself (joining
+on the group would emit all pairs of a group). All of it stays in the partition that holds the document; work is in proportion to tokens. A link's pair is counted once for each document
 that holds it; counts go back to the documents by a broadcast where the pairs were counted to be few, by a merge join else.
 
-Tokenizers are the libraries' own. Neither joins text across the begin of a run of blanks, so a text's runs are encoded
-once each (a bounded store of known runs, emptied when full); texts with other white space than ASCII's are encoded whole.
+Tokenizers are the libraries' own. Long texts are encoded in pieces cut where neither joins text.
 
 Defined cases: a document whose text is null or empty, or whose joined token bytes differ from space + text on either
 side, has no tokens: zeros and ''. Repeated rows are aligned each, further columns are ignored, ties of counts are all best, an
@@ -20,7 +19,6 @@ from __future__ import annotations
 
 import contextlib
 import os
-import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,48 +28,29 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled, small_batches, trimmed
+from .runs import ids_of
 
-#: Bytes of text in a partition of token rows.
-PART_BYTES = 4 << 20
-#: Runs of characters whose tokens a worker keeps, for each side.
-KNOWN = 200_000
+#: Rows of tokens in a partition.
+PART_TOKENS = 3_000_000
 #: Pairs of ids that may be broadcast with their counts: a hash relation of some 100 MB at most.
 BROADCAST_PAIRS = 1_500_000
 #: Token lengths are carried in the lower bits beside the id.
 _BITS = 16
-_OTHER_BLANKS = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 
 class Side:
-    """Tokens with byte lengths of texts, by runs that the tokenizer never joins."""
+    """Tokens with byte lengths of texts. encode takes texts that begin with a space."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes], runs: re.Pattern):
-        self.encode, self.bytes, self.runs, self.known = encode, token_bytes, runs, {}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
+        self.encode, self.bytes = encode, token_bytes
         self.packed = (np.arange(len(token_bytes), dtype=np.int64) << _BITS) + np.array([len(b) for b in token_bytes], np.int64)
 
-    def _tokens(self, runs: list[str]) -> list[list[int] | None]:
-        """Ids of each run, which begin with the text's added space; None where their bytes differ from it."""
-        return [i if b"".join(self.bytes[k] for k in i) == r.encode() else None for r, i in zip(runs, self.encode(runs), strict=True)]
-
     def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [[] if not t else [" " + t] if _OTHER_BLANKS.search(t) else self.runs.findall(" " + t) for t in texts]
-        new = list({r for runs in split for r in runs if r not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list({r for runs in split for r in runs})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self._tokens(part), strict=True))
+        """Packed tokens of each text; none where their bytes are not the text's."""
         out = []
-        for runs in split:
-            ids: list[int] = []
-            for r in runs:
-                found = self.known[r]
-                if found is None:
-                    ids = []
-                    break
-                ids += found
-            out.append(self.packed[np.array(ids, np.int64)])
+        for text, ids in zip(texts, ids_of([f" {t or ''}" for t in texts], self.encode), strict=True):
+            right = bool(text) and b"".join(map(self.bytes.__getitem__, ids.tolist())) == f" {text}".encode()
+            out.append(self.packed[ids if right else ids[:0]])
         return out
 
 
@@ -92,7 +71,7 @@ def _byte_level(model: str) -> Side:
     def encode(runs: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
-    return Side(encode, table, re.compile(r"[ \t-\r]+[^ \t-\r]*"))
+    return Side(encode, table)
 
 
 @lru_cache(maxsize=2)
@@ -104,16 +83,11 @@ def _pieces(model: bytes) -> Side:
     for k in range(processor.get_piece_size()):
         piece = processor.id_to_piece(k)
         table.append(bytes([int(piece[3:5], 16)]) if processor.is_byte(k) else piece.replace("▁", " ").encode())
-    # Runs part only at spaces, and only if no piece goes on after one.
-    crosses = any(re.search("[^▁]▁", processor.id_to_piece(k)) for k in range(processor.get_piece_size()) if not processor.is_control(k))
-
-    # The library adds the space of a run, but not to an empty text.
-    space = processor.encode("a ")[len(processor.encode("a")) :]
 
-    def encode(runs: list[str]) -> list[list[int]]:
-        return [ids if r != " " else space for r, ids in zip(runs, processor.encode([r[1:] for r in runs], num_threads=1), strict=True)]
+    def encode(texts: list[str]) -> list[list[int]]:
+        return processor.encode([t[1:] for t in texts], num_threads=1)  # the library adds the space
 
-    return Side(encode, table, re.compile("(?s).+") if crosses else re.compile(" +[^ ]*"))
+    return Side(encode, table)
 
 
 class Tokens:
@@ -159,31 +133,42 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Documents are dealt once, by row number; joining and summing by more columns needs no other deal then.
-_DEALT = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.requireAllClusterKeysForDistribution": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+#: Documents are dealt once, by row number; grouping by more columns needs no other deal then, and sums of sorted rows no other sort.
+_DEALT = {"spark.sql.requireAllClusterKeysForDistribution": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
+_SIDE = 48
 
 
-def _ends(dealt: DataFrame, tokens: Tokens, name: str) -> DataFrame:
-    """rid, end, and place and id of the token that ends there in one number."""
-    rows = dealt.select("rid", F.posexplode(tokens.column(F.col("text"))).alias("pos", "token"))
-    size = F.sum(F.col("token").bitwiseAND((1 << _BITS) - 1)).over(Window.partitionBy("rid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("rid", size.alias("end"), (F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftright("token", _BITS)).alias(name))
+def ends(dealt: DataFrame) -> DataFrame:
+    """rid, side (0 or 1), end, token (place * 2**32 + id) of every token of dealt: rid, a, b (packed tokens)."""
+    both = F.concat("a", F.transform("b", lambda t: t + (1 << _SIDE)))
+    rows = dealt.select("rid", F.posexplode(both).alias("pos", "packed")).select("rid", "pos", "packed", F.shiftright("packed", _SIDE).alias("side"))
+    place = Window.partitionBy("rid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
+        "rid",
+        "side",
+        F.sum(F.col("packed").bitwiseAND((1 << _BITS) - 1)).over(place).alias("end"),
+        (F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftright(F.col("packed").bitwiseAND((1 << _SIDE) - 1), _BITS)).alias("token"),
+    )
 
 
-def aligned(dealt: DataFrame, one: Tokens, two: Tokens) -> DataFrame:
-    """One row for each link of the documents rid, text: rid, end (of the stretch), a, b (the tokens, place * 2**32 + id), a_ends,
-    b_ends, and the number of groups from here to the text's end. Rows of a document come by falling end."""
-    ends = _ends(dealt, one, "a").hint("merge").join(_ends(dealt, two, "b").hint("merge"), ["rid", "end"], "full")
-    back = Window.partitionBy("rid").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    return ends.select(
+def aligned(dealt: DataFrame) -> DataFrame:
+    """One row for each token of dealt: rid, end, side, token, a and b (the tokens of both sides over the stretch before end),
+    cut (the other side ends here too), link (the row stands for the stretch), group (cuts from here to the text's end).
+    Rows of a document come by falling end; of two with one end, side 0 comes first and side 1 stands for the stretch."""
+    back = Window.partitionBy("rid").orderBy(F.col("end").desc(), "side")
+    until = back.rowsBetween(Window.unboundedPreceding, 0)
+    met = ends(dealt).select(
         "rid",
         "end",
-        F.last("a", True).over(back).alias("a"),
-        F.last("b", True).over(back).alias("b"),
-        F.col("a").isNotNull().alias("a_ends"),
-        F.col("b").isNotNull().alias("b_ends"),
-        F.sum(both.cast("int")).over(back).alias("group"),
+        "side",
+        "token",
+        F.last(F.when(F.col("side") == 0, F.col("token")), True).over(until).alias("a"),
+        F.last(F.when(F.col("side") == 1, F.col("token")), True).over(until).alias("b"),
+        F.coalesce(F.lag("end").over(back) == F.col("end"), F.lit(False)).alias("second"),
+        F.coalesce(F.lead("end").over(back) == F.col("end"), F.lit(False)).alias("first"),
+    )
+    return met.select(
+        "rid", "end", "side", "token", "a", "b", (F.col("first") | F.col("second")).alias("cut"), (~F.col("first")).alias("link"), F.sum(F.col("first").cast("int")).over(until).alias("group")
     )
 
 
@@ -191,14 +176,17 @@ def _id(token: str) -> Column:
     return F.col(token).bitwiseAND((1 << 32) - 1)
 
 
-def _documents(links: DataFrame) -> DataFrame:
+def _documents(rows: DataFrame) -> DataFrame:
     """rid, n_a, n_b, n_groups, n_links, groups (each side's ids by groups, as text), pairs (of each link, sorted)."""
-    cut = F.col("a_ends") & F.col("b_ends")
-    part = lambda side: F.when(F.col(f"{side}_ends"), F.concat(_id(side).cast("string"), F.when(cut, ";").otherwise(",")))
-    rows = links.select(
-        "rid", "a_ends", "b_ends", part("a").alias("a_part"), part("b").alias("b_part"), cut.cast("long").alias("cut"), (F.shiftleft(_id("a"), 32) + _id("b")).alias("pair")
+    part = F.concat(_id("token").cast("string"), F.when(F.col("cut"), ";").otherwise(","))
+    told = rows.select(
+        "rid",
+        F.when(F.col("side") == 0, part).alias("a_part"),
+        F.when(F.col("side") == 1, part).alias("b_part"),
+        (F.col("cut") & F.col("link")).cast("long").alias("cut"),
+        F.when(F.col("link"), F.shiftleft(_id("a"), 32) + _id("b")).alias("pair"),
     )
-    summed = rows.groupBy("rid").agg(
+    summed = told.groupBy("rid").agg(
         F.count("a_part").alias("n_a"),
         F.count("b_part").alias("n_b"),
         F.sum("cut").alias("n_groups"),
@@ -210,21 +198,22 @@ def _documents(links: DataFrame) -> DataFrame:
     groups = lambda parts: F.split(F.array_join(F.reverse(parts), ""), ";")
     text = F.array_join(F.zip_with(groups("a_parts"), groups("b_parts"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
     # The last part of each side ends with a cut, which leaves an empty pair at the end.
-    return summed.filter("n_a > 0 AND n_b > 0").select("rid", "n_a", "n_b", "n_groups", "n_links", F.substring_index(text, ";|", 1).alias("groups"), "pairs")
+    return summed.select("rid", "n_a", "n_b", "n_groups", "n_links", F.substring_index(text, ";|", 1).alias("groups"), "pairs")
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, part_bytes: int = PART_BYTES, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
+def align(docs: DataFrame, path_a: str, path_b: str, part_tokens: int = PART_TOKENS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every document; see the module's text."""
     spark = docs.sparkSession
     small_batches(spark)
     with Scratch(spark) as scratch:
         # Row numbers are written down, so that a task that runs again finds the same ones.
-        keyed = scratch.table("docs", docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-        size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+        sides = Tokens(spark, path_a).column(F.col("text")).alias("a"), Tokens(spark, path_b).column(F.col("text")).alias("b")
+        keyed = scratch.table("tokens", docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *sides))
+        size = keyed.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_tokens))
         with settings(spark, _DEALT):
-            dealt = keyed.filter("text <> ''").select("rid", "text").repartition(parts, "rid")
-            found = scratch.table("found", _documents(aligned(dealt, Tokens(spark, path_a), Tokens(spark, path_b))))
+            dealt = keyed.filter("size(a) > 0 AND size(b) > 0").select("rid", "a", "b").repartition(parts, "rid")
+            found = scratch.table("found", _documents(aligned(dealt)))
         counts = found.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("held"))
         best = F.col("held") == F.max("held").over(Window.partitionBy(F.shiftright("pair", 32)))
         counts = scratch.table("counts", counts.select("pair", "held", best.cast("long").alias("best")))

@@ -8,8 +8,7 @@ gaps of MIN_GAP or more of the fuller ones (their pieces are cut there), and the
 sequences whose sizes are powers of two, which need no padding. A group holds GROUP documents in the mean whatever the
 data: row numbers are unique, so no key is hot, and a group's ids are size * GROUP * 4 bytes at most in the mean.
 
-Texts are tokenised word by word: the tokenizer drops white space and no token crosses it, so runs between white space
-are encoded once each (a bounded store of known runs, emptied when full) and put together again.
+Long texts are tokenised in pieces cut at spaces, which the tokenizer drops, so ids are those of the whole text.
 
 Defined cases: a null or empty text is its end id alone, repeated rows are packed each, further columns are ignored,
 an empty table gives an empty result.
@@ -18,7 +17,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,13 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled, small_batches, trimmed
+from .runs import ids_of
 
 #: Ids in a sequence; the id that ends a document; documents in a group in the mean.
 SIZE, END, GROUP = 4_096, 2, 2_000
 #: Smaller gaps stay padding, so that documents are not cut for a few ids.
 MIN_GAP = 32
-#: Runs of characters whose ids a worker keeps.
-KNOWN = 300_000
 #: Ids of one Arrow batch that a worker hands on.
 _HAND_ON = 1_000_000
 
@@ -67,36 +64,15 @@ def _tokenizer(model: str):
     return Tokenizer.from_str(model)
 
 
-class Runs:
-    """Ids of texts by their runs between blanks. Only blanks of ASCII part runs, which is enough for the store to be
-    small and right for any tokenizer that drops or splits at them."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.known = tokenizer, {}
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        runs = [t.split(" ") if t.isprintable() else re.split("[ \t-\r]+", t) for t in texts]
-        new = list({r for words in runs for r in words if r not in self.known})
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-            new = list({r for words in runs for r in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, (e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        out = []
-        for words in runs:
-            ids: list[int] = []
-            for r in words:
-                ids += self.known[r]
-            out.append(np.array(ids, np.int32))
-        return out
-
-
 def _cut(tokens: WordTokenizer, size: int, end_id: int):
     """doc_id, text to rows doc_id, start, length, ids, doc_tokens: one for each ``size`` ids of a document and one for the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(tokens.tokenizer())
+        tokenizer = tokens.tokenizer()
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
         names, kinds = ["doc_id", "start", "length", "ids", "doc_tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -108,7 +84,7 @@ def _cut(tokens: WordTokenizer, size: int, end_id: int):
                     chars += len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0
                     end += 1
                 out: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(doc_ids[at:end], runs.ids([t or "" for t in texts[at:end].to_pylist()]), strict=True):
+                for doc_id, ids in zip(doc_ids[at:end], ids_of([t or "" for t in texts[at:end].to_pylist()], encode), strict=True):
                     ids = np.append(ids, np.int32(end_id))
                     for start in range(0, len(ids), size):
                         piece = ids[start : start + size]

@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from rainloom.llm import align, audit, packing
+from rainloom.llm import align, audit, packing, runs
 from rainloom.llm.queries import SIDE_A, SIDE_B, WORDS, op12_packing, op13_tokenizer_alignment
 
 PATHS = public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B)
@@ -99,6 +99,21 @@ def test_audit_of_nothing(spark, empty):
     assert audit.audit(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
 
 
+def test_pieces_have_the_ids_of_whole_texts():
+    """Pieces of any size: the ids that the libraries give for whole texts."""
+    words = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    with open(PATHS[0], encoding="utf-8") as file:
+        a = align._byte_level(file.read())
+    with open(PATHS[1], "rb") as file:
+        b = align._pieces(file.read())
+    texts = [f" {t}" for t in ODD_TEXTS + texts_of(7, 80) + ["one two  three\n four's !! 5 6 " * 40] if t]
+    for encode in (lambda ts: [e.ids for e in words.encode_batch(ts, add_special_tokens=False)], a.encode, b.encode):
+        want = encode(texts)
+        for size in (1, 7, 100, 10**6):
+            assert all("".join(runs.pieces(t, size)) == t for t in texts)
+            assert [i.tolist() for i in runs.ids_of(texts, encode, size, 500)] == want
+
+
 # Packing
 
 
@@ -234,7 +249,7 @@ def test_alignment(spark, odd, broadcast):
     docs = spark.createDataFrame(list(enumerate(ODD_TEXTS + texts_of(6, 60))) + [(0, ODD_TEXTS[0]), (9, ODD_TEXTS[9]), (None, "no id"), (7, None)], "doc_id long, text string")
     for df in (docs, odd):
         want = plain_alignment([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
-        assert order(digested(align.align(df, *PATHS, part_bytes=20_000, broadcast_pairs=broadcast))) == order(want)
+        assert order(digested(align.align(df, *PATHS, part_tokens=20_000, broadcast_pairs=broadcast))) == order(want)
 
 
 def test_alignment_of_nothing(empty):
