@@ -67,7 +67,7 @@ def convert(variable: str, unit: str, x: Column) -> Column:
     """x in the canonical unit of the variable; an unknown pair is an error."""
     kelvin, fahrenheit = (lambda v: v - 273.15), (lambda v: (v - 32) * 5 / 9)
     known = {("precip", "m"): lambda v: v * 1000, ("precip", "kg m-2 s-1"): lambda v: v * 86400}
-    known |= {(v, "K"): kelvin for v in ("tmax", "tmin")} | {(v, "F"): fahrenheit for v in ("tmax", "tmin")}
+    known |= {(v, "K"): kelvin for v in ("tmax", "tmin")} | {(v, u): fahrenheit for v in ("tmax", "tmin") for u in ("degF", "F")}
     if (variable, unit) not in known:
         raise ValueError(f"no conversion of {variable} from {unit}")
     return known[variable, unit](x)

@@ -13,43 +13,68 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
+from .studies import uniform
 
 FOLDS = ("train", "val", "test")
 
 
-def embargoed(periods: dict[str, tuple[date, date]], days: int) -> dict[str, tuple[date, date]]:
-    """Every fold but the first starts ``days`` after its nominal start."""
+def embargoed(periods: dict[str, tuple[date, date]], gap: int, lead: int) -> dict[str, tuple[date, date]]:
+    """Every fold but the first starts ``gap`` days late; every fold ends ``lead`` days early, so that target dates stay inside."""
     first = min(periods, key=lambda f: periods[f][0])
-    return {f: (a if f == first else a + timedelta(days=days), b) for f, (a, b) in periods.items()}
+    return {f: (a if f == first else a + timedelta(days=gap), b - timedelta(days=lead)) for f, (a, b) in periods.items()}
+
+
+def station_folds(stations: DataFrame, strategy: str = "basin", test_groups: tuple[str, ...] = (), test_share: float = 0.3, val_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """(fold, station_id): test stations are those of the named basins (basin), those at or east of the longitude that leaves
+    test_share of them in the east (longitude_block), or a drawn test_share of all (random_station). Of each basin's other
+    stations the rounded val_share, one at least but never all, is drawn for validation.
+
+    Stations are a dimension of some thousand rows: an order of all of them is one small task. Draws are hashes of ids."""
+    if strategy == "basin":
+        marked = stations.select("station_id", "basin", F.col("basin").isin(*test_groups).alias("test"))
+    elif strategy == "longitude_block":
+        cut = stations.agg(F.percentile("lon", F.lit(1 - test_share)).alias("cut"))
+        marked = stations.join(F.broadcast(cut)).select("station_id", "basin", (F.col("lon") >= F.col("cut")).alias("test"))
+    elif strategy == "random_station":
+        drawn = F.row_number().over(Window.orderBy(uniform(F.col("station_id"), "test", seed), "station_id"))
+        marked = stations.select("station_id", "basin", (drawn <= F.floor(F.count(F.lit(1)).over(Window.partitionBy()) * test_share)).alias("test"))
+    else:
+        raise ValueError(f"unknown strategy {strategy}")
+    rest = Window.partitionBy("basin", "test")
+    rank = F.row_number().over(rest.orderBy(uniform(F.col("station_id"), "val", seed), "station_id"))
+    n = F.count(F.lit(1)).over(rest)
+    val = rank <= F.least(F.greatest(F.lit(1), F.bround(n * val_share)), n - 1)
+    return marked.select(F.when(F.col("test"), "test").when(val, "val").otherwise("train").alias("fold"), "station_id")
 
 
-def split(mode: str, stations: DataFrame, periods: dict[str, tuple[date, date]], gap: int = 30, lead: int = 1, by: str = "basin", seed: int = 0) -> DataFrame:
-    """(fold, station_id, start, end). temporal: all stations, one period each; spatial: station groups over the whole span;
-    spatiotemporal: both."""
+def split(mode: str, stations: DataFrame, periods: dict[str, tuple[date, date]], gap: int = 60, lead: int = 1, **grouping) -> DataFrame:
+    """(fold, station_id, start, end). temporal: all stations, a period each; spatial: station groups, all over the training
+    period; spatiotemporal: station groups, a period each. grouping goes to station_folds. Fails on leakage."""
     if mode not in ("temporal", "spatial", "spatiotemporal"):
         raise ValueError(f"unknown split {mode}")
-    spark = stations.sparkSession
-    timed = embargoed(periods, gap + lead) if mode != "spatial" else {f: (min(a for a, _ in periods.values()), max(b for _, b in periods.values())) for f in periods}
-    folds = F.broadcast(spark.createDataFrame([(f, *timed[f]) for f in timed], "fold string, start date, end date"))
+    timed = embargoed(periods, gap, lead)
+    if mode == "spatial":
+        timed = dict.fromkeys(timed, timed["train"])
+    folds = F.broadcast(stations.sparkSession.createDataFrame([(f, *timed[f]) for f in timed], "fold string, start date, end date"))
     if mode == "temporal":
-        return stations.select("station_id").join(folds).select("fold", "station_id", "start", "end")
-    if by == "random":
-        group = F.pmod(F.xxhash64("station_id", F.lit(seed)), F.lit(10))
+        out = stations.select("station_id").join(folds)
     else:
-        group = F.pmod(F.xxhash64(by, F.lit(seed)), F.lit(10))
-    fold = F.when(group < 6, "train").when(group < 8, "val").otherwise("test")
-    return stations.select("station_id", fold.alias("fold")).join(folds, "fold").select("fold", "station_id", "start", "end")
+        out = station_folds(stations, **grouping).join(folds, "fold")
+    out = out.select("fold", "station_id", "start", "end")
+    check_leakage(out, mode)
+    return out
 
 
 def check_leakage(folds: DataFrame, mode: str) -> None:
-    """Fails where folds share stations (spatial modes) or overlap in time (temporal modes)."""
-    a, b = folds.alias("a"), folds.alias("b")
-    other = F.col("a.fold") < F.col("b.fold")
-    if mode != "temporal" and not a.join(b, (F.col("a.station_id") == F.col("b.station_id")) & other).isEmpty():
+    """Fails where folds share stations (spatial and spatiotemporal) or their periods overlap (temporal and spatiotemporal)."""
+    if mode != "temporal" and not folds.groupBy("station_id").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty():
         raise AssertionError("a station is in two folds")
-    same = F.col("a.station_id") == F.col("b.station_id")
-    if mode == "temporal" and not a.join(b, same & other & (F.col("a.start") <= F.col("b.end")) & (F.col("b.start") <= F.col("a.end"))).isEmpty():
-        raise AssertionError("two folds overlap in time")
+    if mode != "spatial":
+        spans = folds.groupBy("fold").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        # One row for each fold.
+        before = F.max("end").over(Window.orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+        if not spans.withColumn("before", before).filter(F.col("before") >= F.col("start")).isEmpty():
+            raise AssertionError("two folds overlap in time")
 
 
 def climatology(train: DataFrame, event: str, half: int = 15) -> DataFrame:

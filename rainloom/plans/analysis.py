@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, specfun
-from ..operators import events, frames, geo, homogeneity, indices, metrics, models, qc, stats
+from ..operators import events, frames, geo, homogeneity, indices, metrics, models, qc, stats, studies
 from ..operators.materialize import once
 from .basics import CALENDAR
 from .surrogate import RD, REFERENCE, RR, SD, ST, query, region_day, station_day, stations, table
@@ -360,15 +362,17 @@ def _(spark, d):
 # ---- geography ----
 
 GRID = (80.0, 0.5, 30.5, 0.5)
-_CELLS = "cells AS (SELECT CAST(i // 17 AS INTEGER) AS row, CAST(i % 17 AS INTEGER) AS col, CAST((i * i * 7919 + i * 104729) % 3001 AS DOUBLE) AS value FROM (SELECT unnest(range(0, 153)) AS i))"
+#: Cells from the line table: parts dealt to 9 rows of 17 cells, their quantities as heights.
+_CELLS = "cells AS (SELECT CAST(l_partkey % 9 AS INTEGER) AS row, CAST((l_partkey // 9) % 17 AS INTEGER) AS col, CAST(CAST(sum(l_quantity) AS BIGINT) % 3001 AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
 BOX = [("west", [[(80.0, 26.0), (84.03, 26.0), (83.03, 31.0), (80.0, 31.0)]]), ("east", [[(84.03, 26.0), (88.5, 26.0), (88.5, 31.0), (83.03, 31.0)], [(79.0, 20.0), (79.5, 20.0), (79.5, 21.0)]])]
 RIVER = [(80.0, 27.0, 83.0, 28.5), (83.0, 28.5, 86.0, 27.5), (86.0, 27.5, 88.0, 29.0)]
 _INSIDE = {"west": "lat > 26 AND lat <= 31 AND lon >= 80 AND lon < 84.03 - (lat - 26) / 5", "east": "lat > 26 AND lat <= 31 AND lon >= 84.03 - (lat - 26) / 5 AND lon < 88.5"}
 
 
-def _cells(spark):
-    i = F.col("id")
-    return spark.range(153).select((i / 17).cast("int").alias("row"), (i % 17).cast("int").alias("col"), ((i * i * 7919 + i * 104729) % 3001).cast("double").alias("value"))
+def _cells(spark, d):
+    k = F.col("l_partkey")
+    lines = table(spark, d, "lineitem").groupBy((k % 9).cast("int").alias("row"), (F.floor(k / 9) % 17).cast("int").alias("col"))
+    return lines.agg((F.sum("l_quantity").cast("long") % 3001).cast("double").alias("value"))
 
 
 @query("j11_point_in_polygon", f"WITH {ST} SELECT station_id, CASE WHEN {_INSIDE['west']} THEN 'west' WHEN {_INSIDE['east']} THEN 'east' END AS attr FROM st")
@@ -378,7 +382,7 @@ def _(spark, d):
 
 @query("j12_raster_sample", f"WITH {ST}, {_CELLS} SELECT station_id, value FROM st LEFT JOIN cells ON cells.row = floor((30.5 - lat) / 0.5) AND cells.col = floor((lon - 80.0) / 0.5)")
 def _(spark, d):
-    return geo.sample_raster(stations(spark, d), _cells(spark), GRID).select("station_id", "value")
+    return geo.sample_raster(stations(spark, d), _cells(spark, d), GRID).select("station_id", "value")
 
 
 _KM = scalars.HAVERSINE_SQL.format(lat1="a.lat", lon1="a.lon", lat2="b.lat", lon2="b.lon")
@@ -421,7 +425,7 @@ def _(spark, d):
 
 @query("j20_zonal_stats", f"WITH {_CELLS}, c AS (SELECT *, 80.0 + (col + 0.5) * 0.5 AS lon, 30.5 - (row + 0.5) * 0.5 AS lat FROM cells), z AS (SELECT *, CASE WHEN {_INSIDE['west']} THEN 'west' WHEN {_INSIDE['east']} THEN 'east' END AS attr FROM c) SELECT attr, count(value) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std FROM z WHERE attr IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    return geo.zonal(_cells(spark), GRID, spark.createDataFrame(geo.edges_of(BOX), geo.EDGES))
+    return geo.zonal(_cells(spark, d), GRID, spark.createDataFrame(geo.edges_of(BOX), geo.EDGES))
 
 
 @query(
@@ -433,12 +437,12 @@ s AS (SELECT row, col, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, (degrees
 SELECT row, col, round(slope, 6) AS slope, round(CASE WHEN slope < 0.5 THEN -1 ELSE aspect END, 6) AS aspect FROM s""",
 )
 def _(spark, d):
-    return geo.slope_aspect(_cells(spark), GRID).select("row", "col", "slope", "aspect")
+    return geo.slope_aspect(_cells(spark, d), GRID).select("row", "col", "slope", "aspect")
 
 
 @query("g2_relief", f"WITH {_CELLS} SELECT a.row, a.col, round(stddev_pop(b.value), 6) AS relief FROM cells a JOIN cells b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY 1, 2")
 def _(spark, d):
-    return geo.relief(_cells(spark)).select("row", "col", "relief")
+    return geo.relief(_cells(spark, d)).select("row", "col", "relief")
 
 
 @query(
@@ -454,7 +458,7 @@ def _(spark, d):
 
 @query("g6_raster_metadata", f"WITH {_CELLS} SELECT CAST(max(row) + 1 AS INTEGER) AS rows, CAST(max(col) + 1 AS INTEGER) AS cols, min(value) AS min, max(value) AS max, 80.0::DOUBLE AS west, 88.5::DOUBLE AS east, 30.5::DOUBLE AS north, 26.0::DOUBLE AS south FROM cells")
 def _(spark, d):
-    return geo.raster_metadata(_cells(spark), GRID)
+    return geo.raster_metadata(_cells(spark, d), GRID)
 
 
 @query(
@@ -467,7 +471,7 @@ UNION ALL SELECT station_id, 'near_duplicate_location' FROM n WHERE km < 40 UNIO
 )
 def _(spark, d):
     move = F.when(F.col("lat") > 28, '[{"date":"1996-01-01","type":"move","detail":"x"}]').otherwise("[]")
-    found = qc.station_issues(stations(spark, d).withColumn("relocation_events", move), (81.0, 26.5, 87.0, 30.0), _cells(spark), GRID, {"near_km": 40.0})
+    found = qc.station_issues(stations(spark, d).withColumn("relocation_events", move), (81.0, 26.5, 87.0, 30.0), _cells(spark, d), GRID, {"near_km": 40.0})
     return found.select("station_id", "issue")
 
 
@@ -621,14 +625,37 @@ def _(spark, d):
     return models.persistence(ev, "today", "e")
 
 
-@query("m3_splits", f"WITH {ST} SELECT f.fold, station_id, f.s AS start, f.e AS \"end\" FROM st CROSS JOIN (VALUES ('train', DATE '1995-01-01', DATE '1998-12-31'), ('val', DATE '1999-02-01', DATE '1999-12-31'), ('test', DATE '2000-02-01', DATE '2001-12-31')) f(fold, s, e)")
+_PERIODS = {"train": (date(1995, 1, 1), date(1998, 12, 31)), "val": (date(1999, 1, 1), date(1999, 12, 31)), "test": (date(2000, 1, 1), date(2001, 12, 31))}
+#: A gap of 30 days before every fold but the first, a lead of one day off every end.
+_SPANS = "(VALUES ('train', DATE '1995-01-01', DATE '1998-12-31' - 1), ('val', DATE '1999-01-01' + 30, DATE '1999-12-31' - 1), ('test', DATE '2000-01-01' + 30, DATE '2001-12-31' - 1)) f(fold, s, e)"
+
+
+@query("m3_splits", f"WITH {ST} SELECT f.fold, station_id, CAST(f.s AS DATE) AS start, CAST(f.e AS DATE) AS \"end\" FROM st CROSS JOIN {_SPANS}")
 def _(spark, d):
-    from datetime import date
+    return models.split("temporal", stations(spark, d), _PERIODS, gap=30)
+
 
-    periods = {"train": (date(1995, 1, 1), date(1998, 12, 31)), "val": (date(1999, 1, 1), date(1999, 12, 31)), "test": (date(2000, 1, 1), date(2001, 12, 31))}
-    folds = models.split("temporal", stations(spark, d), periods)
-    models.check_leakage(folds, "temporal")
-    return folds
+def _spatial_sql(test: str, spans: str, join: str) -> str:
+    """Folds by a condition for test stations; the rest's validation stations by a drawn order within their basin."""
+    drawn = studies.uniform_sql("station_id", "'val'", "'0'")
+    return f"""WITH {ST}, mk AS (SELECT station_id, basin, {test} AS test FROM st),
+rk AS (SELECT *, row_number() OVER (PARTITION BY basin, test ORDER BY {drawn}, station_id) AS rank, count(*) OVER (PARTITION BY basin, test) AS n FROM mk),
+fo AS (SELECT station_id, CASE WHEN test THEN 'test' WHEN rank <= least(greatest(1, round_even(n * 0.2, 0)), n - 1) THEN 'val' ELSE 'train' END AS fold FROM rk)
+SELECT fo.fold, station_id, CAST(f.s AS DATE) AS start, CAST(f.e AS DATE) AS "end" FROM fo JOIN {spans} ON {join}"""
+
+
+_STRATEGIES = {
+    "basin": ("basin IN ('ASIA')", {"test_groups": ("ASIA",)}),
+    "longitude_block": ("lon >= quantile_cont(lon, 0.7) OVER ()", {}),
+    "random_station": (f"row_number() OVER (ORDER BY {studies.uniform_sql('station_id', chr(39) + 'test' + chr(39), chr(39) + '0' + chr(39))}, station_id) <= floor(count(*) OVER () * 0.3)", {}),
+}
+for _strategy, (_test, _more) in _STRATEGIES.items():
+    query(f"m3_spatial_{_strategy}", _spatial_sql(_test, _SPANS, "f.fold = 'train'"))(
+        lambda spark, d, strategy=_strategy, more=_more: models.split("spatial", stations(spark, d), _PERIODS, gap=30, strategy=strategy, **more)
+    )
+    query(f"m3_spatiotemporal_{_strategy}", _spatial_sql(_test, _SPANS, "f.fold = fo.fold"))(
+        lambda spark, d, strategy=_strategy, more=_more: models.split("spatiotemporal", stations(spark, d), _PERIODS, gap=30, strategy=strategy, **more)
+    )
 
 
 @query("m1_p20_samples", f"WITH {RD}, {RR}, days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM rd), dn AS (SELECT s.station_id, days.date, precip FROM (SELECT DISTINCT station_id FROM rd) s CROSS JOIN days LEFT JOIN rd ON rd.station_id = s.station_id AND rd.date = days.date), w AS (SELECT *, max(CAST(precip > 400 AS DOUBLE)) {W} ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS target, avg(CASE WHEN precip IS NULL THEN 0.0 ELSE 1.0 END) {W} ROWS 59 PRECEDING) AS observed, row_number() {W}) AS t FROM dn) SELECT station_id, date, target, round(observed, 6) AS observed FROM w WHERE target IS NOT NULL AND observed >= 0.5 AND t >= 60")
@@ -666,10 +693,10 @@ def _(spark, d):
     return metrics.regression(model.transform(rows.filter(F.col("date") > HIGH)), "label", "prediction")
 
 
-@query("f5_special_functions", f"SELECT k, round({specfun.gamma_p_sql('k / 4.0', 'k / 3.0')}, 6) AS p, round({specfun.norm_ppf_sql('k / 41.0')}, 6) AS z FROM (SELECT unnest(range(1, 41)) AS k)")
+@query("f5_special_functions", f"SELECT p_partkey AS k, round({specfun.gamma_p_sql('(p_size / 4.0)', '(p_retailprice / 300.0)')}, 6) AS p, round({specfun.norm_ppf_sql('((p_partkey % 40 + 1) / 41.0)')}, 6) AS z FROM part")
 def _(spark, d):
-    k = F.col("id")
-    return spark.range(1, 41).select(k.alias("k"), specfun.gamma_p(k / 4.0, k / 3.0).alias("p"), specfun.norm_ppf(k / 41.0).alias("z"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") / 4.0).alias("a"), (F.col("p_retailprice") / 300.0).cast("double").alias("x"))
+    return parts.select("k", specfun.gamma_p(F.col("a"), F.col("x")).alias("p"), specfun.norm_ppf((F.col("k") % 40 + 1) / 41.0).alias("z"))
 
 
 @query("f4_thom_gamma", f"WITH {RD}, g AS (SELECT station_id, avg(precip) AS m, ln(avg(precip)) - avg(ln(precip)) AS a FROM rd WHERE precip > 0 GROUP BY 1) SELECT station_id, round((1 + sqrt(1 + 4 * a / 3)) / (4 * a), 6) AS shape, round(m / ((1 + sqrt(1 + 4 * a / 3)) / (4 * a)), 6) AS scale FROM g")

@@ -190,7 +190,7 @@ FROM st LEFT JOIN cells ON cells.row = floor((30.5 - lat) / 0.5) AND cells.col =
 def _(spark, d):
     segments = spark.createDataFrame(RIVER, "x1 double, y1 double, x2 double, y2 double")
     edges = spark.createDataFrame(geo.edges_of(BOX), geo.EDGES)
-    return studies.static_features(stations(spark, d), _cells(spark), GRID, segments, edges, _observed(spark, d), REFERENCE, "precip")
+    return studies.static_features(stations(spark, d), _cells(spark, d), GRID, segments, edges, _observed(spark, d), REFERENCE, "precip")
 
 
 @query(

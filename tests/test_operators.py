@@ -218,16 +218,42 @@ def test_ensembles(spark):
 
 
 def test_splits(spark):
-    st = spark.createDataFrame([(f"s{k}", f"b{k % 9}") for k in range(60)], "station_id string, basin string")
+    rows = [(f"s{k}", f"b{k % 9}" if k else "alone", (k * 37 % 60) / 10) for k in range(60)]
+    st = spark.createDataFrame(rows, "station_id string, basin string, lon double")
     periods = {"train": (date(2000, 1, 1), date(2005, 12, 31)), "val": (date(2006, 1, 1), date(2007, 12, 31)), "test": (date(2008, 1, 1), date(2009, 12, 31))}
-    folds = models.split("temporal", st, periods, gap=29, lead=1)
-    assert folds.filter("fold = 'val'").first().start == date(2006, 1, 31)
-    for mode in ("temporal", "spatial", "spatiotemporal"):
-        models.check_leakage(models.split(mode, st, periods), mode)
+    spans = lambda df: {r.fold: (r.start, r.end) for r in df.collect()}
+    late = {"train": (date(2000, 1, 1), date(2005, 12, 30)), "val": (date(2006, 1, 31), date(2007, 12, 30)), "test": (date(2008, 1, 31), date(2009, 12, 30))}
+    folds = models.split("temporal", st, periods, gap=30, lead=1)
+    assert spans(folds) == late and folds.count() == 180
+    choices = {"basin": {"test_groups": ("b1", "b2")}, "longitude_block": {}, "random_station": {}}
+    for strategy, more in choices.items():
+        both = models.split("spatiotemporal", st, periods, gap=30, strategy=strategy, **more)
+        assert spans(both) == late
+        apart = models.split("spatial", st, periods, gap=30, strategy=strategy, **more)
+        assert set(spans(apart).values()) == {late["train"]}
+        for df in (both, apart):
+            dealt = {}
+            for r in df.collect():
+                assert dealt.setdefault(r.station_id, r.fold) == r.fold
+            assert len(dealt) == 60
+            if strategy == "basin":
+                assert {s for s, f in dealt.items() if f == "test"} == {s for s, b, _ in rows if b in ("b1", "b2")}
+            elif strategy == "longitude_block":
+                cut = float(np.quantile([x for *_, x in rows], 0.7))
+                assert {s for s, f in dealt.items() if f == "test"} == {s for s, _, x in rows if x >= cut}
+            else:
+                assert sum(f == "test" for f in dealt.values()) == 18
+            for basin in {b for _, b, _ in rows}:
+                rest = [dealt[s] for s, b, _ in rows if b == basin and dealt[s] != "test"]
+                assert rest.count("val") == (min(max(1, round(0.2 * len(rest))), len(rest) - 1) if rest else 0)
     with pytest.raises(AssertionError):
         models.check_leakage(folds, "spatial")
+    with pytest.raises(AssertionError):
+        models.split("spatiotemporal", st, periods | {"val": (date(2005, 1, 1), date(2007, 12, 31))}, gap=30)
     with pytest.raises(ValueError):
         models.split("other", st, periods)
+    with pytest.raises(ValueError):
+        models.split("spatial", st, periods, strategy="other")
 
 
 def test_order_and_partitions_do_not_matter(spark):
