@@ -17,7 +17,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -195,10 +195,11 @@ def _packed(size: int):
     return packed
 
 
-def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, group: int = GROUP) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, group: int = GROUP, derive: Callable[[DataFrame], DataFrame] = lambda pieces: pieces) -> DataFrame:
     """doc_id, start, length, ids (32-bit little-endian numbers), doc_tokens, sequence_id, offset: one row for each piece.
 
-    Sequences of whole cuts have negative ids, packed ones carry their group's number in the upper half."""
+    Sequences of whole cuts have negative ids, packed ones carry their group's number in the upper half. What derive makes
+    of the pieces is what is kept and returned: who needs no ids then keeps none."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -214,4 +215,4 @@ def pack(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END, group:
         whole = pieces.filter("whole").select(
             "doc_id", "start", F.col("length").cast("long").alias("length"), "ids", "doc_tokens", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
         )
-        return settled(packed.unionByName(whole))
+        return settled(derive(packed.unionByName(whole)))
