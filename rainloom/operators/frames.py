@@ -153,3 +153,17 @@ def ordered_totals(df: DataFrame, order: Column, totals: dict[str, str], by: lis
     for new, c in totals.items():
         out = out.withColumn(new, F.sum(c).over(inside) + F.col(f"_{new}"))
     return out.drop("_part", *(f"_{new}" for new in totals))
+
+
+def quantiles(df: DataFrame, x: str, shares: dict[str, float]) -> DataFrame:
+    """One row with the exact percentiles of a column over a whole table, interpolated between neighbours; nulls aside, null where
+    nothing is known. Distinct values are counted and ranked by range parts, so no task holds them all."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    ranked = ordered_totals(counts, F.asc("_x"), {"_upto": "_c"}, [])
+    n = ranked.agg(F.sum("_c").alias("_n"))
+    held = ranked.join(F.broadcast(n))
+    place = {name: (F.col("_n") - 1) * q for name, q in shares.items()}
+    # The value of rank r is the least whose running count exceeds r.
+    at = {name: [F.min(F.when(F.col("_upto") > f(p), F.col("_x"))) for f in (F.floor, F.ceil)] for name, p in place.items()}
+    ends = held.agg(F.first("_n").alias("_n"), *(v.alias(f"{name}_{k}") for name, both in at.items() for k, v in enumerate(both)))
+    return ends.select(*((F.col(f"{name}_0") + (place[name] - F.floor(place[name])) * (F.col(f"{name}_1") - F.col(f"{name}_0"))).alias(name) for name in shares))

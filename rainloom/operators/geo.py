@@ -11,7 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import haversine_km
+from ..functions.scalars import EARTH_KM, haversine_km
+from .materialize import once
 
 #: Degrees of a cell for near joins, about 111 km of latitude.
 CELL_KM = 111.0
@@ -29,6 +30,56 @@ def check_crs(found: str | None, expected: str = "EPSG:4326") -> None:
         raise CRSMismatchError(f"{found} where {expected} is needed")
 
 
+#: The WGS84 ellipsoid, and the scale and false easting of the UTM zones.
+AXIS, FLATTENING, SCALE, EASTING, NORTHING = 6378137.0, 1 / 298.257223563, 0.9996, 500_000.0, 10_000_000.0
+_N = FLATTENING / (2 - FLATTENING)
+#: Krueger's series in the third flattening to its fourth power: to the plane, back, and from the conformal latitude.
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440, 61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45, 56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630)
+_RADIUS = AXIS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+
+
+def utm_zone(crs: str) -> tuple[int, bool]:
+    """(zone, south) of EPSG:326zz or EPSG:327zz."""
+    code = crs.strip().upper().removeprefix("EPSG:")
+    if not (code.isdigit() and code[:3] in ("326", "327") and len(code) == 5 and 1 <= int(code[3:]) <= 60):
+        raise CRSMismatchError(f"no UTM zone: {crs}")
+    return int(code[3:]), code[2] == "7"
+
+
+def to_utm(lon: Column, lat: Column, crs: str) -> tuple[Column, Column]:
+    """(easting, northing) in metres of degrees of WGS84: transverse Mercator by Krueger's series, to a fraction of a millimetre
+    within the zones beside its own."""
+    zone, south = utm_zone(crs)
+    turn, s = F.radians(lon - (6 * zone - 183)), F.sin(F.radians(lat))
+    c = 2 * math.sqrt(_N) / (1 + _N)
+    t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
+    up, along = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+    x = along + sum((a * F.cos(2 * j * up) * F.sinh(2 * j * along) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
+    y = up + sum((a * F.sin(2 * j * up) * F.cosh(2 * j * along) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
+    return EASTING + SCALE * _RADIUS * x, (NORTHING if south else 0.0) + SCALE * _RADIUS * y
+
+
+def from_utm(easting: Column, northing: Column, crs: str) -> tuple[Column, Column]:
+    """(lon, lat) in degrees of WGS84; undoes to_utm."""
+    zone, south = utm_zone(crs)
+    x, y = (easting - EASTING) / (SCALE * _RADIUS), (northing - (NORTHING if south else 0.0)) / (SCALE * _RADIUS)
+    along = x - sum((b * F.cos(2 * j * y) * F.sinh(2 * j * x) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
+    up = y - sum((b * F.sin(2 * j * y) * F.cosh(2 * j * x) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(up) / F.cosh(along))
+    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1)), F.lit(0.0))
+    return F.degrees(F.atan2(F.sinh(along), F.cos(up))) + (6 * zone - 183), F.degrees(lat)
+
+
+def reproject(points: DataFrame, source: str, target: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    """points with coordinates x and y of a named reference system in those of another: WGS84 degrees and UTM zones."""
+    degrees = lambda crs: crs.strip().upper() in ("EPSG:4326", "OGC:CRS84")
+    lon, lat = (F.col(x), F.col(y)) if degrees(source) else from_utm(F.col(x), F.col(y), source)
+    out = (lon, lat) if degrees(target) else to_utm(lon, lat, target)
+    return points.withColumns({x: out[0], y: out[1]})
+
+
 def edges_of(polygons: list[tuple[str, list[list[tuple[float, float]]]]]) -> list[tuple]:
     """Rows (attr, ord, ring, x1, y1, x2, y2) of named polygons, each a list of exterior rings."""
     out = []
@@ -61,13 +112,49 @@ def sample_raster(points: DataFrame, cells: DataFrame, grid: tuple[float, float,
     return at.join(cells, ["row", "col"], "left")
 
 
-def nearest_k(queries: DataFrame, stations: DataFrame, k: int, query: str = "query") -> DataFrame:
-    """(query, station_id, km, rank): the k nearest stations of each query point (columns query, qlat, qlon). Stations are a
-    dimension table."""
-    pairs = queries.join(F.broadcast(stations.select("station_id", "lat", "lon")))
-    pairs = pairs.withColumn("km", haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("km", "station_id")))
-    return ranked.filter(F.col("rank") <= k).select(query, "station_id", "km", "rank")
+def nearest_k(queries: DataFrame, stations: DataFrame, k: int, query: str = "query", cell: float | None = None) -> DataFrame:
+    """(query, station_id, km, rank): the k nearest stations of each query point (columns query, qlat, qlon), fewer where there are
+    fewer; ties go to the smaller id. Points without coordinates have none.
+
+    Stations are filed under cells of a grid, sized so that a cell holds about k of them. A query meets its own cell and
+    those around it by an equi-join; it is done when its k-th distance is no more than the distance to what lies beyond those
+    cells. The others go on with cells twice as wide, until the cells around go round the globe. Nothing is broadcast, and no
+    query meets all stations unless they are all that near.
+    """
+    placed = stations.filter("lat IS NOT NULL AND lon IS NOT NULL").select("station_id", "lat", "lon")
+    if cell is None:
+        box = placed.agg(F.count(F.lit(1)).alias("n"), (F.max("lat") - F.min("lat")).alias("h"), (F.max("lon") - F.min("lon")).alias("w")).first()
+        cell = math.sqrt(max((box.h or 0) * (box.w or 0), 1e-6) * k / max(box.n, 1))
+    # A whole number of cells goes round.
+    around = max(1, int(360 / min(max(cell, 1e-4), 120.0)))
+    left = queries.filter("qlat IS NOT NULL AND qlon IS NOT NULL").select(F.col(query).alias("_q"), "qlat", "qlon")
+    done = None
+    while True:
+        wide, whole = 360.0 / around, around <= 3
+        column = lambda x: F.pmod(F.floor((x + 180) / wide).cast("long"), F.lit(around))  # noqa: B023, E731
+        row = lambda y: F.floor((y + 90) / wide).cast("long")  # noqa: B023, E731
+        filed = placed.withColumn("row", F.lit(0).cast("long") if whole else row(F.col("lat"))).withColumn("col", F.lit(0).cast("long") if whole else column(F.col("lon")))
+        # Around the globe three cells are all there is: one cell for everything.
+        beside = F.array(F.lit(0).cast("long")) if whole else F.array(*(F.lit(k).cast("long") for k in (-1, 0, 1)))
+        asked = left.withColumn("_r", F.explode(beside)).withColumn("_c", F.explode(beside))
+        own_row, own_column = (F.lit(0).cast("long"),) * 2 if whole else (row(F.col("qlat")), column(F.col("qlon")))
+        asked = asked.withColumn("row", own_row + F.col("_r")).withColumn("col", F.pmod(own_column + F.col("_c"), F.lit(around)))
+        met = asked.join(filed.hint("merge"), ["row", "col"]).withColumn("km", haversine_km(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
+        ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("_q").orderBy("km", "station_id"))).filter(F.col("rank") <= k)
+        if whole:
+            found = ranked.select("_q", "station_id", "km", "rank")
+            return (found if done is None else done.unionByName(found)).withColumnRenamed("_q", query)
+        # What lies beyond is at least so far: a parallel a cell's width off, or a meridian.
+        beyond = F.least(F.lit(EARTH_KM * math.radians(wide)), EARTH_KM * F.asin(F.cos(F.radians("qlat")) * math.sin(math.radians(min(wide, 90.0)))))
+        held = Window.partitionBy("_q")
+        ranked = ranked.withColumn("_safe", (F.max("rank").over(held) >= k) & (F.max("km").over(held) <= beyond))
+        ranked = once(ranked.select("_q", "station_id", "km", "rank", "_safe"))
+        safe = ranked.filter("_safe").drop("_safe")
+        done = safe if done is None else done.unionByName(safe)
+        left = once(left.join(safe.select("_q").distinct(), "_q", "left_anti"))
+        if left.isEmpty():
+            return done.withColumnRenamed("_q", query)
+        around = max(1, around // 2)
 
 
 def nearest_other(stations: DataFrame, below_km: float) -> DataFrame:
@@ -81,10 +168,11 @@ def nearest_other(stations: DataFrame, below_km: float) -> DataFrame:
 
 
 def nearest_member(stations: DataFrame, members: DataFrame) -> DataFrame:
-    """(station_id, km): distance to the nearest other station among members, a dimension table."""
-    others = members.select(F.col("station_id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    pairs = stations.join(F.broadcast(others), F.col("station_id") != F.col("other"), "left")
-    return pairs.groupBy("station_id").agg(F.min(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).alias("km"))
+    """(station_id, km): distance to the nearest other station among members; null without one."""
+    asked = stations.select(F.col("station_id").alias("query"), F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+    # Of the two nearest, one at least is another station.
+    near = nearest_k(asked, members, 2).filter("query <> station_id").groupBy("query").agg(F.min("km").alias("km"))
+    return stations.select("station_id").join(near.withColumnRenamed("query", "station_id"), "station_id", "left")
 
 
 def polyline_distance(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import entropy_bits
-from .frames import ordered_totals
+from .frames import ordered_totals, quantiles
 
 
 def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
@@ -149,11 +149,11 @@ def conformal_evaluate(sets: DataFrame) -> DataFrame:
 
 def categorise(df: DataFrame, reference: DataFrame, epistemic: str = "epistemic") -> DataFrame:
     """df with uncertainty low, moderate or high by the reference's median and 90th percentile; an empty set is high."""
-    q = reference.agg(F.percentile(epistemic, F.array(F.lit(0.5), F.lit(0.9))).alias("q"))
+    q = quantiles(reference, epistemic, {"_half": 0.5, "_most": 0.9})
     held = df.join(F.broadcast(q))
     empty = ~(F.col("in0") | F.col("in1")) if "in0" in df.columns else F.lit(False)
-    level = F.when((F.col(epistemic) > F.col("q")[1]) | empty, "high").when(F.col(epistemic) > F.col("q")[0], "moderate").otherwise("low")
-    return held.withColumn("uncertainty", level).drop("q")
+    level = F.when((F.col(epistemic) > F.col("_most")) | empty, "high").when(F.col(epistemic) > F.col("_half"), "moderate").otherwise("low")
+    return held.withColumn("uncertainty", level).drop("_half", "_most")
 
 
 def temperature(df: DataFrame, low: float = 0.05, high: float = 20.0, steps: int = 40) -> float:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import specfun
+from ..functions import scalars, specfun
 from ..operators import events, frames, geo, homogeneity, indices, metrics, stats, studies
 from ..sources import platform, sinks
 from .analysis import _CELLS, _F, _INSIDE, _KM, _LABELS, _MONTHS, _SEG, _SY, _WHIPLASH, BOX, GRID, RIVER, SETTINGS, _cells, _daily, _forecasts, _months, _swings
@@ -420,3 +420,51 @@ SELECT gr."group", event, count(CASE WHEN known THEN 1 END) AS n_days, count(CAS
 def _(spark, d):
     labeled = events.label_events(_daily(spark, d), REFERENCE, SETTINGS)
     return events.grouped(labeled, ["extreme_wet_day", "dry_spell", "hot_day", "wet_hot"])
+
+
+# ---- larger tables ----
+
+_PLACES = """pl AS (SELECT c_custkey AS station_id, 26.0 + (c_custkey * 37 % 4201) / 1000.0 AS lat, 80.0 + (c_custkey * 53 % 8311) / 1000.0 AS lon FROM customer),
+qu AS (SELECT s_suppkey AS query, 26.0 + (s_suppkey * 911 % 4201) / 1000.0 AS qlat, 80.0 + (s_suppkey * 577 % 8311) / 1000.0 AS qlon FROM supplier)"""
+
+
+@query(
+    "j13_knn_customers",
+    f"""WITH {_PLACES}, r AS (SELECT query, station_id, {_KM.replace("a.lat", "qlat").replace("a.lon", "qlon").replace("b.lat", "lat").replace("b.lon", "lon")} AS km FROM qu CROSS JOIN pl)
+SELECT query, station_id, round(km, 6) AS km, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY km, station_id) AS rank FROM r) WHERE rank <= 5""",
+)
+def _(spark, d):
+    """The five nearest customers of each supplier, on places made from their keys."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    places = table(spark, d, "customer").select(c.alias("station_id"), (26.0 + (c * 37 % 4201) / 1000.0).alias("lat"), (80.0 + (c * 53 % 8311) / 1000.0).alias("lon"))
+    asked = table(spark, d, "supplier").select(s.alias("query"), (26.0 + (s * 911 % 4201) / 1000.0).alias("qlat"), (80.0 + (s * 577 % 8311) / 1000.0).alias("qlon"))
+    return geo.nearest_k(asked, places, 5)
+
+
+@query("a5_whole_table_quantiles", "SELECT round(quantile_cont(l_extendedprice, 0.5), 6) AS half, round(quantile_cont(l_extendedprice, 0.9), 6) AS most, round(quantile_cont(l_extendedprice, 0.999), 6) AS top FROM lineitem")
+def _(spark, d):
+    return frames.quantiles(table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double").alias("x")), "x", {"half": 0.5, "most": 0.9, "top": 0.999})
+
+
+#: Transverse Mercator in plain SQL: series of the third flattening n, around the middle meridian of zone 45 (87 degrees).
+_UTM = """k AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n),
+a AS (SELECT *, 6378137.0 / (1 + n) * (1 + n * n / 4 + pow(n, 4) / 64) * 0.9996 AS r, 2 * sqrt(n) / (1 + n) AS c, n / 2 - 2 * n * n / 3 + 5 * pow(n, 3) / 16 + 41 * pow(n, 4) / 180 AS a1, 13 * n * n / 48 - 3 * pow(n, 3) / 5 + 557 * pow(n, 4) / 1440 AS a2, 61 * pow(n, 3) / 240 - 103 * pow(n, 4) / 140 AS a3, 49561 * pow(n, 4) / 161280 AS a4 FROM k),
+u AS (SELECT station_id, radians(lon - 87) AS d, sin(radians(lat)) AS s, a.* FROM st CROSS JOIN a),
+t AS (SELECT *, sinh(atanh(s) - c * atanh(c * s)) AS t FROM u),
+e AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t)"""
+
+
+@query(
+    "g5_utm",
+    f"""WITH {ST}, {_UTM} SELECT station_id,
+ round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)), 4) AS easting,
+ round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)), 4) AS northing, 0.0::DOUBLE AS off_mm FROM e""",
+)
+def _(spark, d):
+    """Stations in UTM zone 45 north, and how far the way back misses, in whole millimetres."""
+    st = stations(spark, d)
+    there = geo.reproject(st, "EPSG:4326", "EPSG:32645")
+    back = geo.reproject(there, "EPSG:32645", "EPSG:4326").select("station_id", F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    both = there.select("station_id", F.col("lon").alias("easting"), F.col("lat").alias("northing")).join(back, "station_id").join(st, "station_id")
+    miss = F.round(scalars.haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) * 1e6)
+    return both.select("station_id", F.round("easting", 4).alias("easting"), F.round("northing", 4).alias("northing"), miss.alias("off_mm"))

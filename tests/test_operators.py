@@ -274,3 +274,64 @@ def test_ordered_totals_over_many_parts(spark):
         got = {(r.g, r.x): r.upto for r in ordered_totals(df, order, {"upto": "c"}, ["g"]).collect()}
         assert got == {(g, x): sum(c for (h, y), c in distinct.items() if h == g and (y >= x if down else y <= x)) for g, x in distinct}
     assert ordered_totals(df.filter("false"), F.asc("x"), {"upto": "c"}, []).collect() == []
+
+
+def test_nearest_k_by_rings_is_all_pairs(spark):
+    """Rings over clusters, lone points, both sides of the date line, poles, ties, and more neighbours than there are."""
+    rng = np.random.default_rng(4)
+    crowd = [(float(27 + rng.normal(0, 0.05)), float(85 + rng.normal(0, 0.05))) for _ in range(120)]
+    lone = [(float(rng.uniform(-89, 89)), float(rng.uniform(-180, 180))) for _ in range(40)]
+    places = crowd + lone + [(10.0, 179.95), (10.0, -179.95), (89.9, 0.0), (89.9, 180.0), (-89.95, 77.0), (27.0, 85.0), (27.0, 85.0)]
+    st = spark.createDataFrame([(f"s{k:03}", *p) for k, p in enumerate(places)] + [("none", None, 3.0)], "station_id string, lat double, lon double")
+    asked = [(27.0, 85.0), (10.0, 179.99), (89.99, 90.0), (-45.0, -120.0), *lone[:5]]
+    queries = spark.createDataFrame([(f"q{k}", *p) for k, p in enumerate(asked)] + [("none", None, None)], "query string, qlat double, qlon double")
+
+    def km(a, b):
+        (p, q), (r, s) = (tuple(map(math.radians, x)) for x in (a, b))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * scalars.EARTH_KM * math.asin(math.sqrt(min(1.0, h)))
+
+    for k in (1, 4, 500):
+        for cell in (None, 0.5, 40.0) if k < 500 else (None,):
+            got = {(r.query, r["rank"]): (r.station_id, r.km) for r in geo.nearest_k(queries, st, k, cell=cell).collect()}
+            for q, a in enumerate(asked):
+                best = sorted((km(a, p), f"s{n:03}") for n, p in enumerate(places))[:k]
+                mine = [got[f"q{q}", r + 1] for r in range(len(best))]
+                assert np.allclose([m[1] for m in mine], [b[0] for b in best], atol=1e-6)
+                assert k == 500 or [m[0] for m in mine] == [b[1] for b in best]
+            assert len(got) == len(asked) * min(k, len(places))
+    assert geo.nearest_k(queries, st.filter("false"), 3).collect() == [] and geo.nearest_k(queries.filter("false"), st, 3).collect() == []
+    near = {r.station_id: r.km for r in geo.nearest_member(st, st.filter("station_id IN ('s165', 's000')")).collect()}
+    assert near["none"] is None and abs(near["s165"] - km(places[165], places[0])) < 1e-6 and near["s166"] == 0
+
+
+def test_utm_there_and_back(spark):
+    points = [(87.0, 0.0), (87.0, 45.0), (85.324, 27.717), (83.97, 28.21), (81.0, -33.0), (90.0, 70.0), (84.0, 26.3)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, lon double, lat double")
+    there = geo.reproject(df, "EPSG:4326", "EPSG:32645")
+    back = {r.k: r for r in geo.reproject(there, "EPSG:32645", "OGC:CRS84").collect()}
+    assert all(abs(back[k].lon - p[0]) < 1e-9 and abs(back[k].lat - p[1]) < 1e-9 for k, p in enumerate(points))
+    got = {r.k: r for r in there.collect()}
+    assert abs(got[0].lon - 500_000) < 1e-6 and abs(got[0].lat) < 1e-6
+    # The length of the meridian to 45 degrees is 4984944.378 m.
+    assert abs(got[1].lat - 0.9996 * 4984944.378) < 2e-3 and abs(got[1].lon - 500_000) < 1e-6
+    # Scale and direction beside the middle meridian: small steps on the ground are as long as on the map times about 0.9996.
+    a, b = (spark.createDataFrame([(0, 85.324 + d, 27.717)], "k int, lon double, lat double") for d in (0.0, 1e-4))
+    p, q = (geo.reproject(x, "EPSG:4326", "EPSG:32645").first() for x in (a, b))
+    prime = geo.AXIS / math.sqrt(1 - geo.FLATTENING * (2 - geo.FLATTENING) * math.sin(math.radians(27.717)) ** 2)
+    assert abs(math.hypot(q.lon - p.lon, q.lat - p.lat) / (prime * math.cos(math.radians(27.717)) * math.radians(1e-4)) - 0.9999) < 3e-4
+    south = geo.reproject(df, "EPSG:4326", "EPSG:32745").filter("k = 4").first()
+    assert abs(south.lat - (got[4].lat + 10_000_000)) < 1e-6
+    for crs in ("EPSG:3857", "EPSG:32661", "x"):
+        with pytest.raises(geo.CRSMismatchError):
+            geo.reproject(df, "EPSG:4326", crs)
+
+
+def test_quantiles_of_a_whole_table(spark):
+    rng = np.random.default_rng(9)
+    for values in ([3.0], [1.0, 2.0], [7.0] * 300 + [1.0, 9.0], rng.normal(0, 1, 501).tolist(), [0.0, None, 5.0, None]):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+        known = [v for v in values if v is not None]
+        shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
+        assert np.allclose(list(frames.quantiles(df, "x", shares).first()), [np.quantile(known, q) for q in shares.values()])
+    assert list(frames.quantiles(spark.createDataFrame([], "x double"), "x", {"a": 0.5}).first()) == [None]
