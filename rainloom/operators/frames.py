@@ -88,13 +88,6 @@ def circular_percentile(df: DataFrame, x: str, reference: Column, q: float, half
     return spread.groupBy(STATION, "doy").agg(F.when(F.count(x) > more_than, F.percentile(x, F.lit(q))).alias("threshold"))
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], x: str, y: str, width: int) -> DataFrame:
-    """Pairs with equal keys and |x - y| <= width in whole units, by buckets: an equi-join with three buckets to the right."""
-    a = left.withColumn("_bucket", F.floor(F.col(x) / width))
-    b = right.withColumn("_bucket", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: F.floor(F.col(y) / width) + o)))
-    return a.join(b, [*keys, "_bucket"]).filter(F.abs(F.col(x) - F.col(y)) <= width).drop("_bucket")
-
-
 def members_within(df: DataFrame, keys: list[str], date: str, member: str, days: int, name: str) -> DataFrame:
     """(keys, date, name): for each day that has a row, how many members have a row of equal keys within ``days`` of it.
 

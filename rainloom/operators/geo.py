@@ -256,7 +256,3 @@ def clip_half_plane(ring: list[tuple[float, float]], a: float, b: float, c: floa
             t = dp / (dp - dq)
             out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
     return out
-
-
-def climate_zone(elevation: float) -> int:
-    return sum(elevation >= e for e in (1000, 2000, 3000, 4000)) if not math.isnan(elevation) else -1

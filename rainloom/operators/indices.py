@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -150,29 +148,3 @@ def etccdi_annual(obs: DataFrame, thresholds: DataFrame, calendar: DataFrame, we
         (100 * F.avg(F.when(F.col("tmin").isNotNull() & F.col("tn10_thr").isNotNull(), (F.col("tmin") < F.col("tn10_thr")).cast("double")))).alias("TN10p"),
     )
     return out.filter(F.col("completeness") >= least)
-
-
-def gamma_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Synthetic station-days: rows station, days, seed to dates, amounts and temperatures (AR(1), gamma amounts on wet days)."""
-    for batch in batches:
-        for r in batch.itertuples():
-            rng = np.random.default_rng(int(r.seed))
-            n = int(r.days)
-            noise, z = rng.standard_normal(n), np.empty(n)
-            level = 0.0
-            for k in range(n):
-                level = 0.6 * level + 0.8 * noise[k]
-                z[k] = level
-            days = np.arange(n)
-            cycle = np.sin(2 * np.pi * (days - 100) / 365.25)
-            wet = z + 0.8 * cycle > 0.6
-            tmax = 20 + 8 * cycle + 2 * rng.standard_normal(n)
-            yield pd.DataFrame(
-                {
-                    "station_id": r.station_id,
-                    "date": (np.datetime64("2000-01-01") + days).astype("datetime64[ns]"),
-                    "precip": np.where(wet, np.round(rng.gamma(0.8, 12.0, n), 1), 0.0),
-                    "tmax": np.round(tmax, 1),
-                    "tmin": np.round(tmax - 8 - np.abs(rng.standard_normal(n)), 1),
-                }
-            )

@@ -19,6 +19,7 @@ from ..functions.scalars import logit
 from ..session import ship
 from . import frames, metrics
 from .networks import Tcn, sigmoid
+from .studies import uniform
 
 #: Channels of a day, in this order: standardised values, whether they were observed, the calendar.
 VALUES = ("precip", "tmax", "tmin")
@@ -212,6 +213,26 @@ def train(table: DataFrame, validation: DataFrame, model: Tcn, window: int = 60,
     return model.at(best), history
 
 
+def thinned_labels(table: DataFrame, share: float, seed: int = 0) -> DataFrame:
+    """table with each known y kept with the given chance, by a hash of station and day; the windows stay."""
+    day = lambda k: F.date_add(F.col("start"), k).cast("string")
+    return table.withColumn("y", F.transform("y", lambda v, k: F.when(uniform(F.col("station_id"), day(k), seed) < share, v)))
+
+
+def label_scarcity(table: DataFrame, validation: DataFrame, test: DataFrame, model: Tcn, shares: tuple[float, ...] = (0.05, 0.2, 1.0), window: int = 60, seed: int = 0, **training) -> list[tuple[float, int, int, float]]:
+    """(label_fraction, n_train, n_train_events, auprc on test) of the model trained with part of the labels."""
+    rows = []
+    for share in shares:
+        some = thinned_labels(table, share, seed)
+        own = F.slice("y", F.greatest(F.col("before") + 1, F.lit(window)), F.size("y"))
+        known = some.select(F.explode(own).alias("y")).agg(F.count("y").alias("n"), F.sum("y").alias("events")).first()
+        fitted, _ = train(some, validation, model, window, **training)
+        held = scores(test, [fitted], window, model.channels).filter("y IS NOT NULL").select("y", (1 / (1 + F.exp(-F.col("logits")[0]))).alias("p"))
+        found = metrics.average_precision(held).first()
+        rows.append((share, int(known.n), int(known.events or 0), float(found.ap) if found is not None and found.ap is not None else float("nan")))
+    return rows
+
+
 # ---- what a model relies on ----
 
 

@@ -74,7 +74,7 @@ def folds_by_group(stations: DataFrame, by: str, seed: int = 0, blocks: int = 8)
 
 
 def stratified(rows: DataFrame, label: str, keys: list[str], share: float, seed: int = 0) -> DataFrame:
-    """rows with ``validation``: of each value of the label the given share, by a drawn order within it."""
+    """rows with ``validation``: each row with the given chance, drawn apart for each value of the label, so a value's share is near it."""
     # Drawn by a threshold on a hash and not by a rank, so that no task holds a whole class.
     drawn = uniform(*(F.col(k).cast("string") for k in keys), F.col(label).cast("string"), seed)
     return rows.withColumn("validation", drawn < share)
@@ -244,3 +244,26 @@ def verdict(low: Column, high: Column, favourable_positive: bool = True) -> Colu
     above, below = low > 0, high < 0
     yes, no = (above, below) if favourable_positive else (below, above)
     return F.when(yes, "supported").when(no, "contradicted").otherwise("inconclusive")
+
+
+def degradation_verdict(drop: Column, z: Column, p_value: Column, mode: Column) -> Column:
+    """Whether skill falls with time: by a falling trend of the yearly scores (Mann-Kendall z and p, null for too few years) or by
+    more than 0.05 from validation to test. Where all folds lie in one period the question does not arise."""
+    falling = F.coalesce((p_value < 0.05) & (z < 0), F.lit(False)) | F.coalesce(drop < -0.05, F.lit(False))
+    return F.when(falling, "supported").when(mode == "spatial", "not applicable (same period)").otherwise("inconclusive")
+
+
+def uncertainty_verdict(high: Column, low: Column, auroc: Column) -> Column:
+    """Whether uncertainty tells errors: more of them where it is high than where it is low, and an AUROC over 0.6."""
+    tells = (F.coalesce(high, F.lit(0.0)) > F.coalesce(low, F.lit(1.0))) & (F.coalesce(auroc, F.lit(0.0)) > 0.6)
+    return F.when(tells, "supported").otherwise("inconclusive")
+
+
+def error_by_uncertainty(rows: DataFrame) -> DataFrame:
+    """(high, low, auroc, verdict) of rows with error (boolean), uncertainty (low, moderate, high) and epistemic."""
+    from .metrics import auroc
+
+    rate = lambda level: F.avg(F.when(F.col("uncertainty") == level, F.col("error").cast("double")))
+    rates = rows.agg(rate("high").alias("high"), rate("low").alias("low"))
+    told = auroc(rows.select(F.col("error").cast("int").alias("y"), F.col("epistemic").alias("p")))
+    return rates.join(told).select("high", "low", "auroc", uncertainty_verdict(F.col("high"), F.col("low"), F.col("auroc")).alias("verdict"))

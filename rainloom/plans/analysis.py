@@ -585,6 +585,20 @@ def _(spark, d):
     return metrics.categorise(m, m).select("doc_id", "uncertainty")
 
 
+@query(
+    "v12_uncertainty_verdict",
+    f"""WITH {_F}, {_M}, {_D}, q AS (SELECT quantile_cont(epi, 0.5) AS a, quantile_cont(epi, 0.9) AS b FROM ep),
+c AS (SELECT ep.doc_id, epi, CASE WHEN epi > b THEN 'high' WHEN epi > a THEN 'moderate' ELSE 'low' END AS u, CASE WHEN (f.p >= 0.5) <> (f.y = 1) THEN 1 ELSE 0 END AS e FROM ep JOIN f ON f.doc_id = ep.doc_id CROSS JOIN q),
+k AS (SELECT epi, sum(e) AS pos, count(*) AS n FROM c GROUP BY 1), w AS (SELECT *, sum(n - pos) OVER (ORDER BY epi) - (n - pos) AS below, sum(pos) OVER () AS events, sum(n) OVER () AS rows FROM k),
+s AS (SELECT sum(pos * (below + 0.5 * (n - pos))) / max(events * (rows - events)) AS auroc FROM w), r AS (SELECT avg(CASE WHEN u = 'high' THEN e END) AS high, avg(CASE WHEN u = 'low' THEN e END) AS low FROM c)
+SELECT round(high, 6) AS high, round(low, 6) AS low, round(auroc, 6) AS auroc, CASE WHEN coalesce(high, 0) > coalesce(low, 1) AND coalesce(auroc, 0) > 0.6 THEN 'supported' ELSE 'inconclusive' END AS verdict FROM r CROSS JOIN s""",
+)
+def _(spark, d):
+    m = _members(spark, d).withColumn("epistemic", metrics.decompose(F.col("ms"))["epistemic"])
+    told = metrics.categorise(m, m).select("doc_id", "uncertainty", "epistemic").join(_forecasts(spark, d), "doc_id")
+    return studies.error_by_uncertainty(told.withColumn("error", (F.col("p") >= 0.5) != (F.col("y") == 1)))
+
+
 _QD = "CASE WHEN abs(p - 0.5) > 0.2 AND (p >= 0.5) = (y = 1) THEN 'confident_correct' WHEN abs(p - 0.5) > 0.2 THEN 'confident_wrong' WHEN (p >= 0.5) = (y = 1) THEN 'uncertain_correct' ELSE 'uncertain_wrong' END"
 
 

@@ -86,7 +86,8 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
 def release_slice(observations: DataFrame, since: str, path: str) -> DataFrame:
     """Writes the observations since a date for a release, by year, and gives back what was written."""
     chosen = observations.filter(F.col("date") >= F.lit(since).cast("date")).withColumn("year", F.year("date"))
-    chosen.repartition("year").sortWithinPartitions("station_id", "date").write.mode("overwrite").partitionBy("year").parquet(path)
+    # By ranges, so that a year of all stations is as many tasks and files as it needs.
+    chosen.repartitionByRange("year", "station_id", "date").sortWithinPartitions("year", "station_id", "date").write.mode("overwrite").partitionBy("year").parquet(path)
     return observations.sparkSession.read.parquet(path).select(*observations.columns)
 
 

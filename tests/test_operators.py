@@ -335,3 +335,21 @@ def test_quantiles_of_a_whole_table(spark):
         shares = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.9, "e": 1.0}
         assert np.allclose(list(frames.quantiles(df, "x", shares).first()), [np.quantile(known, q) for q in shares.values()])
     assert list(frames.quantiles(spark.createDataFrame([], "x double"), "x", {"a": 0.5}).first()) == [None]
+
+
+def test_units_of_temperature(spark):
+    df = spark.createDataFrame([(212.0, 373.15)], "f double, k double")
+    row = df.select(*(scalars.convert("tmax", u, F.col("f")).alias(u) for u in ("degF", "F")), scalars.convert("tmin", "K", F.col("k")).alias("K")).first()
+    assert all(abs(v - 100) < 1e-9 for v in row)
+    with pytest.raises(ValueError):
+        scalars.convert("rh", "degF", F.col("f"))
+
+
+def test_verdicts_of_degradation_and_uncertainty(spark):
+    rows = [(-0.1, None, None, "temporal"), (-0.01, -3.0, 0.01, "temporal"), (-0.01, 3.0, 0.01, "temporal"), (None, None, None, "spatial"), (-0.2, None, None, "spatial"), (0.0, -3.0, 0.2, "temporal")]
+    df = spark.createDataFrame(rows, "drop double, z double, p double, mode string").coalesce(1)
+    got = [r.v for r in df.select(studies.degradation_verdict(*map(F.col, ("drop", "z", "p", "mode"))).alias("v")).collect()]
+    assert got == ["supported", "supported", "inconclusive", "not applicable (same period)", "supported", "inconclusive"]
+    rows = [(0.4, 0.1, 0.7), (0.1, 0.4, 0.7), (0.4, 0.1, 0.6), (None, 0.1, 0.9), (0.4, None, 0.9), (0.4, 0.1, None)]
+    df = spark.createDataFrame(rows, "h double, l double, a double").coalesce(1)
+    assert [r.v for r in df.select(studies.uncertainty_verdict(*map(F.col, "hla")).alias("v")).collect()] == ["supported"] + ["inconclusive"] * 5

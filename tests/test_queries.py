@@ -12,7 +12,7 @@ from rainloom.plans import analysis, basics, registry, reports, sequences  # noq
 NAMES = [
     "s1_scan_station_day", "j6_regularise_daily", "j9_range_self_join", "j10_asof_forward", "a1_completeness_grouping_sets", "w2_rolling_stats", "w6_robust_z", "w8_run_length",
     "w14_calendar_percentile", "u3_resolve_conflicts", "p4_p8_qc_flag_cascade", "e1_spi30", "e17_whiplash_events", "a6_etccdi_annual", "t1_pettitt", "t5_mann_kendall", "t11_kruskal",
-    "g1_slope_aspect", "j11_point_in_polygon", "v1_average_precision", "v3_ece", "v8_conformal_eval", "a25_scores_by_year", "g3_static_features", "t14_station_trends", "t15_paired_bootstrap", "m3_spatial_folds_longitude_block", "p22_masked_days", "m15_window_forecasts", "m16_integrated_gradients",
+    "g1_slope_aspect", "j11_point_in_polygon", "v1_average_precision", "v3_ece", "v8_conformal_eval", "a25_scores_by_year", "g3_static_features", "t14_station_trends", "t15_paired_bootstrap", "m3_spatial_folds_longitude_block", "p22_masked_days", "m15_window_forecasts", "m16_integrated_gradients", "m16_counterfactual_precip", "m16_modality_ablation", "m3_splits", "m3_spatial_basin", "m3_spatiotemporal_random_station", "j13_knn_customers", "a5_whole_table_quantiles", "g5_utm",
 ]
 
 

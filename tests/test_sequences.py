@@ -126,6 +126,19 @@ def test_training_learns_stops_and_goes_on(spark, daily, tmp_path):
     assert len(sequences.train(table, table, net(), W, epochs=9, steps=1, rate=0.0, patience=2)[1]) == 3
 
 
+def test_label_scarcity_thins_labels_only(daily):
+    table = table_of(daily, 20).cache()
+    known = sum(not math.isnan(y) for _, y in plain(daily).values())
+    events = sum(y for _, y in plain(daily).values() if y == 1)
+    some = {(r.station_id, r.date): r.y for r in sequences.scores(sequences.thinned_labels(table, 0.4), [weighted()], W).collect()}
+    whole = {(r.station_id, r.date): r.y for r in sequences.scores(table, [weighted()], W).collect()}
+    left = {k for k, y in some.items() if y is not None}
+    assert some.keys() == whole.keys() and all(some[k] == whole[k] for k in left) and 0.2 * known < len(left) < 0.6 * known
+    rows = sequences.label_scarcity(table, table, table, net(), (0.4, 1.0), W, epochs=1, steps=1)
+    assert [r[:3] for r in rows] == [(0.4, len(left), sum(some[k] == 1 for k in left)), (1.0, known, events)]
+    assert all(0 < r[3] <= 1 for r in rows)
+
+
 def test_attributions_add_up(daily):
     want = plain(daily)
     table = table_of(daily, 9)
