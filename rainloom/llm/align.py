@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens over the same bytes, relationally.
 
-Documents are dealt by row number; the tokens of both sides are exploded there with their places, and a window sums their
+Documents are dealt by a hash; the tokens of both sides are exploded there with their places, and a window sums their
 byte lengths to their ends. The equality join on (document, end) is a merge of the sides' rows in one window by
 document and end: rows with one end are neighbours, and such an offset is a cut. Running cut counts number the groups.
 Links are a range join done as a running fill over the same rows: between two neighbouring ends lies exactly one token of
@@ -18,6 +18,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import contextlib
+import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -30,12 +31,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, settled, small_batches, trimmed
 from .runs import ids_of
 
-#: Rows of tokens in a partition.
-PART_TOKENS = 3_000_000
+#: Bytes of text in a partition of token rows.
+PART_BYTES = 1 << 20
 #: Pairs of ids that may be broadcast with their counts: a hash relation of some 100 MB at most.
 BROADCAST_PAIRS = 1_500_000
-#: Token lengths are carried in the lower bits beside the id.
-_BITS = 16
+#: A token is carried as id * 2**_BITS + byte length, both sides in one array of 32-bit numbers; the second side has the bit _SIDE.
+_BITS, _SIDE = 9, 30
 
 
 class Side:
@@ -43,7 +44,9 @@ class Side:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
         self.encode, self.bytes = encode, token_bytes
-        self.packed = (np.arange(len(token_bytes), dtype=np.int64) << _BITS) + np.array([len(b) for b in token_bytes], np.int64)
+        if len(token_bytes) >> (_SIDE - _BITS) or max(map(len, token_bytes)) >> _BITS:
+            raise ValueError("too many tokens, or too long ones")
+        self.packed = ((np.arange(len(token_bytes)) << _BITS) + np.array([len(b) for b in token_bytes])).astype(np.int32)
 
     def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
         """Packed tokens of each text; none where their bytes are not the text's."""
@@ -55,7 +58,8 @@ class Side:
 
 
 @lru_cache(maxsize=2)
-def _byte_level(model: str) -> Side:
+def _byte_level(model: str, pattern: str | None = None) -> Side:
+    """With the pattern of its pre-tokens, a vocabulary whose merges come in order of ids is read as ranks, which is quicker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -67,9 +71,19 @@ def _byte_level(model: str) -> Side:
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
     pieces = [tokenizer.id_to_token(k) for k in range(tokenizer.get_vocab_size())]
     table = [bytes(byte[c] for c in p) if all(c in byte for c in p) else p.encode() for p in pieces]
+    parts = json.loads(model)
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in parts["model"]["merges"]]
+    places = [parts["model"]["vocab"][m] for m in merged]
+    if pattern and places == sorted(places) and len(set(merged)) == len(merged):
+        import tiktoken
 
-    def encode(runs: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        special = {t["id"] for t in parts["added_tokens"]}
+        ranks = {b: k for k, b in enumerate(table) if k not in special}
+        encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return Side(lambda texts: [encoding.encode_ordinary(t) for t in texts], table)
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     return Side(encode, table)
 
@@ -93,18 +107,18 @@ def _pieces(model: bytes) -> Side:
 class Tokens:
     """A tokenizer file for executors, broadcast once (a vocabulary of fixed size), and the way to read it."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str | None = None):
         with open(path, "rb") as file:
-            self.model, self.json = spark.sparkContext.broadcast(file.read()), path.endswith(".json")
+            self.model, self.json, self.pattern = spark.sparkContext.broadcast(file.read()), path.endswith(".json"), pattern
 
     def side(self) -> Side:
-        return _byte_level(self.model.value.decode()) if self.json else _pieces(self.model.value)
+        return _byte_level(self.model.value.decode(), self.pattern) if self.json else _pieces(self.model.value)
 
     def __reduce__(self):
-        return _restored, (self.model, self.json)
+        return _restored, (self.model, self.json, self.pattern)
 
     def column(self, text: Column) -> Column:
-        @F.pandas_udf("array<bigint>")
+        @F.pandas_udf("array<int>")
         def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             side = self.side()
             for texts in batches:
@@ -114,9 +128,9 @@ class Tokens:
         return tokens(text)
 
 
-def _restored(model, json: bool) -> Tokens:
+def _restored(model, json: bool, pattern: str | None) -> Tokens:
     tokens = Tokens.__new__(Tokens)
-    tokens.model, tokens.json = model, json
+    tokens.model, tokens.json, tokens.pattern = model, json, pattern
     return tokens
 
 
@@ -133,18 +147,30 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-#: Documents are dealt once, by row number; grouping by more columns needs no other deal then, and sums of sorted rows no other sort.
+#: Documents are dealt once; grouping by more columns needs no other deal then, and sums of sorted rows no other sort.
 _DEALT = {"spark.sql.requireAllClusterKeysForDistribution": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
-_SIDE = 48
+#: A document within a partition: the hash it was dealt by, and its number there.
+DOC = ["dealt", "rid"]
+
+
+def deal(docs: DataFrame, one: Tokens, two: Tokens, parts: int) -> DataFrame:
+    """dealt, rid, doc_id, tokens (of both sides, packed; empty unless both sides' bytes are the text's) of every document.
+
+    The hash is one of the row's values, so a task that runs again deals its rows as before; numbers are given after that,
+    within a partition, and only used in it."""
+    key = F.xxhash64("doc_id", "text").alias("dealt")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key, "doc_id", one.column(F.col("text")).alias("a"), two.column(F.col("text")).alias("b"))
+    both = F.when((F.size("a") > 0) & (F.size("b") > 0), F.concat("a", F.transform("b", lambda t: t + (1 << _SIDE)))).otherwise(F.array().cast("array<int>"))
+    return rows.select("dealt", "doc_id", both.alias("tokens")).repartition(parts, "dealt").withColumn("rid", F.monotonically_increasing_id())
 
 
 def ends(dealt: DataFrame) -> DataFrame:
-    """rid, side (0 or 1), end, token (place * 2**32 + id) of every token of dealt: rid, a, b (packed tokens)."""
-    both = F.concat("a", F.transform("b", lambda t: t + (1 << _SIDE)))
-    rows = dealt.select("rid", F.posexplode(both).alias("pos", "packed")).select("rid", "pos", "packed", F.shiftright("packed", _SIDE).alias("side"))
-    place = Window.partitionBy("rid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    """dealt, rid, doc_id, side (0 or 1), end, token (place * 2**32 + id) of every token; one row of nulls for a document without."""
+    rows = dealt.select(*DOC, "doc_id", F.posexplode_outer("tokens").alias("pos", "packed")).withColumn("side", F.shiftright("packed", _SIDE))
+    place = Window.partitionBy(*DOC, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(
-        "rid",
+        *DOC,
+        "doc_id",
         "side",
         F.sum(F.col("packed").bitwiseAND((1 << _BITS) - 1)).over(place).alias("end"),
         (F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftright(F.col("packed").bitwiseAND((1 << _SIDE) - 1), _BITS)).alias("token"),
@@ -152,13 +178,14 @@ def ends(dealt: DataFrame) -> DataFrame:
 
 
 def aligned(dealt: DataFrame) -> DataFrame:
-    """One row for each token of dealt: rid, end, side, token, a and b (the tokens of both sides over the stretch before end),
+    """One row for each token of dealt: its document, end, side, token, a and b (the tokens of both sides over the stretch before end),
     cut (the other side ends here too), link (the row stands for the stretch), group (cuts from here to the text's end).
     Rows of a document come by falling end; of two with one end, side 0 comes first and side 1 stands for the stretch."""
-    back = Window.partitionBy("rid").orderBy(F.col("end").desc(), "side")
+    back = Window.partitionBy(*DOC).orderBy(F.col("end").desc(), "side")
     until = back.rowsBetween(Window.unboundedPreceding, 0)
     met = ends(dealt).select(
-        "rid",
+        *DOC,
+        "doc_id",
         "end",
         "side",
         "token",
@@ -168,7 +195,7 @@ def aligned(dealt: DataFrame) -> DataFrame:
         F.coalesce(F.lead("end").over(back) == F.col("end"), F.lit(False)).alias("first"),
     )
     return met.select(
-        "rid", "end", "side", "token", "a", "b", (F.col("first") | F.col("second")).alias("cut"), (~F.col("first")).alias("link"), F.sum(F.col("first").cast("int")).over(until).alias("group")
+        *DOC, "doc_id", "end", "side", "token", "a", "b", (F.col("first") | F.col("second")).alias("cut"), (~F.col("first")).alias("link"), F.sum(F.col("first").cast("int")).over(until).alias("group")
     )
 
 
@@ -177,16 +204,17 @@ def _id(token: str) -> Column:
 
 
 def _documents(rows: DataFrame) -> DataFrame:
-    """rid, n_a, n_b, n_groups, n_links, groups (each side's ids by groups, as text), pairs (of each link, sorted)."""
+    """doc_id, n_a, n_b, n_groups, n_links, groups (each side's ids by groups, as text), pairs (of each link, sorted)."""
     part = F.concat(_id("token").cast("string"), F.when(F.col("cut"), ";").otherwise(","))
     told = rows.select(
-        "rid",
+        *DOC,
+        "doc_id",
         F.when(F.col("side") == 0, part).alias("a_part"),
         F.when(F.col("side") == 1, part).alias("b_part"),
         (F.col("cut") & F.col("link")).cast("long").alias("cut"),
         F.when(F.col("link"), F.shiftleft(_id("a"), 32) + _id("b")).alias("pair"),
     )
-    summed = told.groupBy("rid").agg(
+    summed = told.groupBy(*DOC, "doc_id").agg(
         F.count("a_part").alias("n_a"),
         F.count("b_part").alias("n_b"),
         F.sum("cut").alias("n_groups"),
@@ -198,32 +226,30 @@ def _documents(rows: DataFrame) -> DataFrame:
     groups = lambda parts: F.split(F.array_join(F.reverse(parts), ""), ";")
     text = F.array_join(F.zip_with(groups("a_parts"), groups("b_parts"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
     # The last part of each side ends with a cut, which leaves an empty pair at the end.
-    return summed.select("rid", "n_a", "n_b", "n_groups", "n_links", F.substring_index(text, ";|", 1).alias("groups"), "pairs")
+    return summed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.when(F.col("n_a") > 0, F.substring_index(text, ";|", 1)).otherwise("").alias("groups"), "pairs")
+
 
+def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = None, part_bytes: int = PART_BYTES, broadcast_pairs: int = BROADCAST_PAIRS, derive: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every document; see the module's text.
 
-def align(docs: DataFrame, path_a: str, path_b: str, part_tokens: int = PART_TOKENS, broadcast_pairs: int = BROADCAST_PAIRS) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups of every document; see the module's text."""
+    pattern: of the pre-tokens of a byte-level side, where its vocabulary may be read as ranks. derive: what is kept of groups."""
     spark = docs.sparkSession
     small_batches(spark)
     with Scratch(spark) as scratch:
-        # Row numbers are written down, so that a task that runs again finds the same ones.
-        sides = Tokens(spark, path_a).column(F.col("text")).alias("a"), Tokens(spark, path_b).column(F.col("text")).alias("b")
-        keyed = scratch.table("tokens", docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), *sides))
-        size = keyed.agg(F.sum(F.size("a") + F.size("b"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_tokens))
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
         with settings(spark, _DEALT):
-            dealt = keyed.filter("size(a) > 0 AND size(b) > 0").select("rid", "a", "b").repartition(parts, "rid")
-            found = scratch.table("found", _documents(aligned(dealt)))
+            found = _documents(aligned(deal(docs, Tokens(spark, path_a, pattern), Tokens(spark, path_b, pattern), parts)))
+            found = scratch.table("found", found.withColumn("groups", derive(F.col("groups"))).withColumn("row", F.monotonically_increasing_id()), "zstd")
         counts = found.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("held"))
         best = F.col("held") == F.max("held").over(Window.partitionBy(F.shiftright("pair", 32)))
         counts = scratch.table("counts", counts.select("pair", "held", best.cast("long").alias("best")))
         few = counts.limit(broadcast_pairs + 1).count() <= broadcast_pairs
-        pairs = found.select("rid", F.explode("pairs").alias("pair"))
+        pairs = found.select("row", F.explode("pairs").alias("pair"))
         if few:
             told = pairs.join(F.broadcast(counts), "pair").withColumn("n", F.lit(1).cast("long"))
         else:
-            told = pairs.groupBy("rid", "pair").agg(F.count(F.lit(1)).alias("n")).join(counts.hint("merge"), "pair")
-        sums = told.groupBy("rid").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
-        rest = found.drop("pairs").join(sums, "rid")
-        numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-        return settled(keyed.select("rid", "doc_id").join(rest, "rid", "left").drop("rid").fillna(0, numbers).fillna("", ["groups"]).select("doc_id", *numbers, "groups"))
+            told = pairs.groupBy("row", "pair").agg(F.count(F.lit(1)).alias("n")).join(counts.hint("merge"), "pair")
+        sums = told.groupBy("row").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
+        rest = found.drop("pairs").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
+        return settled(rest.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"))

@@ -84,8 +84,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, codec: str | None = None) -> DataFrame:
+        df.write.mode("overwrite").parquet(self.path(name), compression=codec)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str = "") -> None:

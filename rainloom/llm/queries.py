@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import align, audit, bpe, chat, decontaminate, exactdup, htmltext, langid, neardup, packing, pii, quality, warc
@@ -163,14 +163,18 @@ FROM audited
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    def digests(pieces: DataFrame) -> DataFrame:
+        return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(WORDS), derive=digests)
 
 
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.align(read(spark, sf_dir, "documents"), public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    def digest(groups: Column) -> Column:
+        return F.when(groups != "", F.sha2(groups.cast("binary"), 256)).otherwise("")
+
+    found = align.align(read(spark, sf_dir, "documents"), public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B), public_tokenizers.PATTERN, derive=digest)
+    return found.withColumnRenamed("groups", "groups_sha256")
 
 
 QUERIES = {

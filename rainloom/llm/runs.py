@@ -26,7 +26,7 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return out
 
 
-def ids_of(texts: list[str], encode: Callable[[list[str]], list[list[int]]], size: int = PIECE, batch: int = 1_000_000) -> list[np.ndarray]:
+def ids_of(texts: list[str], encode: Callable[[list[str]], list[list[int]]], size: int = PIECE, batch: int = 250_000) -> list[np.ndarray]:
     """32-bit ids of each text, encoded in pieces; about ``batch`` characters are encoded at once."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
     waiting: list[tuple[int, str]] = []

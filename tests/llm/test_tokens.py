@@ -106,9 +106,11 @@ def test_pieces_have_the_ids_of_whole_texts():
         a = align._byte_level(file.read())
     with open(PATHS[1], "rb") as file:
         b = align._pieces(file.read())
+    with open(PATHS[0], encoding="utf-8") as file:
+        ranked = align._byte_level(file.read(), public_tokenizers.PATTERN)
     texts = [f" {t}" for t in ODD_TEXTS + texts_of(7, 80) + ["one two  three\n four's !! 5 6 " * 40] if t]
-    for encode in (lambda ts: [e.ids for e in words.encode_batch(ts, add_special_tokens=False)], a.encode, b.encode):
-        want = encode(texts)
+    for encode in (lambda ts: [e.ids for e in words.encode_batch(ts, add_special_tokens=False)], a.encode, ranked.encode, b.encode):
+        want = (a.encode if encode == ranked.encode else encode)(texts)
         for size in (1, 7, 100, 10**6):
             assert all("".join(runs.pieces(t, size)) == t for t in texts)
             assert [i.tolist() for i in runs.ids_of(texts, encode, size, 500)] == want
@@ -244,12 +246,12 @@ def digested(df):
     return [(*r[:7], hashlib.sha256(r[7].encode()).hexdigest() if r[1] else "") for r in map(tuple, df.collect())]
 
 
-@pytest.mark.parametrize("broadcast", [align.BROADCAST_PAIRS, 0])
-def test_alignment(spark, odd, broadcast):
+@pytest.mark.parametrize(("broadcast", "pattern"), [(align.BROADCAST_PAIRS, None), (0, public_tokenizers.PATTERN)])
+def test_alignment(spark, odd, broadcast, pattern):
     docs = spark.createDataFrame(list(enumerate(ODD_TEXTS + texts_of(6, 60))) + [(0, ODD_TEXTS[0]), (9, ODD_TEXTS[9]), (None, "no id"), (7, None)], "doc_id long, text string")
     for df in (docs, odd):
         want = plain_alignment([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
-        assert order(digested(align.align(df, *PATHS, part_tokens=20_000, broadcast_pairs=broadcast))) == order(want)
+        assert order(digested(align.align(df, *PATHS, pattern, part_bytes=20_000, broadcast_pairs=broadcast))) == order(want)
 
 
 def test_alignment_of_nothing(empty):
