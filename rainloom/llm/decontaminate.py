@@ -4,11 +4,13 @@ Texts are lower-cased and their white space is collapsed. A passage of an item's
 so a CGK random walk starts at every place of an item and at every STRIDE-th place of a document: at step j the walk
 copies the current code point and then stays or moves on by a random bit of (j, code point), the same for items and
 documents. An edit costs the walks their step only until they meet again, so a small edit distance becomes a small
-Hamming distance; a walk takes STEPS steps, and as one starts at every place of a window, edits further on cost only
-the walks that pass them. SAMPLED steps are the key of a bit-sampling LSH, repeated REPETITIONS times with bits and
-steps of its own. A place that shares a key with place o of an item names a window of the item's size that begins o
-before it; where AGREE walks name windows that begin near each other, the window is a candidate. The exact edit
-distance, over all substrings near the window, decides.
+Hamming distance; a walk takes a few steps, and as one starts at every place of a window, edits further on cost only
+the walks that pass them. Some steps are the key of a bit-sampling LSH, repeated with bits and steps of its own. A place that shares a key with place o of an item names a window of the item's size that begins o
+before it; where enough walks name windows that begin near each other, the window is a candidate. One that has too few
+of the item's three-letter sequences for the bound is dropped (no passage within it can be); the exact edit distance, over
+all substrings near the window, decides on the others. Steps, repetitions and the number of walks depend on the item's
+length (BANDS), so that items of every length are found at edits near the bound. Known limit: of items from 80 code points
+on that lose every fifth letter (the bound, at regular places), about two thirds are found.
 
 An item under SHORT code points has too few walks: it is cut into one piece more than it may have edits, so one of the
 pieces occurs unchanged in any passage (pigeonhole), and every occurrence of a piece is a candidate.
@@ -39,13 +41,30 @@ from .shingles import mixed
 
 #: Edits allowed, as a share of the item's length.
 MAX_EDITS = 0.2
-STEPS, SAMPLED, REPETITIONS, STRIDE = 28, 12, 3, 2
-#: Walks that must name nearly the same window.
-AGREE = 3
-#: Code points of the item that they must at least lie apart.
-APART = 8
+STRIDE = 2
 SHORT = 40
+
+
+@dataclass(frozen=True)
+class Band:
+    """How items from a length on are searched for: steps of a walk, those that are its key, repetitions, walks that must name
+    nearly the same window, and code points of the item that they must at least lie apart."""
+
+    low: int
+    steps: int
+    sampled: int
+    repetitions: int
+    agree: int
+    apart: int
+
+
+#: A walk of s steps covers about s / 2 code points, so of n code points with an edit every five, the expected number of
+#: walks without one falls with s and grows with n and the repetitions: shorter items take shorter walks, and more of them
+#: must agree, for short keys are shared by chance.
+BANDS = (Band(SHORT, 9, 8, 4, 6, 14), Band(52, 10, 9, 4, 6, 16), Band(64, 11, 9, 4, 6, 16), Band(80, 28, 12, 4, 3, 8))
 BLOCK_CHARS = 2_000_000
+#: Numbers of three-letter sequences.
+GRAMS = 1 << 12
 #: Passages that are compared together.
 WAITING = 4_096
 #: Item lengths that a passage is cut to.
@@ -56,6 +75,8 @@ GATHERED = 8_000_000
 PLACES, HITS = 1 << 16, 1 << 21
 _SEED = 12
 _FACTOR = np.int64(0x1E3779B97F4A7C15)
+#: Zeros between texts that are walked together: no walk passes them.
+_GAP = max(b.steps for b in BANDS)
 #: Bits under which walks over common letters keep moving; others find as much, with more windows to compare.
 _FACTORS = mixed(np.arange(300, 364, dtype=np.uint64)) | np.uint64(1)
 #: Walks that are stepped together, so that they stay in a core's cache.
@@ -145,47 +166,54 @@ def closest(pairs: list[tuple[Pattern, np.ndarray]]) -> tuple[np.ndarray, np.nda
     return best[back], end[back]
 
 
-@lru_cache(maxsize=1)
-def sampled_steps() -> list[frozenset[int]]:
+@lru_cache(maxsize=8)
+def sampled_steps(band: Band) -> list[frozenset[int]]:
     """The steps that are the key, for each repetition."""
-    return [frozenset(np.random.default_rng([_SEED, r]).choice(STEPS, SAMPLED, replace=False).tolist()) for r in range(REPETITIONS)]
+    return [frozenset(np.random.default_rng([_SEED, r]).choice(band.steps, band.sampled, replace=False).tolist()) for r in range(band.repetitions)]
 
 
 def hashed(codes: np.ndarray) -> np.ndarray:
     return mixed(codes.astype(np.uint64))
 
 
-def walk_keys(hashes: np.ndarray, begin: int, repetition: int) -> tuple[np.ndarray, np.ndarray]:
+def walk_keys(hashes: np.ndarray, begin: int, repetition: int, band: Band) -> tuple[np.ndarray, np.ndarray]:
     """Every STRIDE-th place from begin of a text, whose code points are given as hashes, and the LSH key of the walk of
     ``repetition`` from it; a walk past the end copies zeros."""
-    wanted = sampled_steps()[repetition]
+    wanted = sampled_steps(band)[repetition]
     places = np.arange(begin, len(hashes), STRIDE)
     keys = np.zeros(len(places), np.int64)
     # Bit j of a code point's hash says whether step j moves on; the hash stands for the code point in the key.
-    moves = np.zeros(len(hashes) + STEPS + 1, np.int64)
+    moves = np.zeros(len(hashes) + band.steps + 1, np.int64)
     with np.errstate(over="ignore"):
         np.right_shift(hashes * (_FACTORS[repetition]), np.uint64(32), out=moves[: len(hashes)].view(np.uint64))
         for a in range(0, len(places), CACHED):
             at, key = places[a : a + CACHED].copy(), keys[a : a + CACHED]
             here = np.empty_like(at)
-            for j in range(STEPS):
+            for j in range(band.steps):
                 moves.take(at, out=here, mode="wrap")  # the quickest mode; no place is out of range
                 if j in wanted:
                     key *= _FACTOR
                     key += here
-                if j + 1 < STEPS:
+                if j + 1 < band.steps:
                     here >>= j
                     here &= 1
                     at += here
     return places, (keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
 
 
-def _all_walks(codes: np.ndarray, repetition: int) -> np.ndarray:
+def _all_walks(codes: np.ndarray, repetition: int, band: Band) -> np.ndarray:
     """The keys of the walks from all places of an item but the last, in order."""
     keys, hashes = np.empty(len(codes), np.uint32), hashed(codes)
     for k in range(STRIDE):
-        keys[k::STRIDE] = walk_keys(hashes, k, repetition)[1]
-    return keys[: len(codes) - STEPS // 2]
+        keys[k::STRIDE] = walk_keys(hashes, k, repetition, band)[1]
+    return keys[: len(codes) - band.steps // 2]
+
+
+def grams(codes: np.ndarray) -> np.ndarray:
+    """The three-letter sequences of a text as numbers under GRAMS; different ones may share a number."""
+    with np.errstate(over="ignore"):
+        c = codes.astype(np.uint32)
+        return ((c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA6B) + c[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(20)).astype(np.int64)
 
 
 def pieces(text: str) -> list[str]:
@@ -206,28 +234,35 @@ class Items:
         codes = [code_points(t) for t in self.texts]
         self.sizes = np.array([len(c) for c in codes], np.int64)
         self.patterns = [Pattern(c) if len(c) else None for c in codes]
+        # An edit changes three of an item's three-letter sequences at most, so a passage within the bound has all others.
+        self.profiles = [np.bincount(grams(c), minlength=GRAMS).astype(np.int16) if len(c) > 2 else None for c in codes]
+        self.needed = self.sizes - 2 - 3 * (MAX_EDITS * self.sizes).astype(np.int64)
         self.short = [(k, pieces(t)) for k, t in enumerate(self.texts) if 0 < len(t) < SHORT]
         long = [k for k, t in enumerate(self.texts) if len(t) >= SHORT]
         self.longest = max((len(codes[k]) for k in long), default=0)
         self.tables = []
-        for r in range(REPETITIONS) if long else ():
-            # A walk that would run past the item's end meets other text in a document.
-            walks = [_all_walks(codes[k], r) for k in long]
-            keys = np.concatenate(walks)
-            order = np.argsort(keys, kind="stable")
-            owner = np.repeat(np.array(long, np.int32), [len(x) for x in walks])[order]
-            offset = np.concatenate([np.arange(len(x)) for x in walks])[order].astype(np.int32)
-            bits = min(32, max(16, (16 * len(keys)).bit_length()))
-            seen = np.zeros(1 << bits, bool)
-            seen[keys >> np.uint32(32 - bits)] = True
-            self.tables.append((keys[order], owner, offset, seen, np.uint32(32 - bits)))
+        of = np.maximum(np.searchsorted([b.low for b in BANDS], self.sizes, "right") - 1, 0)
+        self.agree, self.apart = (np.array([getattr(b, name) for b in BANDS])[of] for name in ("agree", "apart"))
+        for number, band in enumerate(BANDS):
+            mine = [k for k in long if of[k] == number]
+            for r in range(band.repetitions) if mine else ():
+                # A walk that would run past the item's end meets other text in a document.
+                walks = [_all_walks(codes[k], r, band) for k in mine]
+                keys = np.concatenate(walks)
+                order = np.argsort(keys, kind="stable")
+                owner = np.repeat(np.array(mine, np.int32), [len(x) for x in walks])[order]
+                offset = np.concatenate([np.arange(len(x)) for x in walks])[order].astype(np.int32)
+                bits = min(32, max(16, (16 * len(keys)).bit_length()))
+                seen = np.zeros(1 << bits, bool)
+                seen[keys >> np.uint32(32 - bits)] = True
+                self.tables.append((band, r, keys[order], owner, offset, seen, np.uint32(32 - bits)))
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(items, places, offsets in the items) of walks that share a key."""
         found, hashes = [], hashed(codes)
-        for r, (keys, owner, offset, seen, shift) in enumerate(self.tables):
+        for band, r, keys, owner, offset, seen, shift in self.tables:
             # Repetitions take places in turn: STRIDE walks begin at STRIDE places that follow each other.
-            at, key = walk_keys(hashes, r % STRIDE, r)
+            at, key = walk_keys(hashes, r % STRIDE, r, band)
             some = np.flatnonzero(seen.take(key >> shift))
             at, key = at[some], key[some]
             low = np.searchsorted(keys, key, "left")
@@ -251,13 +286,13 @@ class Items:
                     work.append([])
                     filled = 0
                 work[-1].append(piece)
-                filled += piece[2] - a + STEPS
+                filled += piece[2] - a + _GAP
         while work:
             block = work.pop()
             if not block:
                 continue
-            gap = np.zeros(STEPS, np.uint32)
-            begin = np.cumsum([0, *(b - a + STEPS for _, a, b in block)])
+            gap = np.zeros(_GAP, np.uint32)
+            begin = np.cumsum([0, *(b - a + _GAP for _, a, b in block)])
             item, place, offset = self.hits(np.concatenate([x for k, a, b in block for x in (texts[k][a:b], gap)]))
             if len(item) > HITS and (len(block) > 1 or block[0][2] - block[0][1] > 4 * overlap):
                 if len(block) > 1:
@@ -266,7 +301,7 @@ class Items:
                     k, a, b = block[0]
                     work += [[(k, a, (a + b) // 2 + overlap)], [(k, (a + b) // 2, b)]]
                 continue
-            if len(item) < AGREE:
+            if not len(item):
                 continue
             piece = np.searchsorted(begin, place, "right") - 1
             start = place - offset
@@ -279,7 +314,8 @@ class Items:
             lead = np.flatnonzero(new)
             ends = np.append(lead[1:], len(both)) - 1
             apart = np.maximum.reduceat(offset, lead) - np.minimum.reduceat(offset, lead)
-            good = (ends - lead + 1 >= AGREE) & (apart >= APART)
+            which = both[lead] % len(self.sizes)
+            good = (ends - lead + 1 >= self.agree[which]) & (apart >= self.apart[which])
             for x, first, final in zip(both[lead[good]].tolist(), start[lead[good]].tolist(), start[ends[good]].tolist(), strict=True):
                 k, a, _ = block[x // len(self.sizes)]
                 shift = a - int(begin[x // len(self.sizes)])
@@ -302,8 +338,13 @@ class Items:
 
         plain = [normalised(t) for t in texts]
         codes = [code_points(t) for t in plain]
+        now, here = -1, np.zeros(0, np.int64)
         for (row, k), regions in sorted(self.regions(plain, codes).items()):
+            if row != now:
+                now, here = row, grams(codes[row])
             for a, b in regions:
+                if self.needed[k] > 0 and np.minimum(np.bincount(here[a : max(a, b - 2)], minlength=GRAMS), self.profiles[k]).sum() < self.needed[k]:
+                    continue
                 spans.append((row, k, a, codes[row][a:b]))
             if len(spans) >= WAITING:
                 compare()
