@@ -144,6 +144,16 @@ def test_permutation_test_tells_samples_apart(spark):
     assert p(low, high) == p(low, high) < 0.01 and p(low, [v + 0.5 for v in low]) > 0.3 and p(low[:5], high) is None
 
 
+def test_series_without_spread(spark):
+    """No events in any year, or a rise by the same in each: nothing to pre-whiten and no break."""
+    for x, sign in (([0.0] * 7, 0), ([0.5] * 12, 0), (np.arange(12.0), 1)):
+        r = stats.mann_kendall(steps(spark, x)).first()
+        assert r.s == sign * len(x) * (len(x) - 1) / 2 and r.sens_slope == sign and (r.p_value < 0.01) == (sign == 1)
+    flat = steps(spark, [0.5] * 12)
+    assert stats.with_p_value(stats.snht(flat), "snht").first().p_value is None and stats.with_p_value(stats.buishand(flat), "buishand").first().p_value == 1
+    assert not homogeneity.vote(flat).first().is_break
+
+
 def plane(spark, rise):
     return spark.createDataFrame([(r, c, float(rise(r, c))) for r in range(5) for c in range(5)], "row int, col int, value double")
 
