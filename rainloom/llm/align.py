@@ -1,12 +1,13 @@
 """Alignment of two tokenizers' tokens over the same bytes, relationally.
 
-Documents are dealt by a hash; the tokens of both sides are exploded there with their places, and a window sums their
-byte lengths to their ends. The equality join on (document, end) is a merge of the sides' rows in one window by
-document and end: rows with one end are neighbours, and such an offset is a cut. Running cut counts number the groups.
-Links are a range join done as a running fill over the same rows: between two neighbouring ends lies exactly one token of
-each side, the nearest that ends there or later, so every link is one row and no group is ever paired with itself (joining
-on the group would emit all pairs of a group). All of it stays in the partition that holds the document; work is in proportion to tokens. A link's pair is counted once for each document
-that holds it; counts go back to the documents by a broadcast where the pairs were counted to be few, by a merge join else.
+Token rows of a batch of documents are columns: ids and, by running sums of byte lengths, ends. Both sides of a document
+have the same bytes, so ends that run on from document to document still agree. The equality join on (document, end) is
+a merge of the two columns of ends; where both have one is a cut, and running cut counts number the groups. Links are
+a range join done as running counts over the merged ends: between two neighbouring ends lies exactly one token of each
+side, the nearest that ends there or later, so every link is one entry and no group is ever paired with itself (joining
+on the group would emit all pairs of a group). A document's tokens are never shuffled; work is in proportion to tokens.
+A link's pair is counted once for each document that holds it, in a shuffle by pair; counts go back to the documents by a
+broadcast where the pairs were counted to be few, by a merge join else.
 
 Tokenizers are the libraries' own. Long texts are encoded in pieces cut where neither joins text.
 
@@ -17,26 +18,24 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import contextlib
 import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled, small_batches, trimmed
 from .runs import ids_of
 
-#: Bytes of text in a partition of token rows.
+#: Bytes of text whose tokens are aligned at once; a longer text by itself.
 PART_BYTES = 1 << 20
 #: Pairs of ids that may be broadcast with their counts: a hash relation of some 100 MB at most.
 BROADCAST_PAIRS = 1_500_000
-#: A token is carried as id * 2**_BITS + byte length, both sides in one array of 32-bit numbers; the second side has the bit _SIDE.
-_BITS, _SIDE = 9, 30
 
 
 class Side:
@@ -44,16 +43,14 @@ class Side:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], token_bytes: list[bytes]):
         self.encode, self.bytes = encode, token_bytes
-        if len(token_bytes) >> (_SIDE - _BITS) or max(map(len, token_bytes)) >> _BITS:
-            raise ValueError("too many tokens, or too long ones")
-        self.packed = ((np.arange(len(token_bytes)) << _BITS) + np.array([len(b) for b in token_bytes])).astype(np.int32)
+        self.size = np.array([len(b) for b in token_bytes], np.int64)
 
     def tokens(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Packed tokens of each text; none where their bytes are not the text's."""
+        """Ids of each text; none where their bytes are not the text's."""
         out = []
         for text, ids in zip(texts, ids_of([f" {t or ''}" for t in texts], self.encode), strict=True):
             right = bool(text) and b"".join(map(self.bytes.__getitem__, ids.tolist())) == f" {text}".encode()
-            out.append(self.packed[ids if right else ids[:0]])
+            out.append(ids if right else ids[:0])
         return out
 
 
@@ -117,16 +114,6 @@ class Tokens:
     def __reduce__(self):
         return _restored, (self.model, self.json, self.pattern)
 
-    def column(self, text: Column) -> Column:
-        @F.pandas_udf("array<int>")
-        def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            side = self.side()
-            for texts in batches:
-                yield pd.Series(side.tokens(texts.tolist()), dtype=object)
-            trimmed()
-
-        return tokens(text)
-
 
 def _restored(model, json: bool, pattern: str | None) -> Tokens:
     tokens = Tokens.__new__(Tokens)
@@ -134,99 +121,87 @@ def _restored(model, json: bool, pattern: str | None) -> Tokens:
     return tokens
 
 
-@contextlib.contextmanager
-def settings(spark: SparkSession, values: dict[str, str]):
-    """Settings that hold while the block runs its jobs."""
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-#: Documents are dealt once; grouping by more columns needs no other deal then, and sums of sorted rows no other sort.
-_DEALT = {"spark.sql.requireAllClusterKeysForDistribution": "false", "spark.sql.execution.useObjectHashAggregateExec": "false"}
-#: A document within a partition: the hash it was dealt by, and its number there.
-DOC = ["dealt", "rid"]
-
-
-def deal(docs: DataFrame, one: Tokens, two: Tokens, parts: int) -> DataFrame:
-    """dealt, rid, doc_id, tokens (of both sides, packed; empty unless both sides' bytes are the text's) of every document.
-
-    The hash is one of the row's values, so a task that runs again deals its rows as before; numbers are given after that,
-    within a partition, and only used in it."""
-    key = F.xxhash64("doc_id", "text").alias("dealt")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(key, "doc_id", one.column(F.col("text")).alias("a"), two.column(F.col("text")).alias("b"))
-    both = F.when((F.size("a") > 0) & (F.size("b") > 0), F.concat("a", F.transform("b", lambda t: t + (1 << _SIDE)))).otherwise(F.array().cast("array<int>"))
-    return rows.select("dealt", "doc_id", both.alias("tokens")).repartition(parts, "dealt").withColumn("rid", F.monotonically_increasing_id())
-
-
-def ends(dealt: DataFrame) -> DataFrame:
-    """dealt, rid, doc_id, side (0 or 1), end, token (place * 2**32 + id) of every token; one row of nulls for a document without."""
-    rows = dealt.select(*DOC, "doc_id", F.posexplode_outer("tokens").alias("pos", "packed")).withColumn("side", F.shiftright("packed", _SIDE))
-    place = Window.partitionBy(*DOC, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(
-        *DOC,
-        "doc_id",
-        "side",
-        F.sum(F.col("packed").bitwiseAND((1 << _BITS) - 1)).over(place).alias("end"),
-        (F.shiftleft(F.col("pos").cast("long"), 32) + F.shiftright(F.col("packed").bitwiseAND((1 << _SIDE) - 1), _BITS)).alias("token"),
-    )
-
-
-def aligned(dealt: DataFrame) -> DataFrame:
-    """One row for each token of dealt: its document, end, side, token, a and b (the tokens of both sides over the stretch before end),
-    cut (the other side ends here too), link (the row stands for the stretch), group (cuts from here to the text's end).
-    Rows of a document come by falling end; of two with one end, side 0 comes first and side 1 stands for the stretch."""
-    back = Window.partitionBy(*DOC).orderBy(F.col("end").desc(), "side")
-    until = back.rowsBetween(Window.unboundedPreceding, 0)
-    met = ends(dealt).select(
-        *DOC,
-        "doc_id",
-        "end",
-        "side",
-        "token",
-        F.last(F.when(F.col("side") == 0, F.col("token")), True).over(until).alias("a"),
-        F.last(F.when(F.col("side") == 1, F.col("token")), True).over(until).alias("b"),
-        F.coalesce(F.lag("end").over(back) == F.col("end"), F.lit(False)).alias("second"),
-        F.coalesce(F.lead("end").over(back) == F.col("end"), F.lit(False)).alias("first"),
-    )
-    return met.select(
-        *DOC, "doc_id", "end", "side", "token", "a", "b", (F.col("first") | F.col("second")).alias("cut"), (~F.col("first")).alias("link"), F.sum(F.col("first").cast("int")).over(until).alias("group")
-    )
-
-
-def _id(token: str) -> Column:
-    return F.col(token).bitwiseAND((1 << 32) - 1)
-
-
-def _documents(rows: DataFrame) -> DataFrame:
-    """doc_id, n_a, n_b, n_groups, n_links, groups (each side's ids by groups, as text), pairs (of each link, sorted)."""
-    part = F.concat(_id("token").cast("string"), F.when(F.col("cut"), ";").otherwise(","))
-    told = rows.select(
-        *DOC,
-        "doc_id",
-        F.when(F.col("side") == 0, part).alias("a_part"),
-        F.when(F.col("side") == 1, part).alias("b_part"),
-        (F.col("cut") & F.col("link")).cast("long").alias("cut"),
-        F.when(F.col("link"), F.shiftleft(_id("a"), 32) + _id("b")).alias("pair"),
-    )
-    summed = told.groupBy(*DOC, "doc_id").agg(
-        F.count("a_part").alias("n_a"),
-        F.count("b_part").alias("n_b"),
-        F.sum("cut").alias("n_groups"),
-        F.count("pair").alias("n_links"),
-        F.collect_list("a_part").alias("a_parts"),
-        F.collect_list("b_part").alias("b_parts"),
-        F.sort_array(F.collect_list("pair")).alias("pairs"),
-    )
-    groups = lambda parts: F.split(F.array_join(F.reverse(parts), ""), ";")
-    text = F.array_join(F.zip_with(groups("a_parts"), groups("b_parts"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")
-    # The last part of each side ends with a cut, which leaves an empty pair at the end.
-    return summed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.when(F.col("n_a") > 0, F.substring_index(text, ";|", 1)).otherwise("").alias("groups"), "pairs")
+@lru_cache(maxsize=2)
+def _decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits of every number below most, left-aligned in a row with one place to spare, and how many they are."""
+    said = np.arange(most).astype("S")
+    digits = np.zeros((most, said.itemsize + 1), np.uint8)
+    digits[:, :-1] = said.view(np.uint8).reshape(most, -1)
+    return digits, np.char.str_len(said)
+
+
+def _bounds(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _groups(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, tokens: np.ndarray, most: int) -> pa.Array:
+    """Each document's groups as text. last: whether a token ends at a cut; tokens: bounds of the documents over both sides' tokens."""
+    # A token's place in the text comes after all tokens of earlier groups; side b's also after its own group's side a.
+    place_a = np.arange(len(a)) + np.concatenate([[0], np.flatnonzero(last_b) + 1])[np.cumsum(last_a) - last_a]
+    place_b = np.arange(len(b)) + (np.flatnonzero(last_a) + 1)[np.cumsum(last_b) - last_b]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[place_a], ids[place_b] = a, b
+    mark[place_a], mark[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+    digits, width = _decimals(most)
+    size, rows = width[ids], digits[ids]
+    rows[np.arange(len(ids)), size] = mark
+    size = size + 1
+    size[tokens[1:][np.diff(tokens) > 0] - 1] -= 1  # no mark after a document's last token
+    text = rows[np.arange(rows.shape[1]) < size[:, None]]
+    return pa.StringArray.from_buffers(len(tokens) - 1, pa.py_buffer(_bounds(size)[tokens].astype(np.int32)), pa.py_buffer(text))
+
+
+def _links(pairs: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Each document's distinct pairs with the number of their links, sorted."""
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        pairs[low:high].sort()
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    new[bounds[:-1][np.diff(bounds) > 0]] = True
+    times = np.diff(np.append(np.flatnonzero(new), len(pairs))).astype(np.int32)
+    held = pa.StructArray.from_arrays([pa.array(pairs[new]), pa.array(times)], names=["pair", "n"])
+    return pa.ListArray.from_arrays(pa.array(_bounds(new)[bounds].astype(np.int32)), held)
+
+
+_ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, links array<struct<pair:bigint,n:int>>"
+
+
+def aligned(doc_ids: pa.Array, texts: list[str | None], one: Side, two: Side) -> pa.RecordBatch:
+    """Tokens of both sides merged by their ends; see the module's text."""
+    both = [(a, b) if len(a) and len(b) else (a[:0], b[:0]) for a, b in zip(one.tokens(texts), two.tokens(texts), strict=True)]
+    n_a, n_b = (np.array([len(ids[k]) for ids in both], np.int64) for k in (0, 1))
+    a, b = (np.concatenate([ids[k] for ids in both]) for k in (0, 1))
+    end_a, end_b = np.cumsum(one.size[a]), np.cumsum(two.size[b])
+    at_a, at_b = (np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, bool) for _ in range(2))
+    at_a[end_a], at_b[end_b] = True, True
+    ends = np.flatnonzero(at_a | at_b)
+    in_a, in_b = at_a[ends], at_b[ends]
+    pairs = (a[np.cumsum(in_a) - in_a].astype(np.int64) << 32) + b[np.cumsum(in_b) - in_b]
+    bounds = np.searchsorted(ends, np.concatenate([[0], end_a])[_bounds(n_a)], "right")
+    columns = [
+        doc_ids, pa.array(n_a), pa.array(n_b), pa.array(np.diff(_bounds(in_a & in_b)[bounds])), pa.array(np.diff(bounds)),
+        _groups(a, b, at_b[end_a], at_a[end_b], _bounds(n_a + n_b), max(len(one.bytes), len(two.bytes))), _links(pairs, bounds),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[field.split()[0] for field in _ALIGNED.split(", ")])
+
+
+def _align(one: Tokens, two: Tokens, part_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = one.side(), two.side()
+        for batch in batches:
+            texts = batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+            at = 0
+            while at < len(sizes):
+                end, size = at + 1, sizes[at]
+                while end < len(sizes) and size + sizes[end] <= part_bytes:
+                    size += sizes[end]
+                    end += 1
+                yield aligned(batch.column(0)[at:end], texts[at:end].to_pylist(), a, b)
+                at = end
+        trimmed()
+
+    return run
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = None, part_bytes: int = PART_BYTES, broadcast_pairs: int = BROADCAST_PAIRS, derive: Callable[[Column], Column] = lambda groups: groups) -> DataFrame:
@@ -236,20 +211,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str | None = None,
     spark = docs.sparkSession
     small_batches(spark)
     with Scratch(spark) as scratch:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
-        with settings(spark, _DEALT):
-            found = _documents(aligned(deal(docs, Tokens(spark, path_a, pattern), Tokens(spark, path_b, pattern), parts)))
-            found = scratch.table("found", found.withColumn("groups", derive(F.col("groups"))).withColumn("row", F.monotonically_increasing_id()), "zstd")
-        counts = found.select(F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("held"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        found = rows.mapInArrow(_align(Tokens(spark, path_a, pattern), Tokens(spark, path_b, pattern), part_bytes), _ALIGNED)
+        # Row numbers are written down, so that a task that runs again finds the same ones.
+        found = scratch.table("found", found.withColumn("groups", derive(F.col("groups"))).withColumn("row", F.monotonically_increasing_id()), "zstd")
+        counts = found.select(F.explode("links.pair").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("held"))
         best = F.col("held") == F.max("held").over(Window.partitionBy(F.shiftright("pair", 32)))
         counts = scratch.table("counts", counts.select("pair", "held", best.cast("long").alias("best")))
         few = counts.limit(broadcast_pairs + 1).count() <= broadcast_pairs
-        pairs = found.select("row", F.explode("pairs").alias("pair"))
-        if few:
-            told = pairs.join(F.broadcast(counts), "pair").withColumn("n", F.lit(1).cast("long"))
-        else:
-            told = pairs.groupBy("row", "pair").agg(F.count(F.lit(1)).alias("n")).join(counts.hint("merge"), "pair")
+        told = found.select("row", F.inline("links")).join(F.broadcast(counts) if few else counts.hint("merge"), "pair")
         sums = told.groupBy("row").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("held")).alias("count_sum"))
-        rest = found.drop("pairs").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
+        rest = found.drop("links").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])
         return settled(rest.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"))

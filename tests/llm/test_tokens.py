@@ -254,6 +254,14 @@ def test_alignment(spark, odd, broadcast, pattern):
         assert order(digested(align.align(df, *PATHS, pattern, part_bytes=20_000, broadcast_pairs=broadcast))) == order(want)
 
 
+def test_alignment_shuffles_no_tokens(spark, documents):
+    """Tokens stay where their document is: the plan of what is written has no exchange and no window."""
+    rows = documents.select("doc_id", "text")
+    side = [align.Tokens(spark, p) for p in PATHS]
+    plan = rows.mapInArrow(align._align(*side, align.PART_BYTES), align._ALIGNED)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "MapInArrow" in plan
+
+
 def test_alignment_of_nothing(empty):
     assert align.align(empty, *PATHS).collect() == []
 
