@@ -12,12 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import geo
+from .materialize import once
+
+
+def _digits(*keys: Column | str | int) -> Column:
+    """The eight hex digits that uniform is made of, in the same order."""
+    parts = [k if isinstance(k, Column) else F.lit(str(k)) for k in keys]
+    return F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8)
 
 
 def uniform(*keys: Column | str | int) -> Column:
     """A number in [0, 1) that depends on the keys alone."""
-    parts = [k if isinstance(k, Column) else F.lit(str(k)) for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(_digits(*keys), 16, 10).cast("double") / 4294967296.0
 
 
 def uniform_sql(*keys: str) -> str:
@@ -187,27 +193,54 @@ def with_children(parents: DataFrame, children: DataFrame, key: str, fields: lis
 # ---- tests by resampling ----
 
 
-def permutation_test(values: DataFrame, in_first: Column, value: str, key: str, draws: int = 2000, seed: int = 0, least: int = 5) -> DataFrame:
+def permutation_test(values: DataFrame, in_first: Column, value: str, key: str, draws: int = 2000, seed: int = 0, least: int = 5, band: float = 6.0) -> DataFrame:
     """(n_first, n_second, difference, p_value): two-sided test of the difference of means under dealt membership.
 
     Each draw orders the values by a hash of draw and key and calls the first n_first of them the first sample; p is
-    (hits + 1) / (draws + 1). Draws are spread over tasks, one draw at a time in each. Null where a sample has no more
-    than ``least`` values.
+    (hits + 1) / (draws + 1). Hashes are uniform, so where the first sample ends is known within a few standard deviations
+    (``band``): values before and after that are summed where they are made, and only those between, which grow with the
+    root of the number of values, are shuffled and ordered. A draw that ends elsewhere is ordered whole. Null where a sample
+    has no more than ``least`` values.
     """
+    # Values may come from one small file: they are spread before each is dealt ``draws`` times.
+    parts = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), values.sparkSession.sparkContext.defaultParallelism)
     x = values.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"), in_first.cast("int").alias("one"))
     seen = x.agg(F.sum("one").alias("n_first"), F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("one") == 1, F.col("v"))) - F.avg(F.when(F.col("one") == 0, F.col("v")))).alias("difference"))
-    dealt = x.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw").orderBy(uniform(F.col("draw").cast("string"), F.col("k"), seed), "k")
-    dealt = dealt.withColumn("r", F.row_number().over(order)).join(F.broadcast(seen))
-    first = F.col("r") <= F.col("n_first")
-    means = dealt.groupBy("draw").agg((F.avg(F.when(first, F.col("v"))) - F.avg(F.when(~first, F.col("v")))).alias("d"))
-    hits = means.join(F.broadcast(seen)).agg(F.count_if(F.abs("d") >= F.abs("difference") - 1e-12).alias("hits"))
+    size = seen.first()
+    n_first, n = size["n_first"] or 0, max(size["n"], 1)
+    reach = band * (n_first * (n - n_first) / n) ** 0.5 / n
+    low, high = (min(max(int((n_first / n + way * reach) * 2**32), 0), 2**32 - 1) for way in (-1, 1))
+    spread = x.select("k", "v").repartition(parts, "k")
+    found = once(_dealt(spread, list(range(1, draws + 1)), n_first, low, high, seed))
+    # Numbers of draws, of which there are some thousand.
+    missed = [r["draw"] for r in found.filter("NOT held").select("draw").collect()]
+    if missed:
+        found = found.filter("held").unionByName(_dealt(spread, missed, n_first, 0, 2**32 - 1, seed))
+    hits = found.join(F.broadcast(seen)).agg(F.count_if(F.abs("d") >= F.abs("difference") - 1e-12).alias("hits"))
     enough = (F.col("n_first") > least) & (F.col("n") - F.col("n_first") > least)
     return seen.join(F.broadcast(hits)).select(
         "n_first", (F.col("n") - F.col("n_first")).alias("n_second"), "difference", F.when(enough, (F.col("hits") + 1) / (draws + 1.0)).alias("p_value")
     )
 
 
+def _dealt(x: DataFrame, draws: list[int], n_first: int, low: int, high: int, seed: int) -> DataFrame:
+    """(draw, d, held): the difference of means of each draw's first n_first values and the others; held is false, and d wrong,
+    where the first ones do not end between the hashes low and high."""
+    numbers = F.sequence(F.lit(draws[0]), F.lit(draws[-1])) if len(draws) == draws[-1] - draws[0] + 1 else F.array(*map(F.lit, draws))
+    dealt = x.withColumn("draw", F.explode(numbers)).withColumn("h", _digits(F.col("draw").cast("string"), F.col("k"), seed))
+    dealt = dealt.withColumn("place", F.when(F.col("h") < f"{low:08x}", 0).when(F.col("h") > f"{high:08x}", 2).otherwise(1))
+    between = lambda c: F.when(F.col("place") == 1, F.col(c)).alias(c)
+    summed = dealt.groupBy("draw", "place", between("h"), between("k"), between("v").alias("own")).agg(F.sum("v").alias("s"), F.count("v").alias("known"), F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("draw").orderBy("place", "h", "k", "own").rowsBetween(Window.unboundedPreceding, -1)
+    left = n_first - F.coalesce(F.sum("c").over(before), F.lit(0))
+    told = summed.withColumn("first", F.greatest(F.lit(0), F.least("c", left)))
+    # Rows of one hash, key and value are alike, so any of them may be the first.
+    share = F.col("first") / F.col("c")
+    mean = lambda part: F.try_divide(F.sum(F.col("s") * part), F.sum(F.col("known") * part))
+    held = F.bool_and(F.when(F.col("place") == 0, F.col("first") == F.col("c")).when(F.col("place") == 2, F.col("first") == 0).otherwise(True))
+    return told.groupBy("draw").agg((mean(share) - mean(1 - share)).alias("d"), held.alias("held"))
+
+
 def replicates(groups: DataFrame, group: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """(replicate, group, times): for each replicate as many groups as there are, drawn with replacement."""
     named = groups.select(group).distinct()

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import statistics
 from datetime import date, timedelta
@@ -154,6 +155,28 @@ def test_series_without_spread(spark):
     assert not homogeneity.vote(flat).first().is_break
 
 
+def test_permutation_test_orders_few_rows(spark):
+    """Draws by brute force, with nulls and equal keys; the same where the band holds all draws, some or none; rows that are ordered."""
+    rng = np.random.default_rng(8)
+    rows = [(k // 2 if k < 20 else k, None if k % 17 == 0 else float(v), k % 3 == 0) for k, v in enumerate(rng.normal(0, 1, 400).tolist())]
+    df = spark.createDataFrame(rows, "k long, v double, one boolean")
+
+    def mean(values):
+        return statistics.mean(v for v in values if v is not None)
+
+    size, true = sum(o for *_, o in rows), mean(v for _, v, o in rows if o) - mean(v for _, v, o in rows if not o)
+    hits = 0
+    for draw in range(1, 201):
+        dealt = [v for *_, v in sorted((hashlib.md5(f"{draw}:{k}:0".encode()).hexdigest()[:8], str(k), v is not None, v or 0.0, v) for k, v, _ in rows)]
+        hits += abs(mean(dealt[:size]) - mean(dealt[size:])) >= abs(true) - 1e-12
+    for band in (6.0, 1.0, 0.0):
+        r = studies.permutation_test(df, F.col("one"), "v", "k", draws=200, band=band).first()
+        assert (r.n_first, r.n_second) == (size, 400 - size) and abs(r.difference - true) < 1e-12 and abs(r.p_value - (hits + 1) / 201) < 1e-12
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.rand(1).alias("v"))
+    plan = studies._dealt(many, list(range(1, 5)), 10_000, int(0.48 * 2**32), int(0.52 * 2**32), 0)
+    assert all(r.held for r in plan.collect())
+
+
 def plane(spark, rise):
     return spark.createDataFrame([(r, c, float(rise(r, c))) for r in range(5) for c in range(5)], "row int, col int, value double")
 
