@@ -679,7 +679,8 @@ def _(spark, d):
 
 
 def _tabular(spark, d):
-    rows = models.tabular_features(_events(spark, d), ("precip", "tmax"), (1, 3), (7,)).withColumn("label", frames.target(F.col("e"), 1, 1)).filter("label IS NOT NULL")
+    # Days by station, which every pass of a learner and of its scores reads: without this each joins and sums the lines anew.
+    rows = once(models.tabular_features(_events(spark, d), ("precip", "tmax"), (1, 3), (7,)).withColumn("label", frames.target(F.col("e"), 1, 1)).filter("label IS NOT NULL"))
     columns = [c for c in rows.columns if c.startswith(("precip_", "tmax_", "doy_"))]
     return rows, columns
 

@@ -104,6 +104,15 @@ def test_special_functions(spark):
     assert abs(one.a - (1 - math.exp(-3))) < 1e-13 and abs(one.b - math.lgamma(5.5)) < 1e-12 and abs(one.c - 0.05004) < 1e-4
 
 
+def test_learners_and_series_work_where_rows_are_spread(spark, sf_dir):
+    """Learners pass over stored days, not over the lines; a small file's rows are spread before long series."""
+    from rainloom.plans import analysis
+
+    rows, columns = analysis._tabular(spark, sf_dir)
+    spark_plan = rows.select(*columns)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in spark_plan or "lineitem" not in spark_plan
+
+
 def steps(spark, values, key="a"):
     return spark.createDataFrame([(key, k, float(v)) for k, v in enumerate(values)], "key string, t int, x double")
 
