@@ -104,13 +104,31 @@ def test_special_functions(spark):
     assert abs(one.a - (1 - math.exp(-3))) < 1e-13 and abs(one.b - math.lgamma(5.5)) < 1e-12 and abs(one.c - 0.05004) < 1e-4
 
 
+def test_gamma_series_ends_early(spark):
+    """Small arguments take few terms, and the sums are those of all of them."""
+    df = spark.createDataFrame([(a, x) for a in (0.25, 3.0, 12.5, 60.0) for x in (0.01, 1.0, 7.5, 40.0, 90.0)] + [(1.0, float("inf")), (1.0, -2.0), (1.0, None)], "a double, x double")
+    got = [r.p for r in df.select(specfun.gamma_p(F.col("a"), F.col("x")).alias("p")).collect()]
+    for (a, x), p in zip(((r.a, r.x) for r in df.collect()), got):
+        if x is None or x <= 0 or x > a + 10 * math.sqrt(a) + 40:
+            assert p == (None if x is None else float(x > 0))
+            continue
+        term = total = 1.0
+        for n in range(1, 400):
+            term *= x / (a + n)
+            total += term
+        assert abs(p - total * math.exp(a * math.log(x) - x - math.lgamma(a + 1))) < 1e-12
+    plan = df.select(specfun.gamma_p(F.col("a"), F.col("x")))._jdf.queryExecution().analyzed().toString()
+    assert "sequence(1, least(200" in plan
+
+
 def test_learners_and_series_work_where_rows_are_spread(spark, sf_dir):
     """Learners pass over stored days, not over the lines; a small file's rows are spread before long series."""
-    from rainloom.plans import analysis
+    from rainloom.plans import analysis, registry
 
     rows, columns = analysis._tabular(spark, sf_dir)
     spark_plan = rows.select(*columns)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in spark_plan or "lineitem" not in spark_plan
+    assert "REPARTITION_BY_NUM" in registry.QUERIES["f5_special_functions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
 def steps(spark, values, key="a"):
