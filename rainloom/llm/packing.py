@@ -8,7 +8,7 @@ gaps of MIN_GAP or more of the fuller ones (their pieces are cut there), and the
 sequences whose sizes are powers of two, which need no padding. A group holds GROUP documents in the mean whatever the
 data: row numbers are unique, so no key is hot, and a group's ids are size * GROUP * 4 bytes at most in the mean.
 
-Long texts are tokenised in pieces cut at spaces, which the tokenizer drops, so ids are those of the whole text.
+Texts are encoded by their different words (see words.py); the ids are those of the whole text.
 
 Defined cases: a null or empty text is its end id alone, repeated rows are packed each, further columns are ignored,
 an empty table gives an empty result.
@@ -16,7 +16,6 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, settled, small_batches, trimmed
-from .runs import ids_of
+from .words import Words
 
 #: Ids in a sequence; the id that ends a document; documents in a group in the mean.
 SIZE, END, GROUP = 4_096, 2, 2_000
 #: Smaller gaps stay padding, so that documents are not cut for a few ids.
 MIN_GAP = 32
-#: Ids of one Arrow batch that a worker hands on.
-_HAND_ON = 1_000_000
+#: Bytes of texts that a worker encodes at once; the more, the fewer words are met again.
+_HAND_ON = 4_000_000
 
 
 class WordTokenizer:
@@ -43,8 +42,8 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as file:
             self.model = spark.sparkContext.broadcast(file.read())
 
-    def tokenizer(self):
-        return _tokenizer(self.model.value)
+    def words(self) -> Words:
+        return _words(self.model.value)
 
     def __reduce__(self):
         return _restored, (self.model,)
@@ -57,22 +56,15 @@ def _restored(model) -> WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(model: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_str(model)
+def _words(model: str) -> Words:
+    return Words(model)
 
 
 def _cut(tokens: WordTokenizer, size: int, end_id: int):
     """doc_id, text to rows doc_id, start, length, ids, doc_tokens: one for each ``size`` ids of a document and one for the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokens.tokenizer()
-
-        def encode(texts: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
+        words = tokens.words()
         names, kinds = ["doc_id", "start", "length", "ids", "doc_tokens"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
@@ -84,7 +76,7 @@ def _cut(tokens: WordTokenizer, size: int, end_id: int):
                     chars += len(texts[end].as_buffer() or b"") if texts[end].is_valid else 0
                     end += 1
                 out: list[list] = [[] for _ in names]
-                for doc_id, ids in zip(doc_ids[at:end], ids_of([t or "" for t in texts[at:end].to_pylist()], encode), strict=True):
+                for doc_id, ids in zip(doc_ids[at:end], words.encode(texts[at:end]), strict=True):
                     ids = np.append(ids, np.int32(end_id))
                     for start in range(0, len(ids), size):
                         piece = ids[start : start + size]

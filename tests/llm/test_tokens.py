@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from rainloom.llm import align, audit, packing, runs
+from rainloom.llm import align, audit, packing, runs, words
 from rainloom.llm.queries import SIDE_A, SIDE_B, WORDS, op12_packing, op13_tokenizer_alignment
 
 PATHS = public_tokenizers.path(SIDE_A), public_tokenizers.path(SIDE_B)
@@ -160,6 +160,37 @@ def test_packing(spark, documents, odd, empty, word_ids, size, group):
     assert packing.pack(empty, public_tokenizers.path(WORDS)).collect() == []
 
 
+def test_words_have_the_ids_of_whole_texts(monkeypatch):
+    """Each different word is encoded once, and ids are those of whole texts, for marks, cases, control characters and added tokens too."""
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as file:
+        content = file.read()
+    rng = random.Random(11)
+    letters = "abAB'sStreélLÉİıſḴ\u0338\u0301ß×÷ªº²½日Σς<|>\u3000" + "".join(map(chr, range(0x250)))
+    texts = [*ODD_TEXTS, *texts_of(12, 100), *("".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2_000))]
+    texts += [rng.choice(["don't WE'LL", "x's't'd 'S", "<|endoftext|>", "a<|startoftext|>b", "H\u0331e"]) + "".join(rng.choice("ab'sdt<|> H\u0331\n") for _ in range(30)) for _ in range(500)]
+    whole = words.Words(content)
+    want = whole.whole(texts)
+    for known in (words.KNOWN, 3):
+        monkeypatch.setattr(words, "KNOWN", known)
+        got = words.Words(content)
+        assert got.parts is not None and [i.tolist() for i in got.encode(pa.array(["left out", None, *texts])[1:])] == [[], *want]
+    # A file with other steps is used for whole texts.
+    other = words.Words(content.replace('"type":"NFC"', '"type":"NFKC"').replace('"type": "NFC"', '"type": "NFKC"'))
+    assert other.parts is None and [i.tolist() for i in other.encode(pa.array(texts[:100]))] == other.whole(texts[:100])
+
+
+def test_a_word_met_again_is_not_encoded_again():
+    with open(public_tokenizers.path(WORDS), encoding="utf-8") as file:
+        met = words.Words(file.read())
+    seen = []
+    part, whole = met._part, met.whole
+    met._part = lambda p: seen.append(p) or part(p)
+    met.whole = lambda ts: seen.extend(ts) or whole(ts)
+    for _ in range(2):
+        met.encode(pa.array(["Some words, some Words " * 1_000, "words\tsome, é" * 10]))
+    assert len(seen) == len(set(seen)) <= 6
+
+
 def test_first_fit_decreasing_is_the_plain_one():
     rng = random.Random(5)
     for _ in range(30):
