@@ -1,12 +1,14 @@
 import base64
 import hashlib
+import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from rainloom.llm import bpe, chat, decontaminate, langid, pii, quality
+from rainloom.llm import bpe, chat, common, decontaminate, langid, pii, quality
 from rainloom.llm.queries import RANKS
 
 KEY = "a key of the tests"
@@ -179,6 +181,43 @@ def test_quality_held_out(spark, documents, sf_dir, odd, empty):
     assert quality.classify(empty, labels).collect() == []
 
 
+def plain_ranker(x, label, ridge=1e-3):
+    """Weights, mean, scale and cut from every pair of rows, one by one."""
+    mean = x.mean(axis=0)
+    scale = x.std(axis=0) + 1e-3
+    z = np.clip((x - mean) / scale, -8, 8)
+    d = (z[label == 1][:, None] - z[label == 0][None]).reshape(-1, z.shape[1])
+    w = np.zeros(z.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(d @ w))
+        w += np.linalg.solve(ridge * np.eye(len(w)) + (d * (p * (1 - p))[:, None]).T @ d / len(d), p @ d / len(d) - ridge * w)
+    return w, mean, scale, np.quantile(z @ w, 1 - label.mean())
+
+
+def test_quality_learns_from_all_pairs(spark):
+    """Weights and cut are those of all pairs of all labelled rows; ids marked twice or repeated count as often."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(["good", "words", "BAD!!", "and", "Here", "are 1", "x|y.\n"], rng.integers(3, 60))) for _ in range(120)]
+    ids = [*range(115), 3, 3, 4, 5, None]
+    marks = [(i, int(texts[i].count("B") / len(texts[i]) + rng.normal() / 100 < 0.03)) for i in range(110)] + [(3, 1), (3, 0), (7, 1), (200, 1), (9, None), (None, 0)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    with common.Scratch(spark) as scratch:
+        model = quality.train(scratch, scratch.table("features", quality.featured(docs)), labels)
+    rows = [(quality.features(t), q) for i, t in zip(ids, texts, strict=True) for j, q in marks if i == j and q is not None]
+    w, mean, scale, cut = plain_ranker(np.array([x for x, _ in rows]), np.array([q for _, q in rows]))
+    assert np.abs(model.mean - mean).max() < 1e-6 and np.abs(model.scale - scale).max() < 1e-6
+    assert np.abs(model.weights - w).max() < 1e-4 and abs(model.cut - cut) < 1e-3
+
+
+def test_quality_ranks_are_exact(spark):
+    rng = random.Random(8)
+    for values in ([(1.0, 5)], [(rng.choice([-3.0, 1e-300, 2e-300, 0.1 + 0.2, 0.3, 7.5, 1e9]), rng.randint(1, 3)) for _ in range(20)], [(rng.gauss(0, 1), 1) for _ in range(300)]):
+        table, flat = spark.createDataFrame(values, "value double, n long"), sorted(v for v, n in values for _ in range(n))
+        for k in {1, 2, len(flat) // 2, len(flat) - 1}:
+            assert quality._ranked(table, k) == (flat[k - 1], flat[k])
+
+
 def test_decontamination_finds_planted_and_leaves_clean(spark, documents, sf_dir, odd, empty):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = {r.item_id: decontaminate.normalised(r.text) for r in benchmark.collect()}
