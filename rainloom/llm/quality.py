@@ -8,8 +8,8 @@ share of label 0 asks for; the published score is logistic around it and 0.7 exa
 
 All labelled rows and all their pairs are learned from, none is drawn. What a row's pairs add depends on its own score
 and on the scores of the other label alone, so a Newton step takes two passes over the rows: one spreads the scores of
-each label over a grid of step STEP (cubic interpolation, off by some 1e-7 of a loss), one sums features by what the grid
-says of a row's pairs. Tasks sum their rows and sums by place are a shuffle's; what reaches the driver are the grid and
+each label over a grid of step STEP (cubic interpolation: by its error term off by less than 1e-7 a pair), one sums features
+by what the grid says of a row's pairs. Tasks sum their rows and sums by place are a shuffle's; what reaches the driver are the grid and
 a matrix of features, whatever the number of rows. The cut is exact. Features are computed once for each document and
 stored as 32-bit numbers; scoring reads them alone.
 
